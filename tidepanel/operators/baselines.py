@@ -123,6 +123,20 @@ def evaluate_rules(
     )
 
 
+def fold_rates(df: DataFrame, folds: Sequence[Fold], label: str = S.LABEL) -> DataFrame:
+    """(fold, train_positive_rate, valid_positive_rate), reduced per date first."""
+    per_date = df.groupBy(S.TS).agg(F.count("*").alias("n"), F.sum((F.col(label) == 1).cast("long")).alias("n_pos"))
+    roles = explode_roles(per_date, folds)
+
+    def rate(side: str) -> Column:
+        here = F.col("side") == side
+        return F.try_divide(F.sum(F.when(here, F.col("n_pos"))), F.sum(F.when(here, F.col("n"))))
+
+    return roles.groupBy("fold").agg(
+        rate(TRAIN).alias("train_positive_rate"), rate(VALID).alias("valid_positive_rate")
+    )
+
+
 def evaluate_custom(
     df: DataFrame, folds: Sequence[Fold], predict: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> DataFrame:
@@ -134,19 +148,17 @@ def evaluate_custom(
 
     S.require_columns(df, [S.TS, S.LABEL, S.ROW_ID], "rule evaluation")
     folds = check_fold_list(folds)
-    parts, rates = [], []
+    parts = []
     for fold in folds:
         train, valid = split_fold(df, fold)
         predicted = predict(train, valid)
         check_predictions(predicted, valid)
         parts.append(predicted.select(F.lit(fold.fold).alias("fold"), S.LABEL, S.PREDICTION))
-        rates.append(train.agg(F.lit(fold.fold).alias("fold"), F.avg(S.LABEL).alias("train_positive_rate")))
-    everything, train_rates = parts[0], rates[0]
-    for part, rate in zip(parts[1:], rates[1:]):
-        everything, train_rates = everything.unionByName(part), train_rates.unionByName(rate)
-    valid_rates = everything.groupBy("fold").agg(F.avg(S.LABEL).alias("valid_positive_rate"))
+    everything = parts[0]
+    for part in parts[1:]:
+        everything = everything.unionByName(part)
     table = fold_table(df.sparkSession, folds)
-    return table.join(train_rates, "fold").join(valid_rates, "fold").join(rule_metrics(everything), "fold")
+    return table.join(fold_rates(df, folds), "fold").join(rule_metrics(everything), "fold")
 
 
 def strategy_table(results: DataFrame, strategies: Sequence[str] | None = None) -> DataFrame:

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel import schema as S
 from tidepanel.functions import features as X
-from tidepanel.functions.rules import rule_score, with_rule
+from tidepanel.functions.rules import class_of, rule_score, with_rule
+from tidepanel.models import builders, evaluate
+from tidepanel.models.tuning import FOREST_GRID, grid_scores, grid_table, tune_and_check
 from tidepanel.operators import audit, baselines, compare, metrics, profile, quality
 from tidepanel.operators import time_axis as axis
 from tidepanel.operators.cross_section import with_cross_section
 from tidepanel.operators.labels import join_labels, split_target
+from tidepanel.operators.per_date import join_per_date
+from tidepanel.plans import workflows
 from tidepanel.sources.brand_days import brand_day_panel, test_panel, train_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,8 +204,6 @@ def q_cv_band(spark, root):
 def q_sign_accuracy(spark, root):
     df = train(spark, root)
     folds = axis.date_kfold(axis.date_axis(df), 8, seed=None)
-    from tidepanel.operators.per_date import join_per_date
-
     reversed_return = join_per_date(df, folds).withColumn("guess", -F.col("RET_1"))
     return settled(metrics.sign_accuracy(reversed_return, S.TARGET, "guess"))
 
@@ -413,3 +416,109 @@ def sql_queries() -> dict[str, Query]:
     for name in baselines.baseline_names():
         found[f"baseline_{name}"] = _baseline(name)
     return found
+
+
+# ---- learned models --------------------------------------------------------
+# Whole tables and all folds; ensembles are smaller than their defaults, which
+# ``bench.py`` measures for the main families.
+
+def modelling_panel(spark: SparkSession, root: str, turnover: bool = True) -> DataFrame:
+    """Engineered train rows, kept because every fit reads them several times."""
+    return X.with_engineered(train(spark, root, turnover)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _evaluated(build: Callable, feature_set: str = "engineered"):
+    def query(spark, root):
+        df = modelling_panel(spark, root)
+        return settled(evaluate.evaluate_model(df, axis.expanding_folds(df), build(), X.feature_sets()[feature_set]))
+
+    return query
+
+
+def q_ridge_scores(spark, root):
+    panel = brand_day_panel(spark, root)
+    fit = with_cross_section(train_panel(panel)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = with_cross_section(test_panel(panel))
+    scored = workflows.fit_and_score(fit, rows, builders.ridge(), X.feature_sets()["performance"], S.TARGET)
+    return settled(scored.select(S.ROW_ID, F.col(S.PREDICTION).alias("score"), class_of(S.PREDICTION).alias(S.PREDICTION)))
+
+
+def _date_cv(spark, root):
+    df = with_cross_section(train(spark, root, True)).persist(StorageLevel.MEMORY_AND_DISK)
+    return workflows.date_cv(df, X.feature_sets()["performance"], builders.boosted_regression(rounds=15, learning_rate=0.1))
+
+
+def q_gbt_regression_cv(spark, root):
+    scores, _ = _date_cv(spark, root)
+    return settled(scores)
+
+
+def q_importances(spark, root):
+    _, gains = _date_cv(spark, root)
+    return settled(evaluate.top_features(gains), 4)
+
+
+def _small_forest(**settings):
+    return builders.random_forest(**{"n_estimators": 5, **settings})
+
+
+def q_grid_search(spark, root):
+    df = modelling_panel(spark, root)
+    folds = axis.expanding_folds(df)
+    tuning, _ = axis.tuning_split(folds)
+    scores = grid_scores(axis.tuning_rows(df, folds), tuning, _small_forest, FOREST_GRID, X.feature_sets()["raw"])
+    return settled(grid_table(scores, FOREST_GRID).drop("mean_fit_time"))
+
+
+def q_grid_best_holdout(spark, root):
+    df = modelling_panel(spark, root)
+    grid = {"max_depth": [5, 8], "min_samples_leaf": [20], "max_features": ["sqrt", 0.5]}
+    _, final = tune_and_check(
+        df, axis.expanding_folds(df), _small_forest, grid, X.feature_sets()["raw"], final={"n_estimators": 20}
+    )
+    return settled(final)
+
+
+def q_feature_study(spark, root):
+    df = train(spark, root).persist(StorageLevel.MEMORY_AND_DISK)
+    return settled(workflows.feature_study(df, axis.expanding_folds(df), builders.logistic_regression(max_iter=50)))
+
+
+def q_model_submission(spark, root):
+    panel = brand_day_panel(spark, root)
+    fit, rows = X.with_engineered(train_panel(panel)), X.with_engineered(test_panel(panel))
+    features = X.numeric_features(fit)
+    quality.check_features(fit, rows, features, infinities=False)
+    scored = workflows.fit_and_score(fit, rows, builders.level_wise_boosting(n_estimators=15), features)
+    return quality.build_submission(scored)
+
+
+def q_audit_report(spark, root):
+    panel = brand_day_panel(spark, root)
+    features, target = split_target(train_panel(panel).drop(S.LABEL))
+    rows = test_panel(panel)
+    return workflows.audit_report(features, target, rows, rows.select(S.ROW_ID))
+
+
+def model_queries() -> dict[str, Query]:
+    """Iterative fits and other results without an SQL twin."""
+    return {
+        "date_kfold_shuffled": q_date_kfold_shuffled,
+        "audit_report": q_audit_report,
+        "ridge_scores": q_ridge_scores,
+        "eval_logit": _evaluated(lambda: builders.logistic_regression(max_iter=100), "raw"),
+        "eval_tree": _evaluated(builders.decision_tree),
+        "eval_forest": _evaluated(lambda: builders.random_forest(n_estimators=20)),
+        "eval_adaboost": _evaluated(lambda: builders.adaboost(n_estimators=30)),
+        "eval_gbt": _evaluated(lambda: builders.gradient_boosting(n_estimators=15)),
+        "eval_gbt_spark": _evaluated(lambda: builders.spark_gradient_boosting(n_estimators=5)),
+        "eval_xgb_like": _evaluated(lambda: builders.level_wise_boosting(n_estimators=15)),
+        "eval_lgbm_like": _evaluated(lambda: builders.leaf_wise_boosting(n_estimators=10, num_leaves=7, max_depth=4)),
+        "eval_catboost_like": _evaluated(lambda: builders.symmetric_boosting(iterations=5)),
+        "gbt_regression_cv": q_gbt_regression_cv,
+        "importances_top20": q_importances,
+        "grid_search": q_grid_search,
+        "grid_best_holdout": q_grid_best_holdout,
+        "feature_study": q_feature_study,
+        "model_submission": q_model_submission,
+    }
