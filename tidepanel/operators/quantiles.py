@@ -51,12 +51,17 @@ def exact_quantiles(
         F.percentile_approx("value", marks, accuracy).alias("marks"),
         F.min("value").alias("least"),
         F.max("value").alias("most"),
+        (F.count("*") <= 2 * accuracy).alias("short"),
     )
 
-    # cells in ascending order: below a bracket (coarse), inside it (one per value)
+    # Cells in ascending order: below a bracket (coarse), inside it (one per value).
+    # A short group (at most 2 * accuracy rows) is one bracket: there the margin
+    # would be less than the ranks between which a quantile is interpolated.
     def bound(j: int):
         p = marks[j]
-        return F.col("least") if p == 0.0 else F.col("most") if p == 1.0 else F.col("marks")[j]
+        if p in (0.0, 1.0):
+            return F.col("least") if p == 0.0 else F.col("most")
+        return F.when(F.col("short"), F.col("most") if j % 2 else F.col("least")).otherwise(F.col("marks")[j])
 
     cell = inside = None
     for i in range(len(probabilities)):
