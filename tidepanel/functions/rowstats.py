@@ -1,4 +1,7 @@
-"""Row-wise statistics over wide lag columns, as plain column expressions."""
+"""Row-wise statistics over wide lag columns, as plain column expressions.
+
+Written as SQL text: sums of twenty terms are one call instead of hundreds.
+"""
 
 from __future__ import annotations
 
@@ -8,30 +11,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _total(terms: list[Column]) -> Column:
+def _total(terms: list[str]) -> str:
     """Balanced sum: keeps the expression tree shallow for code generation."""
     while len(terms) > 1:
-        pairs = [terms[i] + terms[i + 1] for i in range(0, len(terms) - 1, 2)]
+        pairs = [f"({terms[i]} + {terms[i + 1]})" for i in range(0, len(terms) - 1, 2)]
         terms = pairs + ([terms[-1]] if len(terms) % 2 else [])
     return terms[0]
 
 
-def present_count(columns: Sequence[str]) -> Column:
-    return _total([F.col(c).isNotNull().cast("int") for c in columns])
+def _count(columns: Sequence[str]) -> str:
+    return _total([f"cast(`{c}` is not null as int)" for c in columns])
 
 
 def row_mean(columns: Sequence[str]) -> Column:
     """Mean of the non-null values of a row; NULL when there are none."""
-    return F.try_divide(_total([F.coalesce(F.col(c), F.lit(0.0)) for c in columns]), present_count(columns))
+    return F.expr(f"try_divide({_total([f'coalesce(`{c}`, 0D)' for c in columns])}, {_count(columns)})")
 
 
-def row_std(columns: Sequence[str], mean: str | Column) -> Column:
+def row_std(columns: Sequence[str], mean: str) -> Column:
     """Sample standard deviation (n-1) of the non-null values of a row.
 
-    ``mean`` should be a column made by an earlier ``select``, so that it is
-    computed once per row and not once per lag.  NULL below two values.
+    ``mean`` names a column made by an earlier ``select``, so that it is computed
+    once per row and not once per lag.  NULL below two values.
     """
-    mean = F.col(mean) if isinstance(mean, str) else mean
-    squares = _total([F.coalesce((F.col(c) - mean) * (F.col(c) - mean), F.lit(0.0)) for c in columns])
-    degrees = present_count(columns) - 1
-    return F.when(degrees > 0, F.sqrt(F.try_divide(squares, degrees)))
+    squares = _total([f"coalesce((`{c}` - `{mean}`) * (`{c}` - `{mean}`), 0D)" for c in columns])
+    n = _count(columns)
+    return F.expr(f"case when {n} > 1 then sqrt({squares} / ({n} - 1)) end")

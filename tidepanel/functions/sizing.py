@@ -17,3 +17,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` itself when it is cached already, else marked for caching (memory, then disk).
+
+    For tables that several jobs read.  Lost blocks are computed again; callers
+    release them with ``unpersist`` or ``spark.catalog.clearCache()``.
+    """
+    return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel import schema as S
+from tidepanel.functions.sizing import kept
 from tidepanel.models.boosting import BoostedModel, Boosting, fit_folds, score_folds
 from tidepanel.models.builders import FeatureModel
 from tidepanel.operators.baselines import fold_rates
@@ -69,13 +70,12 @@ def scored_folds(
             S.ROW_ID, "fold", F.col("y").cast("int").alias(label), S.PREDICTION, S.PROBABILITY
         )
     columns = list(dict.fromkeys([S.ROW_ID, S.TS, label, *features]))
-    kept = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
+    rows = df.select(*columns) if df.is_cached else kept(df.select(*columns))
 
     @inheritable_thread_target(df.sparkSession)
     def one(item):
         position, fold = item
-        train, valid = split_fold(kept, fold)
+        train, valid = split_fold(rows, fold)
         if train.isEmpty() or valid.isEmpty():
             raise ValueError(f"fold {fold.fold} has no train or no validation rows")
         fitted = bind(model, features, label).fit(train)

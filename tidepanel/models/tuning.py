@@ -7,11 +7,12 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel import schema as S
+from tidepanel.functions.sizing import kept
 from tidepanel.models.evaluate import bind, evaluate_model, with_probability
 from tidepanel.operators.metrics import rule_metrics, score_metrics
 from tidepanel.operators.time_axis import Fold, split_fold, tuning_rows, tuning_split
@@ -36,14 +37,13 @@ def grid_scores(
     one kept table; ``parallelism`` fits run at a time.
     """
     columns = list(dict.fromkeys([S.ROW_ID, S.TS, label, *features]))
-    kept = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
+    rows = df.select(*columns) if df.is_cached else kept(df.select(*columns))
     tasks = [(c, f, s) for c, s in enumerate(candidates(grid)) for f in folds]
 
     @inheritable_thread_target(df.sparkSession)
     def one(task):
         number, fold, settings = task
-        train, valid = split_fold(kept, fold)
+        train, valid = split_fold(rows, fold)
         start = time.perf_counter()
         fitted = bind(build(**settings), features, label).fit(train)
         seconds = time.perf_counter() - start
@@ -54,10 +54,11 @@ def grid_scores(
         )
 
     with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
-        rows = pool.map(one, tasks, chunksize=1)
-    kept.unpersist()
+        scores = pool.map(one, tasks, chunksize=1)
+    if rows.is_cached:
+        rows.unpersist()
     return df.sparkSession.createDataFrame(
-        rows,
+        scores,
         "candidate int, fold int, train_accuracy double, test_accuracy double, roc_auc double, log_loss double, fit_time double",
     )
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from tidepanel import schema as S
 from tidepanel.functions import features as X
 from tidepanel.functions.rules import class_of, rule_score, with_rule
+from tidepanel.functions.sizing import kept
 from tidepanel.models import builders, evaluate
 from tidepanel.models.tuning import FOREST_GRID, grid_scores, grid_table, tune_and_check
 from tidepanel.operators import audit, baselines, compare, metrics, profile, quality
@@ -31,10 +31,11 @@ PROFILED = [S.TARGET, *PROFILED_RETURNS, *PROFILED_VOLUMES, S.TURNOVER]
 
 
 def settled(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles (and drop the sign of zero), so that engines can be compared."""
+    """Round doubles half up, so that engines can be compared; never gives a negative zero."""
+    scale = f"1e{digits}D"
     doubles = {f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)}
-    return df.select(
-        *[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(c) for c in df.columns]
+    return df.selectExpr(
+        *[f"floor(`{c}` * {scale} + 0.5D) / {scale} as `{c}`" if c in doubles else f"`{c}`" for c in df.columns]
     )
 
 
@@ -42,6 +43,11 @@ def train(spark: SparkSession, root: str, turnover: bool = False) -> DataFrame:
     return train_panel(brand_day_panel(spark, root, turnover))
 
 
+def kept_train(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """The columns that a query of several passes needs, derived once."""
+    return kept(train(spark, root, S.TURNOVER in columns).select(*columns))
+
+
 def test(spark: SparkSession, root: str, turnover: bool = False) -> DataFrame:
     return test_panel(brand_day_panel(spark, root, turnover))
 
@@ -49,13 +55,13 @@ def test(spark: SparkSession, root: str, turnover: bool = False) -> DataFrame:
 # ---- panel, labels, features ----------------------------------------------
 
 def q_panel(spark, root):
-    return settled(brand_day_panel(spark, root), 9)
+    return brand_day_panel(spark, root)  # the same floating point steps everywhere: nothing to round
 
 
 def q_label_join(spark, root):
     features, target = split_target(train(spark, root).drop(S.LABEL))
     joined, _ = join_labels(features, target)
-    return settled(joined.select(S.ROW_ID, S.TS, S.ALLOCATION, "RET_1", S.TARGET, S.LABEL), 9)
+    return joined.select(S.ROW_ID, S.TS, S.ALLOCATION, "RET_1", S.TARGET, S.LABEL)
 
 
 def _features(make, columns):
@@ -77,7 +83,7 @@ def q_feat_filled(spark, root):
 def q_feat_cross_section(spark, root):
     names = X.AVERAGE_PERF + X.STD_PERF
     return settled(
-        with_cross_section(train(spark, root)).select(S.ROW_ID, *names, *[f"ALLOCATIONS_{c}" for c in names])
+        with_cross_section(kept_train(spark, root, S.ROW_ID, S.TS, *S.RETURNS)).select(S.ROW_ID, *names, *[f"ALLOCATIONS_{c}" for c in names])
     )
 
 
@@ -108,12 +114,12 @@ def q_fold_stats(spark, root):
 
 
 def q_fold_checks(spark, root):
-    dates = axis.date_axis(train(spark, root))
+    dates = kept(axis.date_axis(train(spark, root)))
     return axis.fold_checks(dates, axis.collect_folds(axis.expanding_fold_table(dates)))
 
 
 def q_fold_assignment(spark, root):
-    df = train(spark, root)
+    df = kept_train(spark, root, S.ROW_ID, S.TS)
     return axis.assign_folds(df.select(S.ROW_ID, S.TS), axis.expanding_folds(df))
 
 
@@ -122,11 +128,11 @@ def q_holdout(spark, root):
 
 
 def q_holdout_rows(spark, root):
-    return axis.with_holdout(train(spark, root)).select(S.ROW_ID, "side")
+    return axis.with_holdout(kept_train(spark, root, S.ROW_ID, S.TS)).select(S.ROW_ID, "side")
 
 
 def q_leak_check(spark, root):
-    df = train(spark, root)
+    df = kept_train(spark, root, S.TS)
     folds = axis.expanding_folds(df)
     shared = None
     for fold in folds:
@@ -137,7 +143,7 @@ def q_leak_check(spark, root):
 
 
 def q_tuning_split(spark, root):
-    df = train(spark, root)
+    df = kept_train(spark, root, S.ROW_ID, S.TS)
     folds = axis.expanding_folds(df)
     rows = axis.tuning_rows(df, folds)
     return rows.select(S.ROW_ID, S.TS)
@@ -168,18 +174,21 @@ def q_baseline_summary(spark, root):
     return settled(baselines.strategy_summary(baselines.evaluate_rules(train(spark, root))))
 
 
+SCORED = [S.ROW_ID, S.TS, S.LABEL, *S.RETURNS[:3]]
+
+
 def _scored(df: DataFrame, rule: str, slope: float) -> DataFrame:
     """Validation rows with the prediction of a rule and the reversal score."""
-    valid = axis.assign_folds(df.select(S.ROW_ID, S.TS, S.LABEL, *S.RETURNS[:3]), axis.expanding_folds(df), axis.VALID)
+    valid = axis.assign_folds(df.select(*SCORED), axis.expanding_folds(df), axis.VALID)
     return with_rule(valid, rule).withColumn(S.PROBABILITY, rule_score(slope))
 
 
 def q_metrics_rule_scores(spark, root):
-    return settled(metrics.score_metrics(_scored(train(spark, root), "reversal", 1.0)))
+    return settled(metrics.score_metrics(_scored(kept_train(spark, root, *SCORED), "reversal", 1.0)))
 
 
 def _compared(spark, root):
-    df = train(spark, root)
+    df = kept_train(spark, root, *SCORED)
     a = metrics.score_metrics(_scored(df, "momentum", -1.0))
     b = metrics.score_metrics(_scored(df, "reversal", 1.0))
     return compare.compare_results(a, b, "momentum", "reversal")
@@ -202,7 +211,7 @@ def q_cv_band(spark, root):
 
 
 def q_sign_accuracy(spark, root):
-    df = train(spark, root)
+    df = kept_train(spark, root, S.TS, "RET_1", S.TARGET)
     folds = axis.date_kfold(axis.date_axis(df), 8, seed=None)
     reversed_return = join_per_date(df, folds).withColumn("guess", -F.col("RET_1"))
     return settled(metrics.sign_accuracy(reversed_return, S.TARGET, "guess"))
@@ -231,7 +240,7 @@ def q_dup_keys(spark, root):
 
 
 def q_key_alignment(spark, root):
-    features, target = split_target(train(spark, root))
+    features, target = split_target(kept_train(spark, root, S.ROW_ID, S.TARGET))
     return audit.key_alignment(features, target)
 
 
@@ -260,7 +269,7 @@ def q_allocation_classes(spark, root):
 
 
 def q_category_diff(spark, root):
-    panel = brand_day_panel(spark, root, False)
+    panel = kept(brand_day_panel(spark, root, False).select(S.ALLOCATION, S.GROUP, S.TARGET, "date_idx", "n_dates"))
     return audit.category_difference(train_panel(panel), test_panel(panel), [S.ALLOCATION, S.GROUP])
 
 
@@ -273,7 +282,7 @@ def q_rows_per_date(spark, root):
 
 
 def q_date_profile(spark, root):
-    return settled(profile.describe_rows_per_date(train(spark, root)))
+    return settled(profile.describe_rows_per_date(kept_train(spark, root, S.TS)))
 
 
 def q_positive_rate(spark, root):
@@ -281,7 +290,7 @@ def q_positive_rate(spark, root):
 
 
 def q_positive_rate_profile(spark, root):
-    return settled(profile.describe_positive_rate(train(spark, root)))
+    return settled(profile.describe_positive_rate(kept_train(spark, root, S.TS, S.LABEL)))
 
 
 def q_ret_mean_by_class(spark, root):
@@ -293,35 +302,35 @@ def q_preview(spark, root):
 
 
 def q_describe(spark, root):
-    return settled(profile.describe(train(spark, root, True), PROFILED))
+    return settled(profile.describe(kept_train(spark, root, *PROFILED), PROFILED))
 
 
 def q_centre_lines(spark, root):
-    return settled(profile.centre_lines(train(spark, root, True), PROFILED))
+    return settled(profile.centre_lines(kept_train(spark, root, *PROFILED), PROFILED))
 
 
 def q_box_stats(spark, root):
-    return settled(profile.box_stats(train(spark, root, True), PROFILED))
+    return settled(profile.box_stats(kept_train(spark, root, *PROFILED), PROFILED))
 
 
 def q_box_stats_by_class(spark, root):
-    return settled(profile.box_stats(train(spark, root, True), [S.TURNOVER, "RET_1"], by=[S.LABEL]))
+    return settled(profile.box_stats(kept_train(spark, root, S.LABEL, S.TURNOVER, "RET_1"), [S.TURNOVER, "RET_1"], [S.LABEL]))
 
 
 def q_histogram_target(spark, root):
-    return settled(profile.histogram(train(spark, root), S.TARGET))
+    return settled(profile.histogram(kept_train(spark, root, S.TARGET), S.TARGET))
 
 
 def q_density_target(spark, root):
-    return settled(profile.density(train(spark, root), S.TARGET))
+    return settled(profile.density(kept_train(spark, root, S.TARGET), S.TARGET))
 
 
 def q_density_zoom(spark, root):
-    return settled(profile.density(train(spark, root), S.TARGET, window=(-0.01, 0.01)))
+    return settled(profile.density(kept_train(spark, root, S.TARGET), S.TARGET, window=(-0.01, 0.01)))
 
 
 def q_density_exact(spark, root):
-    return settled(profile.density_exact(train(spark, root), "RET_1"))
+    return settled(profile.density_exact(kept_train(spark, root, "RET_1"), "RET_1"))
 
 
 # ---- submission ------------------------------------------------------------
@@ -331,7 +340,7 @@ def q_submission(spark, root):
 
 
 def q_submission_checks(spark, root):
-    rows = test(spark, root)
+    rows = kept(test(spark, root).select(S.ROW_ID, "RET_1"))
     submission = quality.build_submission(with_rule(rows, "reversal"))
     return settled(quality.submission_report(submission, rows.select(S.ROW_ID)))
 
@@ -424,7 +433,7 @@ def sql_queries() -> dict[str, Query]:
 
 def modelling_panel(spark: SparkSession, root: str, turnover: bool = True) -> DataFrame:
     """Engineered train rows, kept because every fit reads them several times."""
-    return X.with_engineered(train(spark, root, turnover)).persist(StorageLevel.MEMORY_AND_DISK)
+    return kept(X.with_engineered(train(spark, root, turnover)))
 
 
 def _evaluated(build: Callable, feature_set: str = "engineered"):
@@ -436,15 +445,15 @@ def _evaluated(build: Callable, feature_set: str = "engineered"):
 
 
 def q_ridge_scores(spark, root):
-    panel = brand_day_panel(spark, root)
-    fit = with_cross_section(train_panel(panel)).persist(StorageLevel.MEMORY_AND_DISK)
+    panel = kept(brand_day_panel(spark, root))
+    fit = kept(with_cross_section(train_panel(panel)))
     rows = with_cross_section(test_panel(panel))
     scored = workflows.fit_and_score(fit, rows, builders.ridge(), X.feature_sets()["performance"], S.TARGET)
     return settled(scored.select(S.ROW_ID, F.col(S.PREDICTION).alias("score"), class_of(S.PREDICTION).alias(S.PREDICTION)))
 
 
 def _date_cv(spark, root):
-    df = with_cross_section(train(spark, root, True)).persist(StorageLevel.MEMORY_AND_DISK)
+    df = kept(with_cross_section(kept(train(spark, root, True))))
     return workflows.date_cv(df, X.feature_sets()["performance"], builders.boosted_regression(rounds=15, learning_rate=0.1))
 
 
@@ -480,12 +489,12 @@ def q_grid_best_holdout(spark, root):
 
 
 def q_feature_study(spark, root):
-    df = train(spark, root).persist(StorageLevel.MEMORY_AND_DISK)
+    df = kept(train(spark, root))
     return settled(workflows.feature_study(df, axis.expanding_folds(df), builders.logistic_regression(max_iter=50)))
 
 
 def q_model_submission(spark, root):
-    panel = brand_day_panel(spark, root)
+    panel = kept(brand_day_panel(spark, root))
     fit, rows = X.with_engineered(train_panel(panel)), X.with_engineered(test_panel(panel))
     features = X.numeric_features(fit)
     quality.check_features(fit, rows, features, infinities=False)
@@ -494,7 +503,7 @@ def q_model_submission(spark, root):
 
 
 def q_audit_report(spark, root):
-    panel = brand_day_panel(spark, root)
+    panel = kept(brand_day_panel(spark, root))
     features, target = split_target(train_panel(panel).drop(S.LABEL))
     rows = test_panel(panel)
     return workflows.audit_report(features, target, rows, rows.select(S.ROW_ID))

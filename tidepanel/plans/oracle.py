@@ -15,7 +15,9 @@ SIZE, K = S.FOLD_SIZE, S.FOLD_COUNT
 
 
 def r(expression: str, digits: int = 6) -> str:
-    return f"round(CAST({expression} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE)"
+    """Round half up."""
+    scale = f"CAST(1e{digits} AS DOUBLE)"
+    return f"floor(CAST({expression} AS DOUBLE) * {scale} + CAST(0.5 AS DOUBLE)) / {scale}"
 
 
 def _list(columns: list[str]) -> str:
@@ -240,8 +242,8 @@ def oracle_sql() -> dict[str, str]:
     kfold = f"{AXIS}, kf AS (SELECT TS, CAST((date_idx - 1) % 8 AS INTEGER) AS fold FROM axis)"
     binary = f"SELECT ROW_ID, {RULES['reversal']} AS prediction FROM test"
     sql = {
-        "panel": f"{BASE} SELECT {', '.join(panel)}, {', '.join(f'{r(c, 9)} AS {c}' for c in doubles)} FROM panel",
-        "label_join": f"{BASE} SELECT ROW_ID, TS, ALLOCATION, {r('RET_1', 9)} AS RET_1, {r('target', 9)} AS target, class FROM train",
+        "panel": f"{BASE} SELECT {', '.join(panel)}, {', '.join(doubles)} FROM panel",
+        "label_join": f"{BASE} SELECT ROW_ID, TS, ALLOCATION, RET_1, target, class FROM train",
         "feat_momentum": _select(MOMENTUM),
         "feat_volatility": _select(VOLATILITY),
         "feat_ratio": _select(RATIO),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel import schema as S
 from tidepanel.functions import features as X
 from tidepanel.functions.rules import class_of
+from tidepanel.functions.sizing import kept
 from tidepanel.models import builders, evaluate
 from tidepanel.models.boosting import Boosting, fit_folds, score_folds
 from tidepanel.models.tuning import FOREST_GRID, tune_and_check
@@ -59,7 +59,7 @@ def run_submission(
     quality.check_features(train, test, features)
     scored = fit_and_score(train, test, model, features)
     # kept: the checks and the writer read the same predictions
-    submission = quality.build_submission(scored).persist(StorageLevel.MEMORY_AND_DISK)
+    submission = kept(quality.build_submission(scored))
     quality.check_submission(submission, test.select(S.ROW_ID))
     write_predictions(submission, out, single_file)
     report = quality.prediction_report(submission)
@@ -134,9 +134,9 @@ def feature_study(
     known = X.feature_sets()
     sets = dict(sets or {name: known[name] for name in FEATURE_STUDY})
     columns = list(dict.fromkeys(c for names in sets.values() for c in names))
-    kept = X.with_engineered(df).select(S.ROW_ID, S.TS, S.LABEL, *columns).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = kept(X.with_engineered(df).select(S.ROW_ID, S.TS, S.LABEL, *columns))
     results = {
-        name: evaluate.evaluate_model(kept, folds, model, names).persist(StorageLevel.MEMORY_AND_DISK)
+        name: kept(evaluate.evaluate_model(rows, folds, model, names))
         for name, names in sets.items()
     }
     summary = None
@@ -170,10 +170,10 @@ def feature_study(
 
 def model_study(df: DataFrame, folds, models: Mapping[str, object], features: Sequence[str]) -> DataFrame:
     """Fold results of several models under one column ``model``."""
-    kept = df.select(*dict.fromkeys([S.ROW_ID, S.TS, S.LABEL, *features])).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df if df.is_cached else kept(df.select(*dict.fromkeys([S.ROW_ID, S.TS, S.LABEL, *features])))
     table = None
     for name, model in models.items():
-        result = evaluate.evaluate_model(kept, folds, model, features).withColumn("model", F.lit(name))
+        result = evaluate.evaluate_model(rows, folds, model, features).withColumn("model", F.lit(name))
         table = result if table is None else table.unionByName(result)
     return table
 
@@ -227,7 +227,7 @@ def benchmark_study(
     """Ridge and boosted regression on performance features, date CV, importances, sign predictions."""
     boosted = boosted or builders.boosted_regression()
     features = X.feature_sets()["performance"]
-    train = with_cross_section(train).persist(StorageLevel.MEMORY_AND_DISK)
+    train = kept(with_cross_section(train))
     test = with_cross_section(test)
     linear = fit_and_score(train, test, builders.ridge(alpha), features, S.TARGET)
     trees = fit_and_score(train, test, boosted, features, S.TARGET)

@@ -68,27 +68,25 @@ def brand_day_panel(spark: SparkSession, root: str, turnover: bool = True) -> Da
     """
     lines = _lines(spark, root)
     base = _brand_days(lines, turnover).join(F.broadcast(_numbered_days(lines)), "day")
-    brand = F.substring_index(S.ALLOCATION, "#", -1).cast("int")
-    entity = Window.partitionBy(S.ALLOCATION).orderBy("day")
-    before, after = F.lag("rev", 1).over(entity), F.lead("rev", 1).over(entity)
-    base = base.withColumns(
-        {
-            "brand_no": brand,
-            "ret": F.try_divide(F.col("rev") - before, F.col("rev") + before),
-            S.TARGET: F.try_divide(after - F.col("rev"), after + F.col("rev")),
-        }
+    over = f"over (partition by {S.ALLOCATION} order by day)"
+    before, after = f"lag(rev) {over}", f"lead(rev) {over}"
+    base = base.selectExpr(
+        "*",
+        f"cast(substring_index({S.ALLOCATION}, '#', -1) as int) as brand_no",
+        f"try_divide(rev - {before}, rev + {before}) as ret",
+        f"try_divide({after} - rev, {after} + rev) as {S.TARGET}",
     )
-    shown = (F.col("date_idx") * 31 + F.col("brand_no") * 17) % 4 == 0
-    volumes = {S.VOLUMES[0]: F.when(shown, F.col("sv").cast("double"))}
-    volumes |= {S.VOLUMES[i]: F.lag("sv", i).over(entity).cast("double") for i in range(1, S.N_LAGS)}
-    return base.select(
-        (F.col("date_idx") * 100 + F.col("brand_no")).cast("bigint").alias(S.ROW_ID),
-        F.concat(F.lit("DATE_"), F.lpad(F.col("date_idx").cast("string"), 4, "0")).alias(S.TS),
+    shown = "(date_idx * 31 + brand_no * 17) % 4 = 0"
+    volumes = [f"cast(case when {shown} then sv end as double) as {S.VOLUMES[0]}"]
+    volumes += [f"cast(lag(sv, {i}) {over} as double) as {c}" for i, c in enumerate(S.VOLUMES) if i]
+    return base.selectExpr(
+        f"cast(date_idx * 100 + brand_no as bigint) as {S.ROW_ID}",
+        f"concat('DATE_', lpad(cast(date_idx as string), 4, '0')) as {S.TS}",
         S.ALLOCATION,
-        (F.col("brand_no") % 4 + 1).alias(S.GROUP),
+        f"brand_no % 4 + 1 as `{S.GROUP}`",
         *([S.TURNOVER] if turnover else []),
-        *[F.lag("ret", i).over(entity).alias(c) for i, c in enumerate(S.RETURNS)],
-        *[v.alias(c) for c, v in volumes.items()],
+        *[f"lag(ret, {i}) {over} as {c}" for i, c in enumerate(S.RETURNS)],
+        *volumes,
         S.TARGET,
         "date_idx",
         "n_dates",
