@@ -76,8 +76,6 @@ def scored_folds(
     def one(item):
         position, fold = item
         train, valid = split_fold(rows, fold)
-        if train.isEmpty() or valid.isEmpty():
-            raise ValueError(f"fold {fold.fold} has no train or no validation rows")
         fitted = bind(model, features, label).fit(train)
         scored = with_probability(fitted.transform(valid))
         return scored.select(S.ROW_ID, F.lit(position).alias("fold"), label, S.PREDICTION, S.PROBABILITY)
@@ -95,14 +93,23 @@ def evaluate_model(
 ) -> DataFrame:
     """One row per fold: bounds, class rates, accuracy, log-loss, ROC-AUC and counts."""
     folds = check_fold_list(folds)
+    S.require_columns(df, [S.TS, S.ROW_ID, label, *features], "model evaluation")
+    numbered = [f._replace(fold=i) for i, f in enumerate(folds, start=1)]
+    rates = fold_rates(df, numbered, label).collect()  # k rows
+    whole = {r["fold"] for r in rates if None not in tuple(r)}
+    for fold in numbered:
+        if fold.fold not in whole:
+            raise ValueError(f"fold {fold.fold} has no train or no validation rows")
     scored = scored_folds(df, folds, model, features, label, parallelism)
     valid_only = F.when(F.col(S.PREDICTION).isin(0, 1), F.col(S.PREDICTION)).otherwise(
         F.raise_error(F.lit("predictions must be 0 or 1")).cast("int")
     )
     metrics = score_metrics(scored.withColumn(S.PREDICTION, valid_only), ["fold"], label)
-    numbered = [f._replace(fold=i) for i, f in enumerate(folds, start=1)]
-    # k rows each
-    table = fold_table(df.sparkSession, numbered).join(fold_rates(df, numbered, label), "fold").join(metrics, "fold")
+    spark = df.sparkSession
+    known = spark.createDataFrame(
+        [tuple(r) for r in rates], "fold int, train_positive_rate double, valid_positive_rate double"
+    )
+    table = fold_table(spark, numbered).join(known, "fold").join(metrics, "fold")
     return table.select(*RESULT_COLUMNS)
 
 
