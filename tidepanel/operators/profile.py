@@ -21,18 +21,10 @@ WHISKER = 1.5
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, column, count, mean, std, min, q25, median, q75, max), exact quartiles."""
-    key = [*by, "column"]
-    moments = long_values(df, columns, by).groupBy(*key).agg(
-        F.count("*").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75), by)
-    return moments.join(quartiles, key).select(
-        *key, "count", "mean", "std", "min",
-        F.col("q_0").alias("q25"), F.col("q_1").alias("median"), F.col("q_2").alias("q75"), "max",
+    found = exact_quantiles(df, columns, (0.25, 0.5, 0.75), by, moments=True)
+    return found.select(
+        *by, "column", F.col("n").alias("count"), "mean", "std", F.col("least").alias("min"),
+        F.col("q_0").alias("q25"), F.col("q_1").alias("median"), F.col("q_2").alias("q75"), F.col("most").alias("max"),
     )
 
 
@@ -48,10 +40,7 @@ def describe_positive_rate(df: DataFrame) -> DataFrame:
 
 def centre_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, mean, median): the guide lines of the plots."""
-    means = long_values(df, columns).groupBy("column").agg(F.avg("value").alias("mean"))
-    return means.join(exact_quantiles(df, columns, (0.5,)), "column").select(
-        "column", "mean", F.col("q_0").alias("median")
-    )
+    return exact_quantiles(df, columns, (0.5,), moments=True).select("column", "mean", F.col("q_0").alias("median"))
 
 
 def box_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -116,43 +105,69 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
     )
 
 
-def density(
+def densities(
     df: DataFrame,
-    column: str,
+    columns: Sequence[str],
     grid: int = DENSITY_GRID,
     bins: int = DENSITY_BINS,
     window: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """(point, x, density): Gaussian kernel estimate with Scott's bandwidth.
+    """(column, point, x, density): Gaussian kernel estimates with Scott's bandwidth.
 
-    The rows are binned once (``bins`` counts); the kernel runs over that table
-    only, each bin meeting the ``grid`` points.  ``window`` zooms the grid
-    without changing data or bandwidth.  Bins are never wider than an eighth of
-    the bandwidth unless that takes more than 100,000 of them.
+    Two passes for all columns.  The rows are binned (at least ``bins`` counts per
+    column); the kernel runs over that table only, each bin meeting the ``grid``
+    points.  ``window`` zooms the grid without changing data or bandwidth.  Bins
+    are never wider than an eighth of the bandwidth unless that takes more than
+    100,000 of them.
     """
-    S.require_columns(df, [column], "density")
-    r = _range(df, column)
-    if r["n"] < 2 or not r["sd"]:
-        raise ValueError(f"density of {column} needs at least two different values")
-    h = r["sd"] * r["n"] ** -0.2
-    lo, hi = r["lo"], r["hi"]
-    bins = min(max(bins, math.ceil(8 * (hi - lo) / h)), 100_000)
-    width = (hi - lo) / bins
-    start, end = window or (lo - DENSITY_CUT * h, hi + DENSITY_CUT * h)
-    step = (end - start) / (grid - 1)
-    counts = _bin_counts(df, column, lo, hi, bins)
-    points = counts.select("bin", "n", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
-    x = F.lit(start) + F.col("point") * F.lit(step)
-    z = (x - (F.lit(lo) + (F.col("bin") + 0.5) * F.lit(width))) / F.lit(h)
-    scale = 1.0 / (r["n"] * h * math.sqrt(2 * math.pi))
+    S.require_columns(df, columns, "density")
+    values = long_values(df, columns)
+    found = values.groupBy("column").agg(
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.stddev_samp("value").alias("sd")
+    ).collect()  # one row per column
+    shapes = []
+    for r in found:
+        if r["n"] < 2 or not r["sd"]:
+            continue
+        h = r["sd"] * r["n"] ** -0.2
+        cells = min(max(bins, math.ceil(8 * (r["hi"] - r["lo"]) / h)), 100_000)
+        start, end = window or (r["lo"] - DENSITY_CUT * h, r["hi"] + DENSITY_CUT * h)
+        scale = 1.0 / (r["n"] * h * math.sqrt(2 * math.pi))
+        shapes.append(
+            (r["column"], r["lo"], (r["hi"] - r["lo"]) / cells, cells, h, start, (end - start) / (grid - 1), scale)
+        )
+    missing = sorted(set(columns) - {s[0] for s in shapes})
+    if missing:
+        raise ValueError(f"density needs at least two different values: {missing}")
+    shape = F.broadcast(
+        df.sparkSession.createDataFrame(
+            shapes,
+            "column string, lo double, width double, cells int, h double, start double, step double, scale double",
+        )
+    )
+    place = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.col("cells") - 1).cast("int")
+    counts = values.join(shape, "column").groupBy("column", place.alias("bin")).agg(F.count("*").alias("n"))
+    points = counts.join(shape, "column").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    x = F.col("start") + F.col("point") * F.col("step")
+    z = (x - (F.col("lo") + (F.col("bin") + 0.5) * F.col("width"))) / F.col("h")
     return (
-        points.groupBy("point")
-        .agg((F.sum(F.col("n") * F.exp(F.lit(-0.5) * z * z)) * F.lit(scale)).alias("density"))
-        .withColumn("x", F.lit(start) + F.col("point") * F.lit(step))
-        .select("point", "x", "density")
+        points.groupBy("column", "point", "start", "step", "scale")
+        .agg(F.sum(F.col("n") * F.exp(F.lit(-0.5) * z * z)).alias("mass"))
+        .select("column", "point", x.alias("x"), (F.col("mass") * F.col("scale")).alias("density"))
     )
 
 
+def density(
+    df: DataFrame,
+    column: str,
+    grid: int = DENSITY_GRID,
+    bins: int = DENSITY_BINS,
+    window: tuple[float, float] | None = None,
+) -> DataFrame:
+    """(point, x, density) of one column; see :func:`densities`."""
+    return densities(df, [column], grid, bins, window).drop("column")
+
+
 def density_exact(df: DataFrame, column: str, grid: int = DENSITY_GRID) -> DataFrame:
     """The estimate without binning: one pass with ``grid`` partial sums per task."""
     S.require_columns(df, [column], "density")

@@ -6,9 +6,9 @@ uniqueness plus equality of the key sets.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel import schema as S
@@ -20,19 +20,25 @@ def build_submission(scored: DataFrame) -> DataFrame:
     return scored.select(S.ROW_ID, F.col(S.PREDICTION).cast("int").alias(S.PREDICTION))
 
 
-def key_report(found: DataFrame, expected: DataFrame, key: str = S.ROW_ID) -> DataFrame:
+def key_report(
+    found: DataFrame, expected: DataFrame, key: str = S.ROW_ID, counts: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Counts of the keys of two tables: rows, NULLs, repeats, missing and surplus keys.
 
     Both sides are counted per key before they meet, so a repeated key is one row.
+    ``counts`` names conditions on the found rows to be counted in the same pass.
     """
+    counts = dict(counts or {})
+    extra = [c.cast("int").alias(name) for name, c in counts.items()]
     tagged = (
-        found.select(key, F.lit(1).alias("f"), F.lit(0).alias("e"))
-        .unionByName(expected.select(key, F.lit(0).alias("f"), F.lit(1).alias("e")))
+        found.select(key, F.lit(1).alias("f"), F.lit(0).alias("e"), *extra)
+        .unionByName(expected.select(key, F.lit(0).alias("f"), F.lit(1).alias("e"), *[F.lit(0).alias(n) for n in counts]))
         .groupBy(key)
-        .agg(F.sum("f").alias("f"), F.sum("e").alias("e"))
+        .agg(F.sum("f").alias("f"), F.sum("e").alias("e"), *[F.sum(n).alias(n) for n in counts])
     )
     known = F.col(key).isNotNull()
     return tagged.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts],
         F.coalesce(F.sum("f"), F.lit(0)).alias("n_found"),
         F.coalesce(F.sum("e"), F.lit(0)).alias("n_expected"),
         F.coalesce(F.sum(F.when(~known, F.col("f"))), F.lit(0)).alias("n_null_keys"),
@@ -56,9 +62,22 @@ def prediction_report(df: DataFrame) -> DataFrame:
 
 def submission_report(submission: DataFrame, expected: DataFrame) -> DataFrame:
     """One row with all counts of both reports and ``ok``."""
-    keys, values = key_report(submission, expected), prediction_report(submission)
-    # one row each
-    both = keys.withColumn("__one", F.lit(1)).join(values.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    p = F.col(S.PREDICTION)
+    both = key_report(
+        submission,
+        expected,
+        counts={
+            "n_null": p.isNull(),
+            "n_not_binary": p.isNotNull() & ~p.isin(0, 1),
+            "n_positive": F.coalesce(p == 1, F.lit(False)),
+        },
+    )
+    both = both.withColumns(
+        {
+            "n_rows": F.col("n_found"),
+            "positive_rate": F.try_divide(F.col("n_positive"), F.col("n_found") - F.col("n_null")),
+        }
+    )
     faults = ["n_null_keys", "n_repeated", "n_missing", "n_surplus", "n_null", "n_not_binary"]
     ok = F.col("n_found") == F.col("n_expected")
     for name in faults:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel import schema as S
-from tidepanel.functions.sizing import broadcast_if_small
+from tidepanel.functions.sizing import broadcast_if_small, kept
 
 SKETCH_ACCURACY = 10_000
 
@@ -26,9 +26,12 @@ def exact_quantiles(
     probabilities: Sequence[float] = (0.25, 0.5, 0.75),
     by: Sequence[str] = (),
     accuracy: int = SKETCH_ACCURACY,
+    moments: bool = False,
 ) -> DataFrame:
     """(by, column, n, q_0, q_1, ...) with linear interpolation between order statistics.
 
+    ``moments`` adds mean, std (n-1), least and most from the pass of the sketch.
+
     Two passes.  A mergeable sketch brackets every quantile between two values
     whose ranks differ by at most a few ``1/accuracy`` of the rows.  Then rows
     are counted: one count for everything between two brackets, and one per
@@ -52,6 +55,8 @@ def exact_quantiles(
         F.min("value").alias("least"),
         F.max("value").alias("most"),
         (F.count("*") <= 2 * accuracy).alias("short"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
     )
 
     # Cells in ascending order: below a bracket (coarse), inside it (one per value).
@@ -74,7 +79,10 @@ def exact_quantiles(
         cell, inside = cell.when(v <= high, 2 * i + 1), inside.when(v <= high, F.lit(True))
     cell, inside = cell.otherwise(2 * len(probabilities)), inside.otherwise(F.lit(False))
 
-    sketch = broadcast_if_small(sketch) if by else F.broadcast(sketch)
+    if by:
+        sketch = broadcast_if_small(sketch)
+    else:  # one row per column
+        sketch = F.broadcast(kept(sketch) if moments else sketch)
     placed = values.join(sketch, key).select(*key, "value", cell.alias("cell"), inside.alias("inside"))
     counts = placed.groupBy(*key, "cell", F.when(F.col("inside"), F.col("value")).alias("value")).agg(
         F.count("*").alias("rows")
@@ -95,7 +103,7 @@ def exact_quantiles(
             picks[f"{side}_{i}"] = F.max(found)
     picked = ranked.groupBy(*key).agg(F.max("n").alias("n"), *[c.alias(n) for n, c in picks.items()])
     share = {i: F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1)) for i, p in enumerate(probabilities)}
-    return picked.select(
+    found = picked.select(
         *key,
         "n",
         *[
@@ -103,3 +111,4 @@ def exact_quantiles(
             for i in range(len(probabilities))
         ],
     )
+    return found.join(sketch.select(*key, "mean", "std", "least", "most"), key) if moments else found

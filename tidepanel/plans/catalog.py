@@ -329,6 +329,10 @@ def q_density_zoom(spark, root):
     return settled(profile.density(kept_train(spark, root, S.TARGET), S.TARGET, window=(-0.01, 0.01)))
 
 
+def q_density_profiled(spark, root):
+    return settled(profile.densities(kept_train(spark, root, *PROFILED), PROFILED))
+
+
 def q_density_exact(spark, root):
     return settled(profile.density_exact(kept_train(spark, root, "RET_1"), "RET_1"))
 
@@ -417,6 +421,7 @@ def sql_queries() -> dict[str, Query]:
         "density_target": q_density_target,
         "density_zoom": q_density_zoom,
         "density_exact": q_density_exact,
+        "density_profiled": q_density_profiled,
         "submission": q_submission,
         "submission_checks": q_submission_checks,
         "run_report": q_run_report,

@@ -201,28 +201,29 @@ SELECT {key}, {r('q25')} AS q25, {r('median')} AS median, {r('q75')} AS q75,
 FROM j GROUP BY {key}, q25, median, q75"""
 
 
-def _density(column: str, window: tuple[float, float] | None = None, bins: int | None = 1000) -> str:
+def _density(columns: list[str], window: tuple[float, float] | None = None, bins: int | None = 1000, name: bool = False) -> str:
     """Kernel sum over grid points; over bin midpoints when ``bins`` is given."""
     g = DENSITY_GRID - 1
     start = f"CAST({window[0]} AS DOUBLE)" if window else f"lo - {DENSITY_CUT} * h"
     end = f"CAST({window[1]} AS DOUBLE)" if window else f"hi + {DENSITY_CUT} * h"
-    values = f"SELECT CAST({column} AS DOUBLE) AS v FROM train WHERE {column} IS NOT NULL"
-    width = f"((hi - lo) / least(greatest({bins}, ceil(8 * (hi - lo) / h)), 100000))"
+    cells = f"least(greatest({bins}, ceil(8 * (hi - lo) / h)), 100000)"
+    width = f"((hi - lo) / {cells})"
     mass = (
-        "SELECT v AS c, 1 AS m FROM vals"
+        'SELECT "column", value AS c, 1 AS m FROM vals'
         if bins is None
-        else f"""SELECT lo + (b + 0.5) * {width} AS c, m FROM (
-    SELECT least(floor((v - lo) / {width}), least(greatest({bins}, ceil(8 * (hi - lo) / h)), 100000) - 1) AS b,
-      count(*) AS m FROM vals, stats GROUP BY b), stats"""
+        else f"""SELECT "column", lo + (b + 0.5) * {width} AS c, m FROM (
+    SELECT "column", least(floor((value - lo) / {width}), {cells} - 1) AS b, count(*) AS m
+    FROM vals JOIN stats USING ("column") GROUP BY "column", b) JOIN stats USING ("column")"""
     )
-    return f"""{BASE}, vals AS ({values}),
+    return f"""{BASE}, vals AS ({_long(columns)}),
 stats AS (SELECT *, sd * pow(n, CAST(-0.2 AS DOUBLE)) AS h FROM (
-  SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS sd FROM vals)),
+  SELECT "column", count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd FROM vals GROUP BY "column")),
 mass AS ({mass}),
-grid AS (SELECT CAST(i AS INTEGER) AS point, {start} + i * (({end} - ({start})) / {g}) AS x FROM range({g + 1}) t(i), stats)
-SELECT point, {r('x')} AS x,
-  {r('sum(m * exp(-0.5 * ((x - c) / h) * ((x - c) / h))) / (any_value(stats.n) * any_value(h) * sqrt(2 * pi()))')} AS density
-FROM grid, mass, stats GROUP BY point, x"""
+grid AS (SELECT "column", CAST(i AS INTEGER) AS point, {start} + i * (({end} - ({start})) / {g}) AS x
+  FROM range({g + 1}) t(i), stats)
+SELECT {'"column", ' if name else ''}point, {r('x')} AS x,
+  {r('sum(m * exp(-0.5 * ((x - c) / h) * ((x - c) / h))) / (any_value(n) * any_value(h) * sqrt(2 * pi()))')} AS density
+FROM grid JOIN mass USING ("column") JOIN stats USING ("column") GROUP BY "column", point, x"""
 
 
 def _category_diff() -> str:
@@ -347,9 +348,10 @@ SELECT "column", {r('avg(value)')} AS mean, {r('median(value)')} AS median FROM
 c AS (SELECT least(floor((target - lo) / w), 99) AS b, count(*) AS n FROM train, s WHERE target IS NOT NULL GROUP BY b)
 SELECT CAST(i AS INTEGER) AS bin, {r('lo + i * w')} AS bin_start, {r('lo + (i + 1) * w')} AS bin_end, coalesce(n, 0) AS n
 FROM range(100) t(i) CROSS JOIN s LEFT JOIN c ON b = i""",
-        "density_target": _density("target"),
-        "density_zoom": _density("target", (-0.01, 0.01)),
-        "density_exact": _density("RET_1", bins=None),
+        "density_target": _density(["target"]),
+        "density_zoom": _density(["target"], (-0.01, 0.01)),
+        "density_exact": _density(["RET_1"], bins=None),
+        "density_profiled": _density(PROFILED, name=True),
         "submission": f"{BASE} {binary}",
         "submission_checks": f"""{BASE}, s AS ({binary})
 SELECT count(*) AS n_found, (SELECT count(*) FROM test) AS n_expected, count(*) - count(ROW_ID) AS n_null_keys,
