@@ -93,7 +93,10 @@ def subset_size(rule: int | float | str | None, n: int) -> int:
 # ---- rows ------------------------------------------------------------------
 
 def feature_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
-    """At most ``bins``-1 ascending cut points per feature, from mergeable sketches in one pass."""
+    """At most ``bins``-1 ascending cut points per feature, from mergeable sketches in one pass.
+
+    Empty when there are no rows.
+    """
     if not 2 <= bins <= 256:
         raise ValueError("bins must be between 2 and 256")
     shares = [i / bins for i in range(1, bins)]
@@ -104,9 +107,7 @@ def feature_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.
         F.percentile_approx("value", shares, 20 * bins).alias("cuts")
     )
     found = {row["x"]: np.unique(np.asarray(row["cuts"], dtype=float)) for row in rows.collect()}
-    if not found:
-        raise ValueError("no training rows")
-    return [found[n] for n in names]
+    return [found[n] for n in names] if found else []
 
 
 def binned_rows(df: DataFrame, features: Sequence[str], label: str, edges: list[np.ndarray]) -> DataFrame:
@@ -249,10 +250,10 @@ def fit_folds(df: DataFrame, features: Sequence[str], label: str, folds: int, pl
     features = list(features)
     everywhere = (1 << folds) - 1
     # a K-fold has no row that trains every fold; then each training row counts
-    common = df.where(F.col("train") == everywhere)
-    if common.isEmpty():
-        common = df.where(F.col("train") != 0)
-    edges = feature_edges(common, features, plan.bins)
+    edges = feature_edges(df.where(F.col("train") == everywhere), features, plan.bins)
+    edges = edges or feature_edges(df.where(F.col("train") != 0), features, plan.bins)
+    if not edges:
+        raise ValueError("no training rows")
     rows = binned_rows(df, features, label, edges).persist(StorageLevel.MEMORY_AND_DISK)
     members = [_Member(f, p) for f, p in enumerate(_priors(rows, folds, plan))]
     rng = np.random.default_rng(plan.seed)
