@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import chat, mixing, url_filter
+from tidepanel.llm import bpe, chat, mixing, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op5_url_filters": url_filter.op5_url_filters,
         "op7_chat_format": chat.op7_chat_format,
+        "op9_bpe": bpe.op9_bpe,
     }
 
 

@@ -80,33 +80,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     targets = targets.withColumn("epochs", epochs).withColumn(
         "rest", F.floor(F.col("target")).cast("bigint") - F.col("epochs") * F.col("source_size")
     )
+    # What each range needs to know: its epochs, whether the last epoch takes all of it, and where it stands if the budget
+    # ends inside.  Rows meet it by (source, range), so a source with a third of all rows is dealt out over all its ranges.
     upto = Window.partitionBy("source").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
     before = per_range.withColumn("before", F.coalesce(F.sum("range_size").over(upto), F.lit(0)).cast("bigint"))
-    cut = before.join(targets, before["source"].eqNullSafe(targets["source"])).where(
-        (F.col("before") < F.col("rest")) & (F.col("before") + F.col("range_size") > F.col("rest"))
+    plan = before.join(targets, before["source"].eqNullSafe(targets["source"])).select(
+        before["source"].alias("plan_source"),
+        F.col("key_range").alias("plan_range"),
+        *["source_size", "target", "epochs", "rest", "before"],
+        (F.col("before") + F.col("range_size") <= F.col("rest")).alias("is_in"),
+        ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("range_size") > F.col("rest"))).alias("is_cut"),
     )
-    cut = cut.select(before["source"].alias("cut_source"), F.col("key_range").alias("cut_range"), F.col("before").alias("cut_before"))
-    # A source whose last epoch ends between two ranges has no range to cut: all up to there are in.
-    last_in = before.join(targets, before["source"].eqNullSafe(targets["source"])).where(
-        F.col("before") + F.col("range_size") <= F.col("rest")
-    )
-    last_in = last_in.groupBy(before["source"].alias("in_source")).agg(F.max("key_range").alias("last_in"))
-    plan = (
-        targets.join(cut, targets["source"].eqNullSafe(F.col("cut_source")), "left")
-        .join(last_in, targets["source"].eqNullSafe(F.col("in_source")), "left")
-        .select(F.col("source").alias("plan_source"), "source_size", "target", "epochs", "rest", "cut_range", "cut_before", "last_in")
-    )
-    joined = rows.join(plan, rows["source"].eqNullSafe(F.col("plan_source")), "left")
-    in_cut = F.coalesce(F.col("key_range") == F.col("cut_range"), F.lit(False))
+    plan = stored(plan, "mix-plan")
+    joined = rows.join(plan, rows["source"].eqNullSafe(F.col("plan_source")) & (F.col("key_range") == F.col("plan_range")))
     columns = ["doc_id", "size", "source_size", "target"]
-    whole = joined.where(~in_cut).select(
-        *columns,
-        (F.col("size") * (F.col("epochs") + F.when(F.coalesce(F.col("key_range") <= F.col("last_in"), F.lit(False)), 1).otherwise(0))).alias("taken"),
-    )
-    running = Window.partitionBy("source").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("cut_before") + F.coalesce(F.sum("size").over(running), F.lit(0))
+    whole = joined.where(~F.col("is_cut")).select(*columns, (F.col("size") * (F.col("epochs") + F.col("is_in").cast("int"))).alias("taken"))
+    running = Window.partitionBy("source", "key_range").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("before") + F.coalesce(F.sum("size").over(running), F.lit(0))
     share_of = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - ahead))
-    partly = joined.where(in_cut).select(*columns, (F.col("size") * F.col("epochs") + share_of).alias("taken"))
+    partly = joined.where("is_cut").select(*columns, (F.col("size") * F.col("epochs") + share_of).alias("taken"))
     return whole.unionByName(partly).withColumn("taken", F.col("taken").cast("bigint"))
 
 
