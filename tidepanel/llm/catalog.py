@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import bpe, chat, mixing, url_filter
+from tidepanel.llm import bpe, chat, fingerprint, mixing, quality, token_file, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op4_quality": quality.op4_quality,
         "op5_url_filters": url_filter.op5_url_filters,
+        "op6_token_file": token_file.op6_token_file,
         "op7_chat_format": chat.op7_chat_format,
         "op9_bpe": bpe.op9_bpe,
+        "op10_fingerprints": fingerprint.op10_fingerprints,
     }
 
 
