@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import bpe, chat, fingerprint, mixing, quality, token_file, url_filter
+from tidepanel.llm import bpe, chat, fingerprint, mixing, ngram_join, quality, token_file, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op4_quality": quality.op4_quality,
         "op5_url_filters": url_filter.op5_url_filters,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_mix_sources": mixing.OP2_SQL, "op5_url_filters": url_filter.OP5_SQL, "op7_chat_format": chat.OP7_SQL}
+    return {"op1_ngram_join": ngram_join.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op5_url_filters": url_filter.OP5_SQL, "op7_chat_format": chat.OP7_SQL}
