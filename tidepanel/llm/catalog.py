@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import bpe, chat, fingerprint, mixing, ngram_join, quality, token_file, url_filter
+from tidepanel.llm import bpe, chat, fingerprint, mixing, ngram_join, quality, token_file, url_filter, vectors
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_token_file": token_file.op6_token_file,
         "op7_chat_format": chat.op7_chat_format,
+        "op8_near_vectors": vectors.op8_near_vectors,
         "op9_bpe": bpe.op9_bpe,
         "op10_fingerprints": fingerprint.op10_fingerprints,
     }
