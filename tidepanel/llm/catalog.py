@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import bpe, chat, fingerprint, mixing, ngram_join, quality, token_file, url_filter, vectors
+from tidepanel.llm import bpe, chat, context_tree, fingerprint, mixing, ngram_join, quality, token_file, url_filter, vectors
 
 
 def queries() -> dict:
     return {
         "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_context_tree": context_tree.op3_context_tree,
         "op4_quality": quality.op4_quality,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_token_file": token_file.op6_token_file,
