@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import slices
 from tidepanel.llm.common import partitions_for, stored
+from tidepanel.llm.words import word_names
 
 DEPTH, ROOT = 5, 2
 END = 0xFF  # no byte of UTF-8
@@ -47,22 +48,6 @@ FREQUENT = 1 << 17
 HELD_OUT = 10
 SLICE = 6_000_000
 COUNTED = 3_000_000
-CACHE_WORDS = 500_000
-
-
-class _Names(dict):
-    """word -> 64-bit name, filled on demand."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        name = self[word] = xxhash.xxh3_64_intdigest(word)
-        return name
-
-
-_NAMES = _Names()
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,12 +225,11 @@ def _count_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in source:
         ids = batch.column(0).to_pylist()
         for first, run in slices(batch.column(1), SLICE):
-            texts = [_lowered(t) for i, t in zip(ids[first:], run) if _training(i)]
-            if not texts:
+            mine = [t for i, t in zip(ids[first:], run) if _training(i)]
+            if not mine:
                 continue
-            words = [w for t in texts for w in t.split()]
-            keys, counts = np.unique(np.fromiter(map(_NAMES.__getitem__, words), np.uint64, len(words)), return_counts=True)
-            del words
+            texts = [_lowered(t) for t in mine]
+            keys, counts = np.unique(word_names(mine)[0], return_counts=True)
             held[0].append((keys, counts.astype(np.int64)))
             pairs, _ = grams(texts)
             keys, counts = np.unique(pairs, return_counts=True)
@@ -371,10 +355,7 @@ def _score_batches(shared):
                 each = model.log10_costs(distinct)[where]
                 scores = np.add.reduceat(each, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
                 del pairs, where, each
-                words = [t.split() for t in texts]
-                counts = np.array([len(w) for w in words], np.int64)
-                names = np.fromiter((_NAMES[w] for mine in words for w in mine), np.uint64, int(counts.sum()))
-                del words
+                names, counts = word_names(run)
                 owner = np.repeat(np.arange(len(texts)), counts)
                 hit = np.zeros(len(names), bool)
                 value = np.zeros(len(names))

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.bpe import slices
 from tidepanel.llm.common import partitions_for, stored
 from tidepanel.llm.components import connected
+from tidepanel.llm.words import M1, mixed, word_names
 
 SHINGLE = 5
 # Threshold as a fraction of integers: 100 * intersection >= 80 * union.
@@ -47,52 +48,36 @@ FREQUENT_IN_BATCH = 4
 FILTER_BITS = 1 << 23
 BLOCK = 2048
 STAR_ROUNDS = 2
-CACHE_WORDS = 500_000
-_K, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-class _Names(dict):
-    """word -> 64-bit name, filled on demand."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        name = self[word] = xxhash.xxh3_64_intdigest(word)
-        return name
-
-
-_NAMES = _Names()
-
-
-def shingle_set(text: str) -> np.ndarray:
-    """Sorted distinct names of the shingles of a whole text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes know ASCII letters and white space only
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    names = np.fromiter(map(_NAMES.__getitem__, words), np.uint64, n)
-    width = min(n, SHINGLE)
-    with np.errstate(over="ignore"):
-        out = np.full(n - width + 1, np.uint64(width))
-        for k in range(width):
-            out = out * _K + names[k : n - width + 1 + k]
-        return np.unique(_mixed(out))
+_K = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct names of the shingles of whole texts."""
+    names, counts = word_names(texts)
+    rolled = np.full(max(0, len(names) - SHINGLE + 1), np.uint64(SHINGLE))
+    for k in range(SHINGLE if len(rolled) else 0):
+        rolled = rolled * _K + names[k : len(names) - SHINGLE + 1 + k]
+    rolled = mixed(rolled)
+    found, at = [], 0
+    for n in counts.tolist():
+        if n >= SHINGLE:
+            found.append(np.unique(rolled[at : at + n - SHINGLE + 1]))
+        elif n:
+            whole = np.full(1, np.uint64(n))
+            for k in range(n):
+                whole = whole * _K + names[at + k : at + k + 1]
+            found.append(mixed(whole))
+        else:
+            found.append(np.empty(0, np.uint64))
+        at += n
+    return found
 
 
 def set_name(shingles: np.ndarray) -> tuple[int, int]:
     """Name of a set and a second, independent one as a check; both fit BIGINT."""
-    with np.errstate(over="ignore"):
-        a = _mixed(shingles * _M1).sum(dtype=np.uint64) + np.uint64(len(shingles))
-        b = _mixed(shingles + _K).sum(dtype=np.uint64)
-    return int(_mixed(np.array([a]))[0].view(np.int64)), int(b.view(np.int64))
+    a = mixed(shingles * M1).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))
+    b = mixed(shingles + _K).sum(dtype=np.uint64, keepdims=True)
+    return int(mixed(a).view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
 def prefix_length(n: int) -> int:
@@ -111,14 +96,25 @@ def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
-    """Fold to ``words`` 64-bit words; parities add up."""
-    while len(bitmap) > words:
-        half = len(bitmap) // 2
-        bitmap = bitmap[:half] ^ bitmap[half:]
+def folded(bitmap: int, bits: int, wanted: int) -> int:
+    """Fold to ``wanted`` bits; parities add up."""
+    while bits > wanted:
+        bits //= 2
+        bitmap = (bitmap ^ (bitmap >> bits)) & ((1 << bits) - 1)
     return bitmap
 
 
+def sizes_fit(n: int, m: int) -> bool:
+    return DEN * n >= NUM * m if n < m else DEN * m >= NUM * n
+
+
+def may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """Do the bitmaps allow a link?  Linked sets differ in at most (n + m) * (1 - t) / (1 + t) shingles, and bitmaps in no more bits."""
+    bits = 8 * min(len(x), len(y))
+    a, b = folded(int.from_bytes(x, "little"), 8 * len(x), bits), folded(int.from_bytes(y, "little"), 8 * len(y), bits)
+    return (DEN + NUM) * (a ^ b).bit_count() <= (DEN - NUM) * (n + m)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Exact test on two sorted arrays."""
     n, m = len(a), len(b)
@@ -135,7 +131,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
     for first, run in slices(batch.column(1)):
-        yield first, [shingle_set(t) for t in run]
+        yield first, shingle_sets(run)
 
 
 def _name_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +141,9 @@ def _name_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = [set_name(s) for s in sets]
             n = len(sets)
             distinct = {a: s for (a, _), s in zip(names, sets)}
+            drawn = {a: parity_bitmap(s).tobytes() for a, s in distinct.items() if len(s)}
+            ids = batch.column(0).slice(first, n).to_pylist()
+            bitmaps = [drawn.pop(a, None) if i is not None else None for i, (a, _) in zip(ids, names)]
             shared, counts = np.unique(np.concatenate([*distinct.values(), np.empty(0, np.uint64)]), return_counts=True)
             shared, counts = shared[counts >= FREQUENT_IN_BATCH], counts[counts >= FREQUENT_IN_BATCH]
             k = len(shared)
@@ -152,8 +151,9 @@ def _name_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array([0] * n + [1] * k, pa.int32()),
                  pa.concat_arrays([batch.column(0).slice(first, n), pa.array(shared.view(np.int64))]),
                  pa.array([len(s) for s in sets] + counts.tolist(), pa.int64()),
-                 pa.array([a for a, _ in names] + [None] * k, pa.int64()), pa.array([b for _, b in names] + [None] * k, pa.int64())],
-                names=["kind", "id", "n", "sid", "check"],
+                 pa.array([a for a, _ in names] + [None] * k, pa.int64()), pa.array([b for _, b in names] + [None] * k, pa.int64()),
+                 pa.array(bitmaps + [None] * k, pa.binary())],
+                names=["kind", "id", "n", "sid", "check", "bitmap"],
             )
 
 
@@ -221,35 +221,31 @@ def _shared_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(sid[keep]), pa.array(n[keep], pa.int32())], names=["token", "sid", "n"])
 
 
-def filter_positions(sid: np.ndarray) -> list[np.ndarray]:
-    raw = sid.view(np.uint64)
-    return [((raw >> np.uint64(shift)) % np.uint64(FILTER_BITS)).astype(np.int64) for shift in (0, 20, 40)]
+_SHIFTS = (0, 20, 40)
 
 
-def _set_batches(words: np.ndarray | None):
-    """(sid, shingles, bitmap) of the sets that the filter lets through."""
+def _set_batches(words: np.ndarray):
+    """(sid, shingles) of the documents that the filter lets through; the others' texts are not parsed."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for _, sets in _sets(batch):
+            raw = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            passed = np.ones(len(raw), bool)
+            for shift in _SHIFTS:
+                spot = (raw >> np.uint64(shift)) % np.uint64(FILTER_BITS)
+                passed &= (words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+            for _, sets in _sets(batch.filter(pa.array(passed))):
                 mine = {set_name(s)[0]: s for s in sets if len(s)}
-                sid = np.fromiter(mine, np.int64, len(mine))
-                passed = np.ones(len(sid), bool)
-                for pos in filter_positions(sid):
-                    passed &= (words[pos >> 6] >> (pos & 63).astype(np.uint64)) & np.uint64(1) == 1
-                kept = [mine[i] for i in sid[passed].tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid[passed]), pa.array([s.tobytes() for s in kept], pa.binary()), pa.array([parity_bitmap(s).tobytes() for s in kept], pa.binary())],
-                    names=["sid", "shingles", "bitmap"],
+                    [pa.array(list(mine), pa.int64()), pa.array([s.tobytes() for s in mine.values()], pa.binary())], names=["sid", "shingles"]
                 )
 
     return batches
 
 
 def _filter_words(needed: DataFrame) -> np.ndarray:
-    """A Bloom filter of the names in ``needed`` (one column sid): FILTER_BITS / 64 words at most reach the driver."""
-    raw = F.col("sid")
-    spots = [F.pmod(F.shiftrightunsigned(raw, s), F.lit(FILTER_BITS)) if s else F.pmod(raw, F.lit(FILTER_BITS)) for s in (0, 20, 40)]
+    """A Bloom filter of the hashes in ``needed`` (one column, hash): FILTER_BITS / 64 words at most reach the driver."""
+    spots = [F.pmod(F.shiftrightunsigned("hash", s) if s else F.expr(f"hash & {FILTER_BITS - 1}"), F.lit(FILTER_BITS)) for s in _SHIFTS]
     spot = needed.select(F.explode(F.array(*spots)).alias("spot"))
     words = spot.groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.uint64)
@@ -272,22 +268,52 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(_exact_batches, "a bigint, b bigint")
 
 
+class _Sets:
+    """Shingle arrays of the sets that pairs ask for, read from the texts once and kept in the shared folder."""
+
+    def __init__(self, texts: DataFrame, members: DataFrame):
+        self.texts, self.known = texts.withColumn("hash", F.xxhash64("doc_id")), None
+        self.owners = members.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("owner"))
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+        if self.known is not None:
+            wanted = wanted.join(self.known.select("sid"), "sid", "left_anti")
+        wanted = stored(wanted, "wanted")
+        if self.known is None or wanted.limit(1).count():
+            owners = self.owners.join(wanted, "sid", "left_semi").select(F.xxhash64("owner").alias("hash"))
+            read = self.texts.mapInArrow(_set_batches(_filter_words(owners)), "sid bigint, shingles binary")
+            read = stored(read.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+            self.known = read if self.known is None else self.known.union(read)
+        return self.known
+
+
+def _near_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose bitmaps allow a link; the last two columns are the bitmaps and stay behind."""
+    for batch in source:
+        rows = zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 4, batch.num_columns)))
+        good = [sizes_fit(n, m) and may_link(n, m, x, y) for n, m, x, y in rows]
+        yield batch.filter(pa.array(good, pa.bool_())).select(range(batch.num_columns - 4))
+
+
 def _with_components(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return tiles.withColumn("component", F.col("sid"))
     return tiles.join(labels, tiles["sid"] == labels["node"], "left").withColumn("component", F.coalesce("component", "sid")).drop("node")
 
 
-def _star_proposals(tiles: DataFrame) -> DataFrame:
-    """For each set the most frequent of the sets that its tiles propose, all in other components and of fitting size."""
+def _star_proposals(tiles: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """For each set the most frequent of the sets that its tiles propose: in another component, and not parted by bitmaps."""
     group = Window.partitionBy("token", "band")
-    rows = tiles.withColumn("c1", F.min(F.struct("sid", "component", "n")).over(group))
-    rows = rows.withColumn("c2", F.min(F.when(F.col("component") != F.col("c1.component"), F.struct("sid", "component", "n"))).over(group))
+    rows = tiles.withColumn("c1", F.min(F.struct("sid", "component")).over(group))
+    rows = rows.withColumn("c2", F.min(F.when(F.col("component") != F.col("c1.component"), F.struct("sid", "component"))).over(group))
     pick = F.when(F.col("component") != F.col("c1.component"), F.col("c1")).otherwise(F.col("c2"))
-    rows = rows.withColumn("to", pick).where("to is not null")
-    rows = rows.where(f"{DEN} * least(n, to.n) >= {NUM} * greatest(n, to.n)")
-    votes = rows.groupBy("sid", F.col("to.sid").alias("other")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("sid").agg(F.max(F.struct("votes", "other")).alias("best"))
+    votes = rows.withColumn("other", pick["sid"]).where("other is not null").groupBy("sid", "other").agg(F.count("*").alias("votes"))
+    one = bitmaps.select("sid", F.col("n").alias("n1"), F.col("bitmap").alias("b1"))
+    two = bitmaps.select(F.col("sid").alias("other"), F.col("n").alias("n2"), F.col("bitmap").alias("b2"))
+    near = votes.join(one, "sid").join(two, "other").select("sid", "other", "votes", "n1", "n2", "b1", "b2")
+    near = near.mapInArrow(_near_batches, "sid bigint, other bigint, votes bigint")
+    best = near.groupBy("sid").agg(F.max(F.struct("votes", "other")).alias("best"))
     return best.select(F.least("sid", "best.other").alias("a"), F.greatest("sid", "best.other").alias("b")).distinct()
 
 
@@ -296,23 +322,21 @@ def _tile_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, rows = None, []
 
     def pairs():
-        found = []
-        if len(rows) > 1:
-            sid, n, component, block, guest = (np.array([r[k] for r in rows], np.int64) for k in range(5))
-            words = min(len(r[5]) for r in rows) // 8
-            bits = np.stack([folded(np.frombuffer(r[5], np.uint64), words) for r in rows])
-            left = np.flatnonzero(block == key[2]) if key[2] != key[3] else np.arange(len(rows))
-            right = np.flatnonzero(block == key[3]) if key[2] != key[3] else left
-            for i in left.tolist():
-                other = right[right > i] if key[2] == key[3] else right
-                fits = (component[other] != component[i]) & (DEN * np.minimum(n[other], n[i]) >= NUM * np.maximum(n[other], n[i])) & ((guest[other] == 0) | (guest[i] == 0))
-                other = other[fits]
-                if len(other):
-                    apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                    # Linked sets differ in at most (n + m) * (1 - t) / (1 + t) shingles.
-                    other = other[(DEN + NUM) * apart <= (DEN - NUM) * (n[other] + n[i])]
-                    found += [(min(sid[i], sid[j]), max(sid[i], sid[j])) for j in other.tolist()]
-        return list(dict.fromkeys(found))
+        """Each row meets the rows before it: of the other block, or of its own when the tile is one block."""
+        if len(rows) < 2:
+            return []
+        found, (_, _, bi, bj) = {}, key
+        rows.sort(key=lambda r: r[1])
+        low = 0
+        for i, (sid, n, component, block, guest, bitmap) in enumerate(rows):
+            while DEN * rows[low][1] < NUM * n:  # too small for this row and all later ones
+                low += 1
+            for other, m, c, b, g, bits in rows[low:i]:
+                if c != component and not (g and guest) and (b != block or bi == bj):
+                    pair = (sid, other) if sid < other else (other, sid)
+                    if pair not in found and may_link(n, m, bitmap, bits):
+                        found[pair] = None
+        return list(found)
 
     def batch_of(found):
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
@@ -329,7 +353,7 @@ def _tile_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(found)
 
 
-def _remaining_pairs(tiles: DataFrame, sets: DataFrame) -> DataFrame:
+def _remaining_pairs(tiles: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Pairs of different components in one tile or in a tile and the next larger one, by bitmaps."""
     # A band's sets meet each other and, as guests, those of the next band.
     seats = F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(0).alias("guest")), F.struct((F.col("band") - 1).alias("tile"), F.lit(1).alias("guest"))))
@@ -345,7 +369,7 @@ def _remaining_pairs(tiles: DataFrame, sets: DataFrame) -> DataFrame:
     block = F.pmod(F.col("sid"), F.col("blocks")).cast("int")
     seated = seated.withColumn("block", block)
     meets = F.expr("explode(transform(sequence(0, blocks - 1), j -> struct(least(block, j) as bi, greatest(block, j) as bj)))")
-    seated = seated.withColumn("meets", meets).join(sets.select("sid", "bitmap"), "sid")
+    seated = seated.withColumn("meets", meets).join(bitmaps.select("sid", "bitmap"), "sid")
     rows = seated.select("token", "tile", "meets.bi", "meets.bj", "sid", "n", "component", "block", "guest", "bitmap")
     keys = ["token", "tile", "bi", "bj"]
     rows = rows.repartition(partitions_for(tiles.sparkSession), *keys).sortWithinPartitions(*keys)
@@ -359,7 +383,7 @@ def ngram_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pair is among them: pairs that are already connected are not compared.
     """
     spark, texts = docs.sparkSession, _texts(docs)
-    named = stored(texts.mapInArrow(_name_batches, "kind int, id bigint, n bigint, sid bigint, check bigint"), "set-names")
+    named = stored(texts.mapInArrow(_name_batches, "kind int, id bigint, n bigint, sid bigint, check bigint, bitmap binary"), "set-names")
     members = named.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "sid", "check")
     counts = named.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).toArrow()
     frequent = np.array(counts.column("id"), np.int64).view(np.uint64)
@@ -370,14 +394,14 @@ def ngram_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = tokens.repartition(partitions_for(spark), "token").sortWithinPartitions("token", "sid")
     band = F.floor(F.log(F.col("n")) / math.log(DEN / NUM) + 1e-9).cast("int")
     tiles = stored(tokens.mapInArrow(_shared_batches, "token bigint, sid bigint, n int").withColumn("band", band), "tiles")
-    words = _filter_words(tiles.select("sid").distinct())
-    sets = texts.mapInArrow(_set_batches(words), "sid bigint, shingles binary, bitmap binary")
-    sets = stored(sets.join(tiles.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-    links, labels = None, None
+    # Bitmaps are an 8th of a byte per shingle; whole sets are read for pairs that bitmaps cannot part.
+    drawn = named.where("bitmap is not null").select("sid", "n", "bitmap").join(tiles.select("sid").distinct(), "sid", "left_semi")
+    bitmaps = stored(drawn.dropDuplicates(["sid"]), "bitmaps")
+    sets, links, labels = _Sets(texts, members), None, None
     for k in range(STAR_ROUNDS + 1):
         rows = _with_components(tiles, labels)
-        pairs = _star_proposals(rows) if k < STAR_ROUNDS else _remaining_pairs(rows, sets)
-        fresh = stored(verified(pairs, sets), "links")
+        pairs = stored(_star_proposals(rows, bitmaps) if k < STAR_ROUNDS else _remaining_pairs(rows, bitmaps), "pairs")
+        fresh = stored(verified(pairs, sets.of(pairs)), "links")
         links = fresh if links is None else links.union(fresh)
         if k < STAR_ROUNDS:
             labels = stored(connected(links), "labels")
