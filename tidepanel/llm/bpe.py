@@ -35,9 +35,10 @@ CACHE_UNITS = 1_000_000
 _ID = struct.Struct("<I")
 _AMBIGUOUS = re.compile(r" (?:\s|\Z)")
 _SINGLE = re.compile(r" (?=\S)")
-# Up to here all versions of Unicode agree on what is a letter.
-_PLAIN_END = "\u0250"
-_MARKS = frozenset(".,;:!?")
+# Latin letters (all versions of Unicode agree on them), digits, ASCII marks but the apostrophe, and line feeds:
+# on these the pre-tokenizer's words are plain runs.
+_PLAIN = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|\n")
+_RARE = re.compile(r"\n\n|\n\Z|<\|")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -52,6 +53,12 @@ def units(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+def plain_words(unit: str) -> list[str] | None:
+    """The words of a unit that is made of plain runs only, else None."""
+    found = _PLAIN.findall(unit)
+    return found if sum(map(len, found)) == len(unit) and not _RARE.search(unit) else None
+
+
 class SpeculativeBpe:
     """Encoder and decoder of one byte-level BPE vocabulary file."""
 
@@ -163,15 +170,8 @@ class SpeculativeBpe:
 
     def words_in(self, unit: str) -> list:
         """Words of a unit in the vocabulary's byte alphabet; added tokens as their ids."""
-        # Letters of the Latin blocks with at most one closing mark: the usual case, without the library's cutter.
-        core = unit[1:] if unit[:1] == " " else unit
-        if core.isalpha():
-            if max(core) < _PLAIN_END:
-                return [unit.encode().decode("latin-1").translate(self.shown)]
-        elif core[-1:] in _MARKS and core[:-1].isalpha() and max(core) < _PLAIN_END:
-            return [unit[:-1].encode().decode("latin-1").translate(self.shown), core[-1]]
-        if not unit:
-            return []
+        if (plain := plain_words(unit)) is not None:
+            return [w.encode().decode("latin-1").translate(self.shown) for w in plain]
         if self._added and self._added.search(unit):
             found = []
             for k, piece in enumerate(self._added.split(unit)):

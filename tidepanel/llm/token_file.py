@@ -30,7 +30,9 @@ An empty table gives an empty file and result.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.bpe import CACHE_UNITS, slices, units, vocabulary_path
+from tidepanel.llm.bpe import plain_words, slices, units, vocabulary_path
 from tidepanel.llm.common import partitions_for, shared_path
 
 END_ID = 0
+LIBRARY_UNITS = 400_000
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 19
 LEVEL = 3
@@ -60,21 +63,47 @@ class LibraryEncoder:
     """The tokenizers library with a bounded cache of units: the same ids as whole texts would give."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def prepare(self, cut: list[list[str]]) -> None:
-        if len(self.units) > CACHE_UNITS:
-            self.units = {}
-        fresh = list(set().union(*cut).difference(self.units))
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at : at + 50_000]
+    def _learn(self, texts: list[str]) -> None:
+        for at in range(0, len(texts), 20_000):
+            some = texts[at : at + 20_000]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.units.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in found)))
+            self.units.update((u, array("I", e.ids).tobytes()) for u, e in zip(some, found))
+
+    def prepare(self, cut: list[list[str]]) -> None:
+        """Encode the units that are new.  A unit of plain runs is put together from its words.
+
+        The cache has two generations: when the younger is full it becomes the older one,
+        and what is asked for again moves back.
+        """
+        if len(self.units) > LIBRARY_UNITS:
+            self.units, self.older = {}, self.units
+        known, older = self.units, self.older
+        fresh = set().union(*cut).difference(known)
+        back = fresh.intersection(older) if older else ()
+        known.update((u, older[u]) for u in back)
+        words, composed = set(), []
+        for u in fresh.difference(back):
+            plain = plain_words(u)
+            if plain is None or len(plain) < 2:
+                words.add(u)
+            else:
+                words.update(plain)
+                composed.append((u, plain))
+        words = words.difference(known)
+        back = words.intersection(older) if older else ()
+        known.update((u, older[u]) for u in back)
+        self._learn(list(words.difference(back)))
+        for u, plain in composed:
+            known[u] = b"".join([known[w] for w in plain])
 
     def encode(self, cut: list[str]) -> bytes:
         return b"".join(map(self.units.__getitem__, cut))
