@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import n_words, stored
+from tidepanel.llm.common import WORD, n_words, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -62,26 +62,18 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     return rows.withColumn("target", target).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, ranges: int = RANGES) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs``.
+def range_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """What each range (source, key_range) needs to know about its source's budget.
 
-    ``taken`` counts words; per source it adds up to ``floor(target)`` exactly.
-    ``ranges`` bounds the rows that one window sorts: a source of n documents
-    has about n / ranges in the range that is cut.
+    epochs: whole passes; rest: words of the last pass; before: words of the source in earlier
+    ranges; is_in: the last pass takes all of the range; is_cut: the budget ends inside it.
     """
-    rows = stored(sized(docs), "mix-sizes")
-    width = (1 << _KEY_BITS) // ranges
-    rows = rows.withColumn("key_range", F.expr(f"mix_key div {width}"))
-    per_range = rows.groupBy("source", "key_range").agg(F.sum("size").alias("range_size"))
-    per_range = stored(per_range, "mix-ranges")
+    per_range = stored(rows.groupBy("source", "key_range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     targets = source_targets(per_range.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, max_epochs)
-    # Whole epochs, then the words that the last epoch takes.
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     targets = targets.withColumn("epochs", epochs).withColumn(
         "rest", F.floor(F.col("target")).cast("bigint") - F.col("epochs") * F.col("source_size")
     )
-    # What each range needs to know: its epochs, whether the last epoch takes all of it, and where it stands if the budget
-    # ends inside.  Rows meet it by (source, range), so a source with a third of all rows is dealt out over all its ranges.
     upto = Window.partitionBy("source").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
     before = per_range.withColumn("before", F.coalesce(F.sum("range_size").over(upto), F.lit(0)).cast("bigint"))
     plan = before.join(targets, before["source"].eqNullSafe(targets["source"])).select(
@@ -91,15 +83,71 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
         (F.col("before") + F.col("range_size") <= F.col("rest")).alias("is_in"),
         ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("range_size") > F.col("rest"))).alias("is_cut"),
     )
-    plan = stored(plan, "mix-plan")
-    joined = rows.join(plan, rows["source"].eqNullSafe(F.col("plan_source")) & (F.col("key_range") == F.col("plan_range")))
-    columns = ["doc_id", "size", "source_size", "target"]
-    whole = joined.where(~F.col("is_cut")).select(*columns, (F.col("size") * (F.col("epochs") + F.col("is_in").cast("int"))).alias("taken"))
+    return stored(plan, "mix-plan")
+
+
+def _partly(joined: DataFrame, keep: list[str]) -> DataFrame:
+    """Shares in the ranges that are cut: a running sum over the rows of one range."""
     running = Window.partitionBy("source", "key_range").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(running), F.lit(0))
     share_of = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - ahead))
-    partly = joined.where("is_cut").select(*columns, (F.col("size") * F.col("epochs") + share_of).alias("taken"))
-    return whole.unionByName(partly).withColumn("taken", F.col("taken").cast("bigint"))
+    return joined.select(*keep, (F.col("size") * F.col("epochs") + share_of).cast("bigint").alias("taken"))
+
+
+def _ranged(docs: DataFrame, ranges: int, *extra: str) -> DataFrame:
+    return sized(docs, *extra).withColumn("key_range", F.expr(f"mix_key div {(1 << _KEY_BITS) // ranges}"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, ranges: int = RANGES) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of ``docs``.
+
+    ``taken`` counts words; per source it adds up to ``floor(target)`` exactly.
+    ``ranges`` bounds the rows that one window sorts: a source of n documents
+    has about n / ranges in the range that is cut.  Rows meet the plan by (source, range), so a
+    source with a third of all rows is dealt out over all its ranges.
+    """
+    rows = stored(_ranged(docs, ranges), "mix-sizes")
+    plan = range_plan(rows, weights, share, max_epochs)
+    joined = rows.join(plan, rows["source"].eqNullSafe(F.col("plan_source")) & (F.col("key_range") == F.col("plan_range")))
+    columns = ["doc_id", "size", "source_size", "target"]
+    taken = (F.col("size") * (F.col("epochs") + F.col("is_in").cast("int"))).cast("bigint")
+    whole = joined.where(~F.col("is_cut")).select(*columns, taken.alias("taken"))
+    return whole.unionByName(_partly(joined.where("is_cut"), columns))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, ranges: int = RANGES) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for every epoch that takes a document, the last one cut to the words it takes.
+
+    Texts meet one plan row per source, which Catalyst broadcasts while it is
+    small; only the texts of the ranges that are cut are shuffled.  Documents of which nothing is taken are not in the mix.
+    """
+    body = F.struct(*[F.col(c) for c in docs.columns])
+    rows = _ranged(docs.withColumn("mix_body", body), ranges, "mix_body")
+    plan = range_plan(stored(_ranged(docs, ranges), "mix-sizes"), weights, share, max_epochs)
+    cut = plan.where("is_cut").select("plan_source", "plan_range", "epochs", "rest", "before")
+    per_source = stored(
+        plan.groupBy("plan_source").agg(
+            F.first("epochs").alias("epochs"),
+            F.coalesce(F.max(F.when(F.col("is_in"), F.col("plan_range"))), F.lit(-1)).alias("last_in"),
+            F.coalesce(F.max(F.when(F.col("is_cut"), F.col("plan_range"))), F.lit(-1)).alias("cut_range"),
+        ),
+        "mix-sources",
+    )
+    same_source = rows["source"].eqNullSafe(F.col("plan_source"))
+    whole = rows.join(per_source, same_source).where("key_range != cut_range")
+    whole = whole.select("mix_body", "size", (F.col("size") * (F.col("epochs") + (F.col("key_range") <= F.col("last_in")).cast("int"))).alias("taken"))
+    partly = _partly(rows.join(cut, same_source & (F.col("key_range") == F.col("plan_range"))), ["mix_body", "size"])
+    taken = whole.unionByName(partly).where("taken > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
+    each = taken.withColumn("copy", copies).withColumn("left", F.col("taken") - (F.col("copy") - 1) * F.col("size"))
+    # White space stays as it was: every piece is a word with what precedes it.
+    pieces = F.regexp_extract_all("mix_body.text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), 0)
+    text = F.when(F.col("left") < F.col("size"), F.array_join(F.slice(pieces, 1, F.col("left").cast("int")), "")).otherwise(F.col("mix_body.text"))
+    each = each.withColumn("mix_text", text)
+    out = {c: F.col(f"mix_body.`{c}`") for c in docs.columns} | {"text": F.col("mix_text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("left") < F.col("size"), F.length("mix_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("mix_body.n_chars"))
+    return each.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def op2_mix_sources(spark: SparkSession, root: str) -> DataFrame:

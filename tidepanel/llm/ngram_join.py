@@ -427,6 +427,22 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of every component, all columns as they are: that of the smallest id, and of rows with one id the first by text.
+
+    Only the ids that go, and those that repeat, are joined; both are few beside the texts.
+    """
+    labels = stored(ngram_components(docs).select("doc_id", "component_id"), "components")
+    gone = stored(labels.where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    often = stored(labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("often_id")).count().where("count > 1").select("often_id"), "often")
+    kept = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    single = kept.join(often, kept["doc_id"] == F.col("often_id"), "left_anti")
+    several = kept.join(often, kept["doc_id"] == F.col("often_id"), "left_semi").select(F.struct(*docs.columns).alias("body"))
+    first = Window.partitionBy("body.doc_id").orderBy("body.text")
+    several = several.withColumn("place", F.row_number().over(first)).where("place = 1").select(*[F.col(f"body.`{c}`").alias(c) for c in docs.columns])
+    return single.unionByName(several)
+
+
 def op1_ngram_join(spark: SparkSession, root: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text"))
 

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,33 +200,46 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisati
     return train(found, np.array(sampled.column("quality"), float))
 
 
-def classify(docs: DataFrame, model: FactorisationMachine, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted (and the columns ``keep``) of every document; no shuffle."""
-    spark = docs.sparkSession
-    shared, keep = spark.sparkContext.broadcast(model), keep or []
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+def _scores(machine: FactorisationMachine, texts: pa.Array, declared: pa.Array) -> np.ndarray:
+    found = [np.empty(0)]
+    for first, run in slices(texts, 2_000_000):
+        sizes = declared.slice(first, len(run)).to_pylist()
+        found.append(machine.score([inputs(t, d) for t, d in zip(run, sizes)]))
+    return np.concatenate(found)
+
+
+def accepted(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
+    """The rows of ``docs`` with a score of 0.5 or more, all columns as they are; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text, declared = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
         for batch in source:
-            for first, run in slices(batch.column("fm_text"), 2_000_000):
-                part = batch.slice(first, len(run))
-                scores = machine.score([inputs(t, d) for t, d in zip(run, part.column("fm_declared").to_pylist())])
-                columns = [part.column(f"kept_{k}") for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), *columns],
-                    names=["doc_id", "held_out", "score", "predicted", *[f"kept_{k}" for k in range(len(keep))]],
-                )
+            sizes = pc.utf8_length(batch.column(text)) if declared is None else batch.column(declared)
+            yield batch.filter(pa.array(_scores(shared.value, batch.column(text), sizes) >= 0.5))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
+def classify(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            scores = _scores(shared.value, batch.column(2), batch.column(3))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"],
+            )
 
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (remainder(F.col("doc_id"), 3) == 1).alias("held_out"),
-        F.col("text").cast("string").alias("fm_text"),
-        _declared(docs).alias("fm_declared"),
-        *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)],
+        F.col("text").cast("string").alias("text"),
+        _declared(docs),
     )
-    schema = "doc_id bigint, held_out boolean, score double, predicted int" + "".join(f", kept_{k} {fields[c]}" for k, c in enumerate(keep))
-    return rows.mapInArrow(batches, schema)
+    return rows.mapInArrow(batches, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def op4_quality(spark: SparkSession, root: str) -> DataFrame:
