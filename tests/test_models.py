@@ -130,14 +130,23 @@ def test_first_split_matches_brute_force(train, matrix):
 def test_folds_trained_together_equal_folds_trained_alone(train, folds):
     plan = plain(rounds=3)
     together, _ = B.fit_folds(evaluate.fold_bits(train, folds), FEATURES, S.LABEL, len(folds), plan)
-    edges = together[0].edges
-    alone, _ = B.fit_folds(evaluate.fold_bits(train, folds[:1]), FEATURES, S.LABEL, 1, plan)
-    assert all(np.array_equal(a, b) for a, b in zip(edges, alone[0].edges))
-    assert [t.feature for t in alone[0].trees] == [t.feature for t in together[0].trees]
-    assert [t.value for t in alone[0].trees] == [pytest.approx(t.value) for t in together[0].trees]
+    for k, fold in enumerate(folds):
+        alone, _ = B.fit_folds(evaluate.fold_bits(train, [fold]), FEATURES, S.LABEL, 1, plan)
+        assert all(np.array_equal(a, b) for a, b in zip(together[k].edges, alone[0].edges))
+        assert [t.feature for t in alone[0].trees] == [t.feature for t in together[k].trees]
+        assert [t.value for t in alone[0].trees] == [pytest.approx(t.value) for t in together[k].trees]
     assert together[0].prior != together[3].prior
 
 
+def test_cut_points_ignore_validation_rows(train):
+    bits = train.withColumn("valid", F.pmod(F.col(S.ROW_ID), F.lit(3)).cast("int")).withColumn("valid", F.shiftleft(F.lit(1), F.col("valid")).cast("int"))
+    bits = bits.withColumn("train", F.lit(7) - F.col("valid"))
+    moved = bits.withColumn(FEATURES[0], F.when(F.col("valid") == 2, F.col(FEATURES[0]) * 1000).otherwise(F.col(FEATURES[0])))
+    before, after = (B.feature_edges(df, FEATURES, 64, 3) for df in (bits, moved))
+    assert all(np.array_equal(a, b) for a, b in zip(before[1], after[1]))
+    assert not np.array_equal(before[0][0], after[0][0])
+
+
 def test_leaf_growth_without_limit_equals_levels(train):
     a, _ = B.fit_folds(one_fold(train), FEATURES, S.LABEL, 1, plain(rounds=2, max_depth=3))
     b, _ = B.fit_folds(one_fold(train), FEATURES, S.LABEL, 1, plain(rounds=2, max_depth=3, growth="leaf", max_leaves=8))

@@ -92,33 +92,36 @@ def subset_size(rule: int | float | str | None, n: int) -> int:
 
 # ---- rows ------------------------------------------------------------------
 
-def feature_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
-    """At most ``bins``-1 ascending cut points per feature, from mergeable sketches in one pass.
+def feature_edges(df: DataFrame, features: Sequence[str], bins: int, folds: int) -> list[list[np.ndarray]]:
+    """Per fold at most ``bins``-1 ascending cut points per feature, from mergeable sketches in one pass.
 
-    Empty when there are no rows.
+    A fold's sketches see its own training rows only (bit f of ``train``).  Empty when a fold has none.
     """
     if not 2 <= bins <= 256:
         raise ValueError("bins must be between 2 and 256")
     shares = [i / bins for i in range(1, bins)]
     names = [f"x_{i}" for i in range(len(features))]
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(n) for c, n in zip(features, names)])
+    filled = df.select("train", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(n) for c, n in zip(features, names)])
     # one group per feature; rows are folded into sketches before the shuffle
-    rows = filled.unpivot([], names, "x", "value").groupBy("x").agg(
-        F.percentile_approx("value", shares, 20 * bins).alias("cuts")
+    own = [F.when(F.col("train").bitwiseAND(1 << f) != 0, F.col("value")) for f in range(folds)]
+    rows = filled.where("train != 0").unpivot(["train"], names, "x", "value").groupBy("x").agg(
+        *[F.percentile_approx(v, shares, 20 * bins).alias(f"cuts_{f}") for f, v in enumerate(own)]
     )
-    found = {row["x"]: np.unique(np.asarray(row["cuts"], dtype=float)) for row in rows.collect()}
-    return [found[n] for n in names] if found else []
+    found = {row["x"]: row for row in rows.collect()}
+    if not found or any(row[f"cuts_{f}"] is None for row in found.values() for f in range(folds)):
+        return []
+    return [[np.unique(np.asarray(found[n][f"cuts_{f}"], dtype=float)) for n in names] for f in range(folds)]
 
 
-def binned_rows(df: DataFrame, features: Sequence[str], label: str, edges: list[np.ndarray]) -> DataFrame:
-    """(ROW_ID, y, train, valid, bins): features as bytes; ``df`` has the fold bits train and valid."""
+def binned_rows(df: DataFrame, features: Sequence[str], label: str, edges: list[list[np.ndarray]]) -> DataFrame:
+    """(ROW_ID, y, train, valid, bins): features as bytes, fold after fold; ``df`` has the fold bits train and valid."""
     width = len(features)
 
     def task(batches):
         for batch in batches:
             n = batch.num_rows
             values = np.column_stack([batch.column(4 + j).to_numpy(zero_copy_only=False) for j in range(width)])
-            codes = bin_values(values.reshape(n, width), edges)
+            codes = np.concatenate([bin_values(values.reshape(n, width), own) for own in edges], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), batch.column(3), _as_binary(codes), pa.array([b""] * n, pa.binary())],
                 names=["ROW_ID", "y", "train", "valid", "bins", "base"],
@@ -162,7 +165,7 @@ class _Batch:
         self.y = batch.column(1).to_numpy(zero_copy_only=False)
         self.train = batch.column(2).to_numpy(zero_copy_only=False)
         self.valid = batch.column(3).to_numpy(zero_copy_only=False)
-        self.bins = _as_matrix(batch.column(4), np.uint8, width)
+        self.bins = _as_matrix(batch.column(4), np.uint8, width * folds).reshape(-1, folds, width)
         self.base = _as_matrix(batch.column(5), np.float64, folds)
 
     def base_of(self, fold: int, rows: np.ndarray) -> np.ndarray | float:
@@ -241,17 +244,14 @@ def _probability(loss: str, margin: np.ndarray, votes: float) -> np.ndarray:
 def fit_folds(df: DataFrame, features: Sequence[str], label: str, folds: int, plan: Boosting):
     """(models, binned rows) of ``folds`` ensembles trained in the same passes.
 
-    Bit f of column ``train`` puts a row into the training set of fold f.  Cut
-    points come from rows that train every fold, so no fold sees later values.
+    Bit f of column ``train`` puts a row into the training set of fold f.  Every
+    fold has cut points of its own, from its own training rows.
     """
     if not 1 <= folds <= MAX_FOLDS:
         raise ValueError(f"between 1 and {MAX_FOLDS} folds can be trained together")
     S.require_columns(df, [S.ROW_ID, label, "train", "valid", *features], "boosting")
     features = list(features)
-    everywhere = (1 << folds) - 1
-    # a K-fold has no row that trains every fold; then each training row counts
-    edges = feature_edges(df.where(F.col("train") == everywhere), features, plan.bins)
-    edges = edges or feature_edges(df.where(F.col("train") != 0), features, plan.bins)
+    edges = feature_edges(df, features, plan.bins, folds)
     if not edges:
         raise ValueError("no training rows")
     rows = binned_rows(df, features, label, edges).persist(StorageLevel.MEMORY_AND_DISK)
@@ -267,7 +267,7 @@ def fit_folds(df: DataFrame, features: Sequence[str], label: str, folds: int, pl
         _grow(rows, active, chosen, turn, plan, rng, len(features), folds)
         for m in active:
             _close_tree(m, plan)
-    models = [BoostedModel(features, edges, m.trees, m.prior, plan.loss) for m in members]
+    models = [BoostedModel(features, edges[m.index], m.trees, m.prior, plan.loss) for m in members]
     return models, rows
 
 
@@ -294,7 +294,7 @@ def _store_margins(rows: DataFrame, members: list[_Member], width: int) -> DataF
         for batch in batches:
             b = _Batch(batch, width, folds)
             old = b.base if b.base.shape[1] else np.zeros((len(b.y), folds))
-            new = np.column_stack([old[:, f] + margin_of(fresh[f], b.bins) for f in range(folds)])
+            new = np.column_stack([old[:, f] + margin_of(fresh[f], b.bins[:, f]) for f in range(folds)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], _as_binary(new)], names=batch.schema.names)
 
     stored = rows.mapInArrow(task, BINNED_SCHEMA).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
@@ -325,7 +325,7 @@ def _histograms(rows, members, requests, turn, plan, width, folds):
             for index, wanted in by_member.items():
                 prior, trees, tree = state[index]
                 at = np.flatnonzero(keep & ((b.train >> index) & 1 == 1))
-                codes = b.bins[at]
+                codes = b.bins[at, index]
                 margin = prior + b.base_of(index, at) + margin_of(trees, codes)
                 g, h = gradients(loss, b.y[at], margin)
                 node_of = leaf_of(tree, codes)
@@ -507,7 +507,7 @@ def score_folds(rows: DataFrame, models: list[BoostedModel]) -> DataFrame:
                 at = np.flatnonzero((b.valid >> f) & 1 == 1)
                 if not len(at):
                     continue
-                margin = prior + margin_of(trees, b.bins[at])
+                margin = prior + margin_of(trees, b.bins[at, f])
                 p = _probability(loss, margin, votes)
                 hit = margin > 0 if loss == "squared" else p > 0.5
                 yield pa.RecordBatch.from_arrays(

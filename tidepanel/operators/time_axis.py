@@ -320,6 +320,6 @@ def date_kfold(axis: DataFrame, n_splits: int = 8, seed: int | None = 0) -> Data
         position = F.col("date_idx") - 1
     else:
         # seeded shuffle of the (bounded) dates, then equal-sized deal as a K-fold has
-        shuffled = Window.orderBy(F.xxhash64(S.TS, F.lit(seed)), S.TS)
+        shuffled = Window.orderBy(F.md5(F.concat(F.col(S.TS), F.lit(f":{seed}"))), S.TS)
         position = F.row_number().over(shuffled) - 1
     return axis.select(S.TS, (position % n_splits).cast("int").alias("fold"))

@@ -433,8 +433,7 @@ def sql_queries() -> dict[str, Query]:
 
 
 # ---- learned models --------------------------------------------------------
-# Whole tables and all folds; ensembles are smaller than their defaults, which
-# ``bench.py`` measures for the main families.
+# Whole tables, all folds and the models' default settings.
 
 def modelling_panel(spark: SparkSession, root: str, turnover: bool = True) -> DataFrame:
     """Engineered train rows, kept because every fit reads them several times."""
@@ -459,7 +458,7 @@ def q_ridge_scores(spark, root):
 
 def _date_cv(spark, root):
     df = kept(with_cross_section(kept(train(spark, root, True))))
-    return workflows.date_cv(df, X.feature_sets()["performance"], builders.boosted_regression(rounds=15, learning_rate=0.1))
+    return workflows.date_cv(df, X.feature_sets()["performance"], builders.boosted_regression())
 
 
 def q_gbt_regression_cv(spark, root):
@@ -472,38 +471,39 @@ def q_importances(spark, root):
     return settled(evaluate.top_features(gains), 4)
 
 
-def _small_forest(**settings):
-    return builders.random_forest(**{"n_estimators": 5, **settings})
+NUMERIC = [S.GROUP, S.TURNOVER, *S.RETURNS, *S.VOLUMES]
+SEARCH_TREES, FINAL_TREES = 50, 200
+
+
+def _search_forest(**settings):
+    return builders.random_forest(**{"n_estimators": SEARCH_TREES, **settings})
 
 
 def q_grid_search(spark, root):
     df = modelling_panel(spark, root)
     folds = axis.expanding_folds(df)
     tuning, _ = axis.tuning_split(folds)
-    scores = grid_scores(axis.tuning_rows(df, folds), tuning, _small_forest, FOREST_GRID, X.feature_sets()["raw"])
+    scores = grid_scores(axis.tuning_rows(df, folds), tuning, _search_forest, FOREST_GRID, NUMERIC)
     return settled(grid_table(scores, FOREST_GRID).drop("mean_fit_time"))
 
 
 def q_grid_best_holdout(spark, root):
     df = modelling_panel(spark, root)
-    grid = {"max_depth": [5, 8], "min_samples_leaf": [20], "max_features": ["sqrt", 0.5]}
-    _, final = tune_and_check(
-        df, axis.expanding_folds(df), _small_forest, grid, X.feature_sets()["raw"], final={"n_estimators": 20}
-    )
+    _, final = tune_and_check(df, axis.expanding_folds(df), _search_forest, FOREST_GRID, NUMERIC, final={"n_estimators": FINAL_TREES})
     return settled(final)
 
 
 def q_feature_study(spark, root):
     df = kept(train(spark, root))
-    return settled(workflows.feature_study(df, axis.expanding_folds(df), builders.logistic_regression(max_iter=50)))
+    return settled(workflows.feature_study(df, axis.expanding_folds(df), builders.logistic_regression()))
 
 
 def q_model_submission(spark, root):
     panel = kept(brand_day_panel(spark, root))
     fit, rows = X.with_engineered(train_panel(panel)), X.with_engineered(test_panel(panel))
     features = X.numeric_features(fit)
-    quality.check_features(fit, rows, features, infinities=False)
-    scored = workflows.fit_and_score(fit, rows, builders.level_wise_boosting(n_estimators=15), features)
+    quality.check_features(fit, rows, features)
+    scored = workflows.fit_and_score(fit, rows, builders.level_wise_boosting(), features)
     return quality.build_submission(scored)
 
 
@@ -520,15 +520,15 @@ def model_queries() -> dict[str, Query]:
         "date_kfold_shuffled": q_date_kfold_shuffled,
         "audit_report": q_audit_report,
         "ridge_scores": q_ridge_scores,
-        "eval_logit": _evaluated(lambda: builders.logistic_regression(max_iter=100), "raw"),
+        "eval_logit": _evaluated(builders.logistic_regression, "raw"),
         "eval_tree": _evaluated(builders.decision_tree),
-        "eval_forest": _evaluated(lambda: builders.random_forest(n_estimators=20)),
-        "eval_adaboost": _evaluated(lambda: builders.adaboost(n_estimators=30)),
-        "eval_gbt": _evaluated(lambda: builders.gradient_boosting(n_estimators=15)),
-        "eval_gbt_spark": _evaluated(lambda: builders.spark_gradient_boosting(n_estimators=5)),
-        "eval_xgb_like": _evaluated(lambda: builders.level_wise_boosting(n_estimators=15)),
-        "eval_lgbm_like": _evaluated(lambda: builders.leaf_wise_boosting(n_estimators=10, num_leaves=7, max_depth=4)),
-        "eval_catboost_like": _evaluated(lambda: builders.symmetric_boosting(iterations=5)),
+        "eval_forest": _evaluated(builders.random_forest),
+        "eval_adaboost": _evaluated(builders.adaboost),
+        "eval_gbt": _evaluated(builders.gradient_boosting),
+        "eval_gbt_spark": _evaluated(builders.spark_gradient_boosting),
+        "eval_xgb_like": _evaluated(builders.level_wise_boosting),
+        "eval_lgbm_like": _evaluated(builders.leaf_wise_boosting),
+        "eval_catboost_like": _evaluated(builders.symmetric_boosting),
         "gbt_regression_cv": q_gbt_regression_cv,
         "importances_top20": q_importances,
         "grid_search": q_grid_search,

@@ -49,7 +49,7 @@ b2 AS (
     CAST(nxt - rev AS DOUBLE) / CAST(nullif(nxt + rev, 0) AS DOUBLE) AS target
   FROM b1),
 panel AS (
-  SELECT CAST(date_idx * 100 + brand_no AS BIGINT) AS ROW_ID,
+  SELECT CAST(date_idx * 10000 + brand_no AS BIGINT) AS ROW_ID,
   'DATE_' || lpad(CAST(date_idx AS VARCHAR), 4, '0') AS TS, ALLOCATION,
   CAST(brand_no % 4 + 1 AS INTEGER) AS "GROUP", MEDIAN_DAILY_TURNOVER,
   {_ret_lags},
@@ -235,6 +235,25 @@ def _category_diff() -> str:
     return f"{BASE} {one('ALLOCATION', 'ALLOCATION')} UNION ALL {one(chr(34) + 'GROUP' + chr(34), 'GROUP')}"
 
 
+def _audit_report() -> str:
+    """Missing cells, rows, repeated keys and key agreement of the four tables, each read once."""
+    columns = ["ROW_ID", "TS", "ALLOCATION", '"GROUP"', S.TURNOVER, *R, *V]
+    tables = {"train": ("train", columns), "labels": ("train", ["ROW_ID", "target"]), "test": ("test", columns), "keys": ("test", ["ROW_ID"])}
+    parts = []
+    for name, (source, found) in tables.items():
+        names = ", ".join("'" + c.strip('"') + "'" for c in found)
+        missing = ", ".join(f"CAST(count(*) - count({c}) AS DOUBLE)" for c in found)
+        parts.append(f"""SELECT 'missing values' AS "check", '{name}' AS subject, unnest([{names}]) AS "column", unnest([{missing}]) AS value FROM {source}""")
+        parts.append(f"""SELECT unnest(['rows', 'duplicate keys']), '{name}', 'ROW_ID',
+  unnest([CAST(count(*) AS DOUBLE), CAST(count(*) - count(DISTINCT ROW_ID) AS DOUBLE)]) FROM {source}""")
+    for name, a, b in (("train and labels", "train", "train"), ("test and keys", "test", "test")):
+        parts.append(f"""SELECT 'aligned keys', '{name}', 'ROW_ID', CASE WHEN (SELECT count(*) FROM {a}) = (SELECT count(*) FROM {b})
+  AND NOT EXISTS (SELECT ROW_ID FROM {a} EXCEPT SELECT ROW_ID FROM {b}) AND NOT EXISTS (SELECT ROW_ID FROM {b} EXCEPT SELECT ROW_ID FROM {a})
+  THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END""")
+    parts.append("SELECT 'same columns', 'train and test', '*', CAST(1 AS DOUBLE)")
+    return f"{BASE} " + " UNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     panel = ["ROW_ID", "TS", "ALLOCATION", '"GROUP"', "date_idx", "n_dates"]
     doubles = [S.TURNOVER, *R, *V, "target"]
@@ -281,6 +300,8 @@ SELECT side, count(DISTINCT TS) AS n_side_dates, min(TS) AS first_date, max(TS)
   INTERSECT SELECT TS FROM roles x WHERE x.fold = f.fold AND side = 'valid')) AS n_shared FROM folds f""",
         "tuning_split": f"""{AXIS} SELECT ROW_ID, TS FROM train WHERE TS <= (SELECT valid_end FROM folds WHERE fold = {K - 1})""",
         "date_kfold": f"{kfold} SELECT TS, fold FROM kf",
+        "date_kfold_shuffled": f"""{AXIS} SELECT TS, CAST((row_number() OVER (ORDER BY md5(TS || ':0'), TS) - 1) % 8 AS INTEGER) AS fold FROM axis""",
+        "audit_report": _audit_report(),
         "baseline_table": f"""{STRATEGIES} SELECT fold, {", ".join(
             r(f"max(CASE WHEN strategy = '{n}' THEN accuracy END)") + f" AS {n}" for n in RULES)}
 FROM results GROUP BY fold""",

@@ -21,16 +21,8 @@ from tidepanel.operators.labels import join_labels
 from tidepanel.operators.per_date import join_per_date
 from tidepanel.sources.files import PanelFiles, write_predictions
 
-# Texts of the feature study.
-FEATURE_STUDY = {
-    "raw": ("Raw returns", "Past returns carry directional information."),
-    "momentum": ("Momentum", "Trends persist over short and long horizons."),
-    "momentum_compact": ("Momentum, compact", "A short and a long horizon are enough."),
-    "volatility": ("Volatility", "Realised volatility measures uncertainty."),
-    "momentum_volatility": ("Momentum and volatility", "Direction matters relative to noise."),
-    "ratio": ("Momentum / volatility ratio", "Risk-adjusted momentum is more informative."),
-    "volume": ("Signed volume", "Market activity adds information."),
-}
+# Feature sets of the feature study, the reference first.
+FEATURE_STUDY = ("raw", "momentum", "momentum_compact", "volatility", "momentum_volatility", "ratio", "volume")
 
 
 # ---- fitting and scoring ---------------------------------------------------
@@ -135,37 +127,28 @@ def feature_study(
     sets = dict(sets or {name: known[name] for name in FEATURE_STUDY})
     columns = list(dict.fromkeys(c for names in sets.values() for c in names))
     rows = kept(X.with_engineered(df).select(S.ROW_ID, S.TS, S.LABEL, *columns))
-    results = {
-        name: kept(evaluate.evaluate_model(rows, folds, model, names))
-        for name, names in sets.items()
-    }
-    summary = None
-    for name, table in results.items():
-        title, hypothesis = FEATURE_STUDY.get(name, (name, ""))
-        means = table.agg(
-            F.avg("accuracy").alias("mean_accuracy"), F.stddev_samp("accuracy").alias("std_accuracy"),
-            F.avg("roc_auc").alias("mean_roc_auc"), F.avg("log_loss").alias("mean_log_loss"),
-            F.count("*").alias("n_folds"),
-        )
-        ahead = compare.compare_results(results[reference], table, "reference", "candidate").agg(
-            F.count_if(F.col("delta_accuracy") > 0).alias("folds_ahead"), F.avg("delta_accuracy").alias("gain")
-        )
-        decision = F.when((F.col("gain") > 0) & (F.col("folds_ahead") * 2 > F.col("n_folds")), "keep").otherwise("reject")
-        is_reference = F.lit(name == reference)
-        # one row on each side
-        row = (
-            means.withColumn("feature_set", F.lit(name))
-            .join(ahead.withColumn("feature_set", F.lit(name)), "feature_set")
-            .select(
-                "feature_set", F.lit(title).alias("title"), F.lit(hypothesis).alias("hypothesis"),
-                F.lit(len(sets[name])).alias("n_features"),
-                "mean_accuracy", "std_accuracy", "mean_roc_auc", "mean_log_loss",
-                F.when(~is_reference, F.col("folds_ahead")).alias("folds_ahead"),
-                F.when(is_reference, "reference").otherwise(decision).alias("decision"),
-            )
-        )
-        summary = row if summary is None else summary.unionByName(row)
-    return summary
+    table = None
+    for name, names in sets.items():
+        result = evaluate.evaluate_model(rows, folds, model, names)
+        result = result.select(F.lit(name).alias("feature_set"), F.lit(len(names)).alias("n_features"), "fold", "accuracy", "roc_auc", "log_loss")
+        table = result if table is None else table.unionByName(result)
+    table = kept(table)
+    # every fold of a set beside that of the reference: as many rows as sets times folds
+    first = table.where(F.col("feature_set") == reference).select("fold", F.col("accuracy").alias("first"))
+    delta = F.col("accuracy") - F.col("first")
+    summary = table.join(first, "fold").groupBy("feature_set").agg(
+        F.first("n_features").alias("n_features"),
+        F.avg("accuracy").alias("mean_accuracy"), F.stddev_samp("accuracy").alias("std_accuracy"),
+        F.avg("roc_auc").alias("mean_roc_auc"), F.avg("log_loss").alias("mean_log_loss"),
+        F.count_if(delta > 0).alias("ahead"), F.avg(delta).alias("gain"), F.count("*").alias("n_folds"),
+    )
+    is_reference = F.col("feature_set") == reference
+    better = (F.col("gain") > 0) & (F.col("ahead") * 2 > F.col("n_folds"))
+    return summary.select(
+        "feature_set", "n_features", "mean_accuracy", "std_accuracy", "mean_roc_auc", "mean_log_loss",
+        F.when(~is_reference, F.col("ahead")).alias("folds_ahead"),
+        F.when(is_reference, "reference").otherwise(F.when(better, "keep").otherwise("reject")).alias("decision"),
+    )
 
 
 def model_study(df: DataFrame, folds, models: Mapping[str, object], features: Sequence[str]) -> DataFrame:

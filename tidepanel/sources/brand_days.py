@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel import schema as S
 from tidepanel.functions.rules import class_of
+from tidepanel.functions.sizing import kept
 
 # Size of the test period and shape of the volume gaps.
 TEST_DATES = 120
@@ -49,10 +50,10 @@ def _brand_days(lines: DataFrame, turnover: bool) -> DataFrame:
     )
 
 
-def _numbered_days(lines: DataFrame) -> DataFrame:
+def _numbered_days(rows: DataFrame) -> DataFrame:
     """Distinct days with their number; bounded by the four digits of TS, enforced."""
     order = Window.orderBy("day")
-    days = lines.select("day").distinct().withColumn("date_idx", F.row_number().over(order))
+    days = rows.select("day").distinct().withColumn("date_idx", F.row_number().over(order))
     days = days.withColumn("n_dates", F.count("*").over(Window.partitionBy()))
     guarded = F.when(F.col("date_idx") <= MAX_DATE_NUMBER, F.col("date_idx")).otherwise(
         F.raise_error(F.lit("more dates than DATE_nnnn can number")).cast("int")
@@ -67,7 +68,9 @@ def brand_day_panel(spark: SparkSession, root: str, turnover: bool = True) -> Da
     ``turnover=False`` leaves the median out for callers that do not read it.
     """
     lines = _lines(spark, root)
-    base = _brand_days(lines, turnover).join(F.broadcast(_numbered_days(lines)), "day")
+    # The lines are read once: the short table of brand-days is kept, and the days come from it.
+    days = kept(_brand_days(lines, turnover))
+    base = days.join(F.broadcast(_numbered_days(days)), "day")
     over = f"over (partition by {S.ALLOCATION} order by day)"
     before, after = f"lag(rev) {over}", f"lead(rev) {over}"
     base = base.selectExpr(
@@ -76,11 +79,13 @@ def brand_day_panel(spark: SparkSession, root: str, turnover: bool = True) -> Da
         f"try_divide(rev - {before}, rev + {before}) as ret",
         f"try_divide({after} - rev, {after} + rev) as {S.TARGET}",
     )
+    # Four digits of the row id are the brand's number; a longer one must not pass as another brand's day.
+    base = base.withColumn("brand_no", F.expr("if(brand_no < 10000, brand_no, raise_error('brand number over 9999'))").cast("int"))
     shown = "(date_idx * 31 + brand_no * 17) % 4 = 0"
     volumes = [f"cast(case when {shown} then sv end as double) as {S.VOLUMES[0]}"]
     volumes += [f"cast(lag(sv, {i}) {over} as double) as {c}" for i, c in enumerate(S.VOLUMES) if i]
     return base.selectExpr(
-        f"cast(date_idx * 100 + brand_no as bigint) as {S.ROW_ID}",
+        f"cast(date_idx as bigint) * 10000 + brand_no as {S.ROW_ID}",
         f"concat('DATE_', lpad(cast(date_idx as string), 4, '0')) as {S.TS}",
         S.ALLOCATION,
         f"brand_no % 4 + 1 as `{S.GROUP}`",
