@@ -9,8 +9,8 @@ documents link when 100 * intersection >= 80 * union.  The result is exact.
    bounded table of counts) and the rest by name.  Sets that share such a shingle meet in its tile;
    tiles are parted into bands of sizes whose ratio stays above 0.8, a band also meets the next one.
 3. Stars first.  In every tile a set proposes itself to one set of another
-   component; each set keeps its most frequent proposal, which is verified.  A family of
-   thousands of near copies becomes one component with as many comparisons as members.
+   component, in each round to another one; each set keeps the nearest by bitmaps, which is verified.
+   A family of thousands of near copies becomes one component with a few comparisons per member.
 4. Then all remaining pairs of a tile that lie in different components are
    compared by bitmaps: parity bits of hashed shingles, folded to a common width.  The bits in which two
    bitmaps differ bound the symmetric difference from below, and so the overlap from above.  Pairs that pass are
@@ -47,7 +47,9 @@ FREQUENT_IN_BATCH = 4
 # Bits of the filter that spares sets no tile holds; when it is full it spares none.
 FILTER_BITS = 1 << 23
 BLOCK = 2048
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
+# Tiles of fewer sets are small: all their pairs are few beside their rows.
+SMALL = 8
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,11 +110,15 @@ def sizes_fit(n: int, m: int) -> bool:
     return DEN * n >= NUM * m if n < m else DEN * m >= NUM * n
 
 
-def may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
-    """Do the bitmaps allow a link?  Linked sets differ in at most (n + m) * (1 - t) / (1 + t) shingles, and bitmaps in no more bits."""
+def difference(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, at their common width; sets differ in as many shingles at least."""
     bits = 8 * min(len(x), len(y))
-    a, b = folded(int.from_bytes(x, "little"), 8 * len(x), bits), folded(int.from_bytes(y, "little"), 8 * len(y), bits)
-    return (DEN + NUM) * (a ^ b).bit_count() <= (DEN - NUM) * (n + m)
+    return (folded(int.from_bytes(x, "little"), 8 * len(x), bits) ^ folded(int.from_bytes(y, "little"), 8 * len(y), bits)).bit_count()
+
+
+def may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """Do the bitmaps allow a link?  Linked sets differ in at most (n + m) * (1 - t) / (1 + t) shingles."""
+    return (DEN + NUM) * difference(x, y) <= (DEN - NUM) * (n + m)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -302,18 +308,33 @@ def _with_components(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     return tiles.join(labels, tiles["sid"] == labels["node"], "left").withColumn("component", F.coalesce("component", "sid")).drop("node")
 
 
-def _star_proposals(tiles: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """For each set the most frequent of the sets that its tiles propose: in another component, and not parted by bitmaps."""
-    group = Window.partitionBy("token", "band")
-    rows = tiles.withColumn("c1", F.min(F.struct("sid", "component")).over(group))
-    rows = rows.withColumn("c2", F.min(F.when(F.col("component") != F.col("c1.component"), F.struct("sid", "component"))).over(group))
+def _distance_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, other, share of their shingles in which the bitmaps differ) for the pairs that may link."""
+    for batch in source:
+        found = []
+        for sid, other, n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            if sizes_fit(n, m) and (DEN + NUM) * (apart := difference(x, y)) <= (DEN - NUM) * (n + m):
+                found.append((sid, other, apart / (n + m)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["sid", "other", "share"]
+        )
+
+
+def _star_proposals(tiles: DataFrame, bitmaps: DataFrame, turn: int) -> DataFrame:
+    """For each set the nearest of the sets that its tiles propose: in another component, and not parted by bitmaps.
+
+    A tile proposes a set drawn by hash, anew in every turn and tile, and to that set's own component another one.
+    """
+    group, place = Window.partitionBy("token", "band"), F.struct(F.xxhash64("sid", "token", F.lit(turn)).alias("place"), "sid", "component")
+    rows = tiles.withColumn("c1", F.min(place).over(group))
+    rows = rows.withColumn("c2", F.min(F.when(F.col("component") != F.col("c1.component"), place)).over(group))
     pick = F.when(F.col("component") != F.col("c1.component"), F.col("c1")).otherwise(F.col("c2"))
-    votes = rows.withColumn("other", pick["sid"]).where("other is not null").groupBy("sid", "other").agg(F.count("*").alias("votes"))
+    met = rows.withColumn("other", pick["sid"]).where("other is not null").select("sid", "other").distinct()
     one = bitmaps.select("sid", F.col("n").alias("n1"), F.col("bitmap").alias("b1"))
     two = bitmaps.select(F.col("sid").alias("other"), F.col("n").alias("n2"), F.col("bitmap").alias("b2"))
-    near = votes.join(one, "sid").join(two, "other").select("sid", "other", "votes", "n1", "n2", "b1", "b2")
-    near = near.mapInArrow(_near_batches, "sid bigint, other bigint, votes bigint")
-    best = near.groupBy("sid").agg(F.max(F.struct("votes", "other")).alias("best"))
+    near = met.join(one, "sid").join(two, "other").select("sid", "other", "n1", "n2", "b1", "b2")
+    near = near.mapInArrow(_distance_batches, "sid bigint, other bigint, share double")
+    best = near.groupBy("sid").agg(F.min(F.struct("share", "other")).alias("best"))
     return best.select(F.least("sid", "best.other").alias("a"), F.greatest("sid", "best.other").alias("b")).distinct()
 
 
@@ -334,7 +355,7 @@ def _tile_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for other, m, c, b, g, bits in rows[low:i]:
                 if c != component and not (g and guest) and (b != block or bi == bj):
                     pair = (sid, other) if sid < other else (other, sid)
-                    if pair not in found and may_link(n, m, bitmap, bits):
+                    if pair not in found and (bitmap is None or may_link(n, m, bitmap, bits)):
                         found[pair] = None
         return list(found)
 
@@ -363,17 +384,25 @@ def _remaining_pairs(tiles: DataFrame, bitmaps: DataFrame) -> DataFrame:
         seated.groupBy(*group)
         .agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("guest").alias("own"))
         .where("low != high and own = 0")
-        .select(*group, F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+        .select(*group, "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     )
     seated = seated.join(open_tiles, group)
+    keys, parts = ["token", "tile", "bi", "bj"], partitions_for(tiles.sparkSession)
     block = F.pmod(F.col("sid"), F.col("blocks")).cast("int")
-    seated = seated.withColumn("block", block)
     meets = F.expr("explode(transform(sequence(0, blocks - 1), j -> struct(least(block, j) as bi, greatest(block, j) as bj)))")
-    seated = seated.withColumn("meets", meets).join(bitmaps.select("sid", "bitmap"), "sid")
-    rows = seated.select("token", "tile", "meets.bi", "meets.bj", "sid", "n", "component", "block", "guest", "bitmap")
-    keys = ["token", "tile", "bi", "bj"]
-    rows = rows.repartition(partitions_for(tiles.sparkSession), *keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(_tile_batches, "a bigint, b bigint").distinct()
+    large = seated.where(F.col("rows") >= SMALL).withColumn("block", block).withColumn("meets", meets).join(bitmaps.select("sid", "bitmap"), "sid")
+    large = large.select("token", "tile", "meets.bi", "meets.bj", "sid", "n", "component", "block", "guest", "bitmap")
+    large = large.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_tile_batches, "a bigint, b bigint").distinct()
+    # Small tiles part with their few pairs first; a pair that meets in many tiles fetches its bitmaps once.
+    zero = F.lit(0)
+    small = seated.where(F.col("rows") < SMALL).select(
+        "token", "tile", zero.alias("bi"), zero.alias("bj"), "sid", "n", "component", zero.alias("block"), "guest", F.lit(None).cast("binary").alias("bitmap")
+    )
+    small = small.repartition(parts, "token", "tile").sortWithinPartitions("token", "tile").mapInArrow(_tile_batches, "a bigint, b bigint").distinct()
+    one = bitmaps.select(F.col("sid").alias("a"), F.col("n").alias("n1"), F.col("bitmap").alias("b1"))
+    two = bitmaps.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("bitmap").alias("b2"))
+    near = small.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "b1", "b2").mapInArrow(_near_batches, "a bigint, b bigint")
+    return large.union(near).distinct()
 
 
 def ngram_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -398,9 +427,12 @@ def ngram_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     drawn = named.where("bitmap is not null").select("sid", "n", "bitmap").join(tiles.select("sid").distinct(), "sid", "left_semi")
     bitmaps = stored(drawn.dropDuplicates(["sid"]), "bitmaps")
     sets, links, labels = _Sets(texts, members), None, None
+    groups = tiles.groupBy("token", "band").count().where(F.col("count") >= SMALL).select("token", "band")
+    crowded = stored(tiles.join(groups, ["token", "band"]), "crowded")
     for k in range(STAR_ROUNDS + 1):
-        rows = _with_components(tiles, labels)
-        pairs = stored(_star_proposals(rows, bitmaps) if k < STAR_ROUNDS else _remaining_pairs(rows, bitmaps), "pairs")
+        # The first turn looks at all tiles, so that pairs of copies with many common tiles are settled at once.
+        rows = _with_components(crowded if 0 < k < STAR_ROUNDS else tiles, labels)
+        pairs = stored(_star_proposals(rows, bitmaps, k) if k < STAR_ROUNDS else _remaining_pairs(rows, bitmaps), "pairs")
         fresh = stored(verified(pairs, sets.of(pairs)), "links")
         links = fresh if links is None else links.union(fresh)
         if k < STAR_ROUNDS:
