@@ -41,8 +41,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.bpe import plain_words, slices, units, vocabulary_path
+from tidepanel.llm.bpe import slices, vocabulary_path
 from tidepanel.llm.common import partitions_for, shared_path
+from tidepanel.llm.words import CODES, span_names
 
 END_ID = 0
 LIBRARY_UNITS = 400_000
@@ -59,8 +60,24 @@ _ARROW = pa.schema(
 )
 
 
+# Bytes after which a space may be cut off: no white space, nor the first byte of any beyond ASCII.
+_VISIBLE = np.ones(256, bool)
+_VISIBLE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_SHOWN = np.zeros(256, bool)
+_SHOWN[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_CLOSING = np.zeros(256, bool)
+_CLOSING[list(b".,;:!?)$%&*#")] = True
+
+
 class LibraryEncoder:
-    """The tokenizers library with a bounded cache of units: the same ids as whole texts would give."""
+    """The tokenizers library with a bounded cache of units: the same ids as whole texts would give.
+
+    Texts are cut where the library's words always end: before a space that a visible byte
+    follows, between a letter and a closing mark, and around single line feeds.  Units are named by 64 bits, and each distinct unit of a run of texts is looked up
+    once; the ids are put together by index arithmetic.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
@@ -69,44 +86,55 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, texts: list[str]) -> None:
-        for at in range(0, len(texts), 20_000):
-            some = texts[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.units.update((u, array("I", e.ids).tobytes()) for u, e in zip(some, found))
-
-    def prepare(self, cut: list[list[str]]) -> None:
-        """Encode the units that are new.  A unit of plain runs is put together from its words.
-
-        The cache has two generations: when the younger is full it becomes the older one,
-        and what is asked for again moves back.
-        """
-        if len(self.units) > LIBRARY_UNITS:
-            self.units, self.older = {}, self.units
-        known, older = self.units, self.older
-        fresh = set().union(*cut).difference(known)
-        back = fresh.intersection(older) if older else ()
-        known.update((u, older[u]) for u in back)
-        words, composed = set(), []
-        for u in fresh.difference(back):
-            plain = plain_words(u)
-            if plain is None or len(plain) < 2:
-                words.add(u)
-            else:
-                words.update(plain)
-                composed.append((u, plain))
-        words = words.difference(known)
-        back = words.intersection(older) if older else ()
-        known.update((u, older[u]) for u in back)
-        self._learn(list(words.difference(back)))
-        for u, plain in composed:
-            known[u] = b"".join([known[w] for w in plain])
-
-    def encode(self, cut: list[str]) -> bytes:
-        return b"".join(map(self.units.__getitem__, cut))
+        # A mark that an added token holds is no place to cut.
+        self.closing = _CLOSING.copy()
+        self.closing[list("".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values()).encode())] = False
+        # Two generations: when the younger is full it becomes the older, and what is asked for again moves back.
+        self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
+
+    def _ids(self, names: list[int], unit) -> list[bytes]:
+        """Ids of distinct units as little-endian 32-bit bytes; ``unit(k)`` gives the k-th unit's text."""
+        if len(self.known) > LIBRARY_UNITS:
+            self.known, self.older = {}, self.known
+        get = self.older.get
+        found = [self.known.get(n) or get(n) for n in names]
+        fresh = [k for k, f in enumerate(found) if f is None]
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([unit(k) for k in some], add_special_tokens=False)):
+                found[k] = array("I", e.ids).tobytes()
+        self.known.update(zip(names, found))
+        return found
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, number of ids of each text)."""
+        encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = np.frombuffer(b"".join(encoded), np.uint8)
+        sizes = np.array([len(e) for e in encoded], np.int64)
+        bounds = np.cumsum(sizes)
+        if not len(raw):
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        cut = np.zeros(len(raw), bool)
+        cut[:-1] = (raw[:-1] == 0x20) & _VISIBLE[raw[1:]]
+        cut[bounds[sizes > 0] - 1] = False
+        before, here = raw[:-1], raw[1:]
+        cut[1:] |= (_LETTER[before] & self.closing[here]) | (_SHOWN[before] & (here == 0x0A))
+        cut[2:] |= _SHOWN[raw[:-2]] & (raw[1:-1] == 0x0A) & _VISIBLE[raw[2:]]
+        cut[(bounds - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(raw))
+        names, first, where = np.unique(span_names(raw, starts, ends, CODES), return_index=True, return_inverse=True)
+        a, b = starts[first].tolist(), ends[first].tolist()
+        found = self._ids(names.tolist(), lambda k: raw[a[k] : b[k]].tobytes().decode("utf-8", "surrogatepass"))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.array([len(f) for f in found], np.int64) // 4
+        begin = np.cumsum(lengths) - lengths
+        each = lengths[where]
+        upto = np.cumsum(each)
+        ids = flat[np.arange(int(upto[-1])) + np.repeat(begin[where] - (upto - each), each)]
+        totals = np.concatenate([[0], upto])[np.searchsorted(starts, bounds)]
+        return ids, np.diff(totals, prepend=0)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -181,14 +209,14 @@ def _encode_batches(path: str, kind: str):
 
         for batch in source:
             for first, run in slices(batch.column(1)):
-                cut = [units(t) for t in run]
-                encoder.prepare(cut)
-                for i, mine in enumerate(cut):
-                    ids = encoder.encode(mine) + end
+                ids, sizes = encoder.encode(run)
+                at = 0
+                for i, n in enumerate(sizes.tolist()):
                     doc_ids.append(batch.column(0)[first + i].as_py())
-                    lengths.append(len(ids) // 4)
-                    raw.append(ids)
-                    size += len(ids) // 4
+                    lengths.append(n + 1)
+                    raw += [ids[at : at + n].tobytes(), end]
+                    at += n
+                    size += n + 1
                     if size >= SEGMENT_IDS:
                         yield flush()
                         segment, doc_ids, lengths, raw, size = segment + 1, [], [], [], 0
