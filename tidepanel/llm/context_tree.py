@@ -43,8 +43,8 @@ from tidepanel.llm.words import word_names
 
 DEPTH, ROOT = 5, 2
 END = 0xFF  # no byte of UTF-8
-MAX_NODES = 1 << 22
-FREQUENT = 1 << 17
+MAX_NODES = 1 << 21
+FREQUENT = 1 << 16
 HELD_OUT = 10
 SLICE = 6_000_000
 COUNTED = 3_000_000
