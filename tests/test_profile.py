@@ -67,3 +67,28 @@ def test_audit_counts(spark):
     report = audit.key_alignment(df, other).first()
     assert (report["n_missing"], report["n_surplus"], report["n_repeated"], report["aligned"]) == (1, 0, 1, False)
     assert audit.same_columns(df, df.select("v", "k", "ROW_ID")) and not audit.same_columns(df, other)
+
+
+def test_quantiles_of_many_distinct_values_and_at_the_short_limit(spark):
+    from tidepanel.operators.quantiles import exact_quantiles
+
+    for n, accuracy in ((1_000_000, 1000), (2000, 1000), (2001, 1000), (20, 10), (21, 10)):
+        df = spark.range(n).selectExpr("cast(pmod(id * 7919, %d) as double) * id / id + 0.5 * (id %% 2) as v" % n, "id").where("id > 0")
+        values = sorted(r["v"] for r in df.collect()) if n <= 2001 else None
+        row = exact_quantiles(df, ["v"], (0.25, 0.5), accuracy=accuracy).first()
+        if values:
+            for q, p in ((row["q_0"], 0.25), (row["q_1"], 0.5)):
+                at = p * (len(values) - 1)
+                low = values[int(at)]
+                assert q == pytest.approx(low + (values[min(int(at) + 1, len(values) - 1)] - low) * (at - int(at)))
+        else:
+            assert row["q_1"] == pytest.approx(n / 2, abs=2) and row["n"] == n - 1
+
+
+def test_density_of_a_heavy_tail_keeps_its_bandwidth(spark):
+    df = spark.range(1, 3001).selectExpr("if(id = 3000, 1e9, id / 3000.0) as v")
+    binned = profile.density(df, "v").orderBy("point").collect()
+    exact = profile.density_exact(df, "v").orderBy("point").collect()
+    highest = max(e["density"] for e in exact)
+    # a value is moved by a sixteenth of the bandwidth at most; the steepest kernel slope is 0.61 of its height per bandwidth
+    assert [b["density"] for b in binned] == pytest.approx([e["density"] for e in exact], abs=0.61 / 16 * highest)

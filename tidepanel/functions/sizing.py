@@ -1,22 +1,9 @@
-"""Size-checked broadcast."""
+"""Caching of tables that several jobs read."""
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-SMALL_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint when ``df`` has at most ``max_rows`` rows, else ``df`` for a shuffle join.
-
-    Counting stops beyond the limit.  The table is kept, so the check costs no
-    second computation of it.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -45,8 +45,6 @@ def centre_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def box_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers (last value within 1.5 IQR) and number of outliers."""
-    from tidepanel.functions.sizing import broadcast_if_small
-
     key = [*by, "column"]
     quartiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75), by).select(
         *key, F.col("q_0").alias("q25"), F.col("q_1").alias("median"), F.col("q_2").alias("q75")
@@ -55,7 +53,6 @@ def box_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     fences = quartiles.withColumns(
         {"low_fence": F.col("q25") - WHISKER * spread, "high_fence": F.col("q75") + WHISKER * spread}
     )
-    fences = broadcast_if_small(fences)
     inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
     return (
         long_values(df, columns, by)
@@ -117,8 +114,7 @@ def densities(
     Two passes for all columns.  The rows are binned (at least ``bins`` counts per
     column); the kernel runs over that table only, each bin meeting the ``grid``
     points.  ``window`` zooms the grid without changing data or bandwidth.  Bins
-    are never wider than an eighth of the bandwidth unless that takes more than
-    100,000 of them.
+    are never wider than an eighth of the bandwidth; only those that hold rows exist.
     """
     S.require_columns(df, columns, "density")
     values = long_values(df, columns)
@@ -130,7 +126,7 @@ def densities(
         if r["n"] < 2 or not r["sd"]:
             continue
         h = r["sd"] * r["n"] ** -0.2
-        cells = min(max(bins, math.ceil(8 * (r["hi"] - r["lo"]) / h)), 100_000)
+        cells = max(bins, math.ceil(8 * (r["hi"] - r["lo"]) / h))
         start, end = window or (r["lo"] - DENSITY_CUT * h, r["hi"] + DENSITY_CUT * h)
         scale = 1.0 / (r["n"] * h * math.sqrt(2 * math.pi))
         shapes.append(
@@ -142,10 +138,10 @@ def densities(
     shape = F.broadcast(
         df.sparkSession.createDataFrame(
             shapes,
-            "column string, lo double, width double, cells int, h double, start double, step double, scale double",
+            "column string, lo double, width double, cells bigint, h double, start double, step double, scale double",
         )
     )
-    place = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.col("cells") - 1).cast("int")
+    place = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.col("cells") - 1).cast("bigint")
     counts = values.join(shape, "column").groupBy("column", place.alias("bin")).agg(F.count("*").alias("n"))
     points = counts.join(shape, "column").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     x = F.col("start") + F.col("point") * F.col("step")

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel import schema as S
-from tidepanel.functions.sizing import broadcast_if_small, kept
+from tidepanel.functions.sizing import kept
 
 SKETCH_ACCURACY = 10_000
+# Intervals of a bracket whose values are sorted apart.
+SLOTS = 256
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -35,13 +37,12 @@ def exact_quantiles(
     Two passes.  A mergeable sketch brackets every quantile between two values
     whose ranks differ by at most a few ``1/accuracy`` of the rows.  Then rows
     are counted: one count for everything between two brackets, and one per
-    distinct value inside a bracket.  Only that short list is sorted, so neither
-    a huge nor a skewed group is ever held by one task.  The result is exact; if
+    distinct value inside a bracket.  Only that list is sorted, by intervals of
+    its values, so a task holds a part of a bracket.  The result is exact; if
     a sketch broke its error bound the job would fail instead of guessing.
 
     The table of brackets has one row per column and group.  Without ``by`` that
-    bounds it; with ``by`` it is counted before it is broadcast, and a long one
-    is joined by shuffle.
+    bounds it and it is broadcast; with ``by`` the join is left to Catalyst.
     """
     probabilities = list(probabilities)
     if sorted(probabilities) != probabilities or not all(0 <= p <= 1 for p in probabilities):
@@ -79,18 +80,25 @@ def exact_quantiles(
         cell, inside = cell.when(v <= high, 2 * i + 1), inside.when(v <= high, F.lit(True))
     cell, inside = cell.otherwise(2 * len(probabilities)), inside.otherwise(F.lit(False))
 
-    if by:
-        sketch = broadcast_if_small(sketch)
-    else:  # one row per column
+    if not by:  # one row per column; with groups Catalyst chooses, and AQE splits a skewed one
         sketch = F.broadcast(kept(sketch) if moments else sketch)
-    placed = values.join(sketch, key).select(*key, "value", cell.alias("cell"), inside.alias("inside"))
-    counts = placed.groupBy(*key, "cell", F.when(F.col("inside"), F.col("value")).alias("value")).agg(
+    placed = values.join(sketch, key).withColumn("cell", cell).withColumn("inside", inside)
+    # A bracket is parted into equal intervals of its values: each is sorted by itself.
+    which = (F.floor(F.col("cell") / 2) + 1).cast("int")
+    lows, highs = (F.array(*[bound(2 * i + side) for i in range(len(probabilities))]) for side in (0, 1))
+    low, high = F.get(lows, which - 1), F.get(highs, which - 1)
+    part = F.least(F.floor((F.col("value") - low) / (high - low) * SLOTS), F.lit(SLOTS - 1)).cast("int")
+    placed = placed.withColumn("slot", F.when(F.col("inside") & (high > low), part).otherwise(0))
+    counts = placed.groupBy(*key, "cell", "slot", F.when(F.col("inside"), F.col("value")).alias("value")).agg(
         F.count("*").alias("rows")
     )
-    running = Window.partitionBy(*key).orderBy("cell", "value")
-    ranked = counts.withColumn("upto", F.sum("rows").over(running)).withColumn(
-        "n", F.sum("rows").over(Window.partitionBy(*key))
-    )
+    # Rows before each interval: a running sum over SLOTS intervals per bracket at most.
+    slots = counts.groupBy(*key, "cell", "slot").agg(F.sum("rows").alias("slot_rows"))
+    everything = Window.partitionBy(*key)
+    ahead = everything.orderBy("cell", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("before", F.coalesce(F.sum("slot_rows").over(ahead), F.lit(0))).withColumn("n", F.sum("slot_rows").over(everything))
+    running = Window.partitionBy(*key, "cell", "slot").orderBy("value")
+    ranked = counts.join(slots.drop("slot_rows"), [*key, "cell", "slot"]).withColumn("upto", F.col("before") + F.sum("rows").over(running))
     picks = {}
     for i, p in enumerate(probabilities):
         position = F.lit(p) * (F.col("n") - 1)

@@ -206,7 +206,7 @@ def _density(columns: list[str], window: tuple[float, float] | None = None, bins
     g = DENSITY_GRID - 1
     start = f"CAST({window[0]} AS DOUBLE)" if window else f"lo - {DENSITY_CUT} * h"
     end = f"CAST({window[1]} AS DOUBLE)" if window else f"hi + {DENSITY_CUT} * h"
-    cells = f"least(greatest({bins}, ceil(8 * (hi - lo) / h)), 100000)"
+    cells = f"greatest({bins}, ceil(8 * (hi - lo) / h))"
     width = f"((hi - lo) / {cells})"
     mass = (
         'SELECT "column", value AS c, 1 AS m FROM vals'
