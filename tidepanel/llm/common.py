@@ -31,25 +31,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, rows_per_group: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends there.
 
     A lost executor cannot lose the rows, and later jobs start from the files.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    writer = df.write
-    if rows_per_group:
-        writer = writer.option("parquet.block.row.count.limit", rows_per_group)
-    writer.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
-    """Columns of one table of the corpus."""
-    df = spark.read.parquet(f"{root}/{name}.parquet")
-    return df.select(*columns) if columns else df
-
-
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
