@@ -359,6 +359,65 @@ def q_infinity_counts(spark, root):
     return quality.infinity_counts(X.with_engineered(test(spark, root)), names)
 
 
+# ---- the same checks on inputs with faults ---------------------------------
+# Faults follow from the given rows: keys divisible by a prime are doubled, dropped or spoilt.
+
+def with_faulty_keys(df: DataFrame, doubled: int, dropped: int) -> DataFrame:
+    key = F.col(S.ROW_ID)
+    return df.where(key % dropped != 0).unionByName(df.where(key % doubled == 0))
+
+
+def overlapping(folds):
+    """Folds that train up to the first date (even numbers: the last date) of their validation block."""
+    return [f._replace(train_end=f.valid_end if f.fold % 2 == 0 else f.valid_start) for f in folds]
+
+
+def q_dup_keys_faulty(spark, root):
+    return audit.duplicate_keys(with_faulty_keys(kept_train(spark, root, S.ROW_ID), 97, 89))
+
+
+def q_key_alignment_faulty(spark, root):
+    keys = kept_train(spark, root, S.ROW_ID)
+    return audit.key_alignment(with_faulty_keys(keys, 97, 89), keys.where(F.col(S.ROW_ID) % 79 != 0))
+
+
+def q_category_diff_faulty(spark, root):
+    panel = kept(brand_day_panel(spark, root, False).select(S.ALLOCATION, S.GROUP, S.TARGET, "date_idx", "n_dates"))
+    left, right = train_panel(panel).where(F.col(S.GROUP) != 2), test_panel(panel).where(F.col(S.GROUP) != 3)
+    return audit.category_difference(left, right, [S.ALLOCATION, S.GROUP])
+
+
+def q_leak_check_faulty(spark, root):
+    df = kept_train(spark, root, S.TS)
+    shared = None
+    for fold in overlapping(axis.expanding_folds(df)):
+        fit, valid = axis.split_fold(df, fold)
+        found = axis.shared_dates(fit, valid).agg(F.lit(fold.fold).alias("fold"), F.count("*").alias("n_shared"))
+        shared = found if shared is None else shared.unionByName(found)
+    return shared
+
+
+def q_fold_checks_faulty(spark, root):
+    dates = kept(axis.date_axis(train(spark, root)))
+    return axis.fold_checks(dates, overlapping(axis.collect_folds(axis.expanding_fold_table(dates))))
+
+
+def q_submission_checks_faulty(spark, root):
+    rows = kept(test(spark, root).select(S.ROW_ID, "RET_1"))
+    key, good = F.col(S.ROW_ID), quality.build_submission(with_rule(rows, "reversal"))
+    spoilt = F.when(key % 83 == 0, F.lit(None)).when(key % 71 == 0, 2).otherwise(F.col(S.PREDICTION)).cast("int")
+    faulty = with_faulty_keys(good.withColumn(S.PREDICTION, spoilt), 97, 89)
+    unknown = good.where(key % 67 == 0).withColumn(S.ROW_ID, -key)
+    return settled(quality.submission_report(faulty.unionByName(unknown), rows.select(S.ROW_ID)))
+
+
+def q_infinity_counts_faulty(spark, root):
+    names = [*X.MOMENTUM, *X.VOLATILITY, *X.RATIO, *X.VOLUME]
+    df = X.with_engineered(test(spark, root))
+    spoilt = {n: F.when(F.col(S.ROW_ID) % (61 + 2 * k) == 0, F.lit(float("-inf" if k % 2 else "inf"))).otherwise(F.col(n)) for k, n in enumerate(names)}
+    return quality.infinity_counts(df.withColumns(spoilt), names)
+
+
 def sql_queries() -> dict[str, Query]:
     """Queries with an SQL twin."""
     found: dict[str, Query] = {
@@ -426,6 +485,13 @@ def sql_queries() -> dict[str, Query]:
         "submission_checks": q_submission_checks,
         "run_report": q_run_report,
         "infinity_counts": q_infinity_counts,
+        "dup_keys_faulty": q_dup_keys_faulty,
+        "key_alignment_faulty": q_key_alignment_faulty,
+        "category_diff_faulty": q_category_diff_faulty,
+        "leak_check_faulty": q_leak_check_faulty,
+        "fold_checks_faulty": q_fold_checks_faulty,
+        "submission_checks_faulty": q_submission_checks_faulty,
+        "infinity_counts_faulty": q_infinity_counts_faulty,
     }
     for name in baselines.baseline_names():
         found[f"baseline_{name}"] = _baseline(name)

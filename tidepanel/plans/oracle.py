@@ -254,6 +254,49 @@ def _audit_report() -> str:
     return f"{BASE} " + " UNION ALL ".join(parts)
 
 
+def _faulty_keys(source: str, columns: str, doubled: int = 97, dropped: int = 89) -> str:
+    return f"""SELECT {columns} FROM {source} WHERE ROW_ID % {dropped} <> 0
+  UNION ALL SELECT {columns} FROM {source} WHERE ROW_ID % {doubled} = 0"""
+
+
+def _faulty() -> dict[str, str]:
+    """The checks on inputs with doubled, dropped, unknown and spoilt rows; every count is taken from the faulty tables."""
+    keys = """(SELECT count(*) FROM (SELECT ROW_ID FROM b EXCEPT SELECT ROW_ID FROM a)) AS n_missing,
+  (SELECT count(*) FROM (SELECT ROW_ID FROM a EXCEPT SELECT ROW_ID FROM b)) AS n_surplus"""
+    overlap = f"""{AXIS}, g AS (SELECT fold, train_start, CASE WHEN fold % 2 = 0 THEN valid_end ELSE valid_start END AS train_end,
+  valid_start, valid_end FROM folds),
+x AS (SELECT fold, TS, TS BETWEEN train_start AND train_end AS fits, TS BETWEEN valid_start AND valid_end AS checks FROM axis, g)"""
+    broken = f"""CASE WHEN ROW_ID % 83 = 0 THEN NULL WHEN ROW_ID % 71 = 0 THEN 2 ELSE {RULES['reversal']} END"""
+    groups = []
+    for c, label in (("ALLOCATION", "ALLOCATION"), ('"GROUP"', "GROUP")):
+        a, b = f'SELECT DISTINCT {c} AS x FROM train WHERE "GROUP" <> 2', f'SELECT DISTINCT {c} AS x FROM test WHERE "GROUP" <> 3'
+        groups.append(f"""SELECT '{label}' AS "column", (SELECT count(*) FROM ({a})) AS n_train, (SELECT count(*) FROM ({b})) AS n_test,
+  (SELECT count(*) FROM ({a} EXCEPT {b})) AS only_train, (SELECT count(*) FROM ({b} EXCEPT {a})) AS only_test""")
+    names = list(MOMENTUM) + list(VOLATILITY) + list(RATIO) + list(VOLUME)
+    return {
+        "dup_keys_faulty": f"""{BASE}, a AS ({_faulty_keys('train', 'ROW_ID')}) SELECT count(*) AS n_rows,
+  count(DISTINCT ROW_ID) AS n_keys, count(*) - count(DISTINCT ROW_ID) AS n_duplicates FROM a""",
+        "key_alignment_faulty": f"""{BASE}, a AS ({_faulty_keys('train', 'ROW_ID')}), b AS (SELECT ROW_ID FROM train WHERE ROW_ID % 79 <> 0)
+SELECT count(*) AS n_found, (SELECT count(*) FROM b) AS n_expected, count(*) - count(ROW_ID) AS n_null_keys,
+  count(*) - count(DISTINCT ROW_ID) AS n_repeated, {keys}, FALSE AS aligned FROM a""",
+        "category_diff_faulty": f"{BASE} {' UNION ALL '.join(groups)}",
+        "leak_check_faulty": f"{overlap} SELECT fold, count(*) FILTER (WHERE fits AND checks) AS n_shared FROM x GROUP BY fold",
+        "fold_checks_faulty": f"""{overlap} SELECT fold, count(*) FILTER (WHERE fits) AS n_train_dates, count(*) FILTER (WHERE checks) AS n_valid_dates,
+  max(CASE WHEN fits THEN TS END) AS last_train, min(CASE WHEN checks THEN TS END) AS first_valid,
+  count(*) FILTER (WHERE fits AND checks) AS n_shared, count(*) FILTER (WHERE fits AND checks) = 0 AS ok FROM x GROUP BY fold""",
+        "submission_checks_faulty": f"""{BASE}, good AS (SELECT ROW_ID, {RULES['reversal']} AS prediction, {broken} AS spoilt FROM test), b AS (SELECT ROW_ID FROM test),
+a AS (SELECT ROW_ID, spoilt AS prediction FROM ({_faulty_keys('good', 'ROW_ID, spoilt')}) UNION ALL SELECT -ROW_ID, prediction FROM good WHERE ROW_ID % 67 = 0)
+SELECT count(*) AS n_found, (SELECT count(*) FROM b) AS n_expected, count(*) - count(ROW_ID) AS n_null_keys,
+  count(ROW_ID) - count(DISTINCT ROW_ID) AS n_repeated, {keys},
+  count(*) AS n_rows, count(*) - count(prediction) AS n_null, count(*) FILTER (WHERE prediction NOT IN (0, 1)) AS n_not_binary,
+  count(*) FILTER (WHERE prediction = 1) AS n_positive, {r('count(*) FILTER (WHERE prediction = 1) / CAST(count(prediction) AS DOUBLE)')} AS positive_rate,
+  FALSE AS ok
+FROM a""",
+        "infinity_counts_faulty": f"""{BASE} SELECT {", ".join(
+            f"count(*) FILTER (WHERE ROW_ID % {61 + 2 * k} = 0 OR isinf({ENGINEERED[n]})) AS {n}" for k, n in enumerate(names))} FROM test""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     panel = ["ROW_ID", "TS", "ALLOCATION", '"GROUP"', "date_idx", "n_dates"]
     doubles = [S.TURNOVER, *R, *V, "target"]
@@ -389,6 +432,7 @@ SELECT count(*) AS n_rows, count(*) - count(prediction) AS n_null, count(*) FILT
         "infinity_counts": f"""{BASE} SELECT {", ".join(
             f"count(*) FILTER (WHERE isinf({e})) AS {n}" for n, e in ENGINEERED.items())} FROM test""",
     }
+    sql |= _faulty()
     for name, rule in RULES.items():
         sql[f"baseline_{name}"] = _baseline(rule)
     return sql
