@@ -46,8 +46,8 @@ END = 0xFF  # no byte of UTF-8
 MAX_NODES = 1 << 21
 FREQUENT = 1 << 16
 HELD_OUT = 10
-SLICE = 6_000_000
-COUNTED = 3_000_000
+SLICE = 4_000_000
+COUNTED = 2_000_000
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
