@@ -20,7 +20,11 @@ from tidepanel.operators.cross_section import with_cross_section
 from tidepanel.operators.labels import join_labels, split_target
 from tidepanel.operators.per_date import join_per_date
 from tidepanel.plans import workflows
+from tidepanel.session import shared_folder
 from tidepanel.sources.brand_days import brand_day_panel, test_panel, train_panel
+from tidepanel.sources.files import (
+    KEY_TEMPLATE, TEST_FEATURES, TRAIN_FEATURES, TRAIN_LABELS, PanelFiles, read_table, write_predictions, write_sign_predictions,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -359,6 +363,44 @@ def q_infinity_counts(spark, root):
     return quality.infinity_counts(X.with_engineered(test(spark, root)), names)
 
 
+# ---- files -----------------------------------------------------------------
+
+def exported(spark, root) -> PanelFiles:
+    """The four input tables as CSV in a new folder of the job's shared path."""
+    panel, folder = kept(brand_day_panel(spark, root)), shared_folder(spark, "panel-files")
+    features, target = split_target(train_panel(panel).drop(S.LABEL))
+    rows = test_panel(panel)
+    for name, df in ((TRAIN_FEATURES, features), (TRAIN_LABELS, target), (TEST_FEATURES, rows), (KEY_TEMPLATE, rows.select(S.ROW_ID))):
+        df.write.option("header", True).csv(f"{folder}/{name}.csv")
+    return PanelFiles(spark, folder)
+
+
+def q_csv_train(spark, root):
+    files = exported(spark, root)
+    joined, _ = join_labels(files.train_features(), files.train_labels())
+    return joined.select(S.ROW_ID, S.TS, S.ALLOCATION, S.GROUP, S.TURNOVER, "RET_1", "RET_20", "SIGNED_VOLUME_1", "SIGNED_VOLUME_20", S.TARGET, S.LABEL)
+
+
+def q_csv_test(spark, root):
+    files = exported(spark, root)
+    return files.test_features().join(files.key_template(), S.ROW_ID).select(S.ROW_ID, S.TS, S.ALLOCATION, "RET_1", "RET_20")
+
+
+def q_csv_predictions(spark, root):
+    rows = kept(test(spark, root).select(S.ROW_ID, "RET_1"))
+    folder = shared_folder(spark, "predictions")
+    rule = write_predictions(quality.build_submission(with_rule(rows, "reversal")), f"{folder}/rule.csv")
+    sign = write_sign_predictions(rows, "RET_1", f"{folder}/sign.csv")
+    back = [read_table(spark, path, S.SUBMISSION_SCHEMA) for path in (rule, sign)]
+    return back[0].join(back[1].withColumnRenamed(S.PREDICTION, "sign"), S.ROW_ID)
+
+
+def q_run_submission(spark, root):
+    files = exported(spark, root)
+    out = f"{shared_folder(spark, 'submission')}/predictions.csv"
+    return settled(workflows.run_submission(files, builders.level_wise_boosting(), out).drop("path"))
+
+
 # ---- the same checks on inputs with faults ---------------------------------
 # Faults follow from the given rows: keys divisible by a prime are doubled, dropped or spoilt.
 
@@ -485,6 +527,9 @@ def sql_queries() -> dict[str, Query]:
         "submission_checks": q_submission_checks,
         "run_report": q_run_report,
         "infinity_counts": q_infinity_counts,
+        "csv_train": q_csv_train,
+        "csv_test": q_csv_test,
+        "csv_predictions": q_csv_predictions,
         "dup_keys_faulty": q_dup_keys_faulty,
         "key_alignment_faulty": q_key_alignment_faulty,
         "category_diff_faulty": q_category_diff_faulty,
@@ -601,4 +646,5 @@ def model_queries() -> dict[str, Query]:
         "grid_best_holdout": q_grid_best_holdout,
         "feature_study": q_feature_study,
         "model_submission": q_model_submission,
+        "run_submission": q_run_submission,
     }

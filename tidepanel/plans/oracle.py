@@ -432,7 +432,11 @@ SELECT count(*) AS n_rows, count(*) - count(prediction) AS n_null, count(*) FILT
         "infinity_counts": f"""{BASE} SELECT {", ".join(
             f"count(*) FILTER (WHERE isinf({e})) AS {n}" for n, e in ENGINEERED.items())} FROM test""",
     }
-    sql |= _faulty()
+    sql |= _faulty() | {
+        "csv_train": f"""{BASE} SELECT ROW_ID, TS, ALLOCATION, "GROUP", {S.TURNOVER}, RET_1, RET_20, SIGNED_VOLUME_1, SIGNED_VOLUME_20, target, class FROM train""",
+        "csv_test": f"{BASE} SELECT ROW_ID, TS, ALLOCATION, RET_1, RET_20 FROM test",
+        "csv_predictions": f"{BASE} SELECT ROW_ID, {RULES['reversal']} AS prediction, {RULES['momentum']} AS sign FROM test",
+    }
     for name, rule in RULES.items():
         sql[f"baseline_{name}"] = _baseline(rule)
     return sql

@@ -19,7 +19,7 @@ from tidepanel.operators import time_axis as axis
 from tidepanel.operators.cross_section import with_cross_section
 from tidepanel.operators.labels import join_labels
 from tidepanel.operators.per_date import join_per_date
-from tidepanel.sources.files import PanelFiles, write_predictions
+from tidepanel.sources.files import PanelFiles, read_table, write_predictions
 
 # Feature sets of the feature study, the reference first.
 FEATURE_STUDY = ("raw", "momentum", "momentum_compact", "volatility", "momentum_volatility", "ratio", "volume")
@@ -46,7 +46,8 @@ def run_submission(
     """Load, label, engineer, check, fit on all rows, predict, check, write; returns the run report."""
     test = X.with_engineered(files.test_features())
     labelled, _ = join_labels(files.train_features(), files.train_labels())
-    train = X.with_engineered(labelled)
+    # kept: the checks, the sketches and every pass of the fit read the same rows
+    train = kept(X.with_engineered(labelled))
     features = list(features or X.numeric_features(train))
     quality.check_features(train, test, features)
     scored = fit_and_score(train, test, model, features)
@@ -54,7 +55,9 @@ def run_submission(
     submission = kept(quality.build_submission(scored))
     quality.check_submission(submission, test.select(S.ROW_ID))
     write_predictions(submission, out, single_file)
-    report = quality.prediction_report(submission)
+    report = quality.prediction_report(read_table(files.spark, out, S.SUBMISSION_SCHEMA))
+    for table in (train, submission):
+        table.unpersist()
     return report.withColumn("path", F.lit(out))
 
 

@@ -44,6 +44,7 @@ LABEL_SCHEMA = T.StructType(
     [T.StructField(ROW_ID, T.LongType()), T.StructField(TARGET, T.DoubleType())]
 )
 KEY_SCHEMA = T.StructType([T.StructField(ROW_ID, T.LongType())])
+SUBMISSION_SCHEMA = T.StructType([T.StructField(ROW_ID, T.LongType()), T.StructField(PREDICTION, T.IntegerType())])
 
 
 def require_columns(df, columns, context: str = "input") -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +36,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidepanel-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
