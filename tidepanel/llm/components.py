@@ -33,8 +33,8 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         # Done when all edges lead to roots and every node has one: a forest of stars.
         roots = now.select(F.col("v").alias("u")).distinct()
-        chained = now.select("u").distinct().join(roots, "u", "left_semi").limit(1).count()
-        if not chained and not now.groupBy("u").count().where("count > 1").limit(1).count():
+        sources = now.groupBy("u").count()
+        if not sources.where("count > 1").select("u").union(sources.select("u").join(roots, "u", "left_semi")).limit(1).count():
             stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         now = stored(_small_star(_large_star(now)), "edges")

@@ -47,7 +47,7 @@ FREQUENT_IN_BATCH = 4
 # Bits of the filter that spares sets no tile holds; when it is full it spares none.
 FILTER_BITS = 1 << 23
 BLOCK = 2048
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 # Tiles of fewer sets are small: all their pairs are few beside their rows.
 SMALL = 8
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -433,7 +433,8 @@ def ngram_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # The first turn looks at all tiles, so that pairs of copies with many common tiles are settled at once.
         rows = _with_components(crowded if 0 < k < STAR_ROUNDS else tiles, labels)
         pairs = stored(_star_proposals(rows, bitmaps, k) if k < STAR_ROUNDS else _remaining_pairs(rows, bitmaps), "pairs")
-        fresh = stored(verified(pairs, sets.of(pairs)), "links")
+        # Texts are read for the first turn and for the last, complete one; the turns between use the sets at hand.
+        fresh = stored(verified(pairs, sets.known if 0 < k < STAR_ROUNDS else sets.of(pairs)), "links")
         links = fresh if links is None else links.union(fresh)
         if k < STAR_ROUNDS:
             labels = stored(connected(links), "labels")
