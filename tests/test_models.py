@@ -139,7 +139,7 @@ def test_folds_trained_together_equal_folds_trained_alone(train, folds):
 
 
 def test_cut_points_ignore_validation_rows(train):
-    bits = train.withColumn("valid", F.pmod(F.col(S.ROW_ID), F.lit(3)).cast("int")).withColumn("valid", F.shiftleft(F.lit(1), F.col("valid")).cast("int"))
+    bits = train.withColumn("valid", F.pow(F.lit(2), F.pmod(F.col(S.ROW_ID), F.lit(3))).cast("int"))
     bits = bits.withColumn("train", F.lit(7) - F.col("valid"))
     moved = bits.withColumn(FEATURES[0], F.when(F.col("valid") == 2, F.col(FEATURES[0]) * 1000).otherwise(F.col(FEATURES[0])))
     before, after = (B.feature_edges(df, FEATURES, 64, 3) for df in (bits, moved))
