@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -277,6 +278,20 @@ def test_url_edges(spark):
     assert url_filter.filter_urls(df.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_url_verdicts_do_not_depend_on_other_rows(spark):
+    """The index finds what all expressions find, run on all URLs; no row holds the singular 'download'."""
+    urls = [
+        "http://a.io/free-downloads/x", "http://a.io/x/free-downloads", "http://a.io/Free-Downloads/x", "http://a.io/CASINO/", "http://CASINO.io/",
+        "http://a.io/free-downloader", "http://b.io/xxx.", "http://cheap-pills.io", "http://x.spam-farm.io/a", "http://b.io/free", "http://b.io/free/",
+    ]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    for table in (df, df.union(spark.createDataFrame([(99, "http://c.io/free-download/")], df.schema))):
+        for r in url_filter.filter_urls(table, url_filter.rule_table(spark)).collect():
+            want = min((n for n, _, p in url_filter.PATTERN_RULES if re.search(p, r["host"] + r["path"])), default=None)
+            assert (r["pattern_rule"], r["verdict"]) == (want, "block" if want else "allow"), r
+            assert r["page_id"] not in (0, 1, 99) or want == "free-download"
+
+
 # ---- token file ------------------------------------------------------------
 
 @pytest.mark.parametrize("kind", ["bit", "byte"])

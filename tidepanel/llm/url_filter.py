@@ -33,12 +33,12 @@ SITE_RULES = (
     ("example.com/de/", "block"),
     ("org/fr/", "allow"),
 )
-# Own pattern rules: literal tokens and an expression over lower-cased host + path.
+# Own pattern rules: tokens that every match holds as whole tokens, and an expression over host + path as they are.
 PATTERN_RULES = (
     ("spam-farm", ("spam", "farm"), r"^([^/]*\.)?spam-farm\."),
     ("cheap-pills", ("cheap", "pills"), r"^([^/]*\.)?cheap-pills\."),
     ("casino", ("casino",), r"(^|[./-])casino([./-]|$)"),
-    ("free-download", ("free", "download"), r"/free-download(s)?(/|$)"),
+    ("free-download", ("free",), r"/free-download(s)?(/|$)"),
     ("adult", ("xxx",), r"(^|[./-])xxx([./-]|$)"),
 )
 TOKEN = "[0-9a-z]+"
