@@ -228,6 +228,40 @@ def test_context_tree_query(spark, odd, monkeypatch):
     assert context_tree.score(empty, *context_tree.learn(empty)).count() == 0
 
 
+def test_context_tree_scores_by_the_whole_tree(spark):
+    """More than 2 ** 21 nodes, most of them seen three times, in texts that repeat: every one counts."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    data = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 \u00e9", k=8000)) * 3 if i % 7 else None) for i in range(40)]
+    df = context_tree.stored(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3, "doc_id"), "documents")
+    pairs, counts = np.unique(context_tree.grams([(t or "").encode() for i, t in data if context_tree._training(i)])[0], return_counts=True)
+    levels = context_tree.subtree(pairs, counts)
+    roots = pa.table({"key": levels[0].key.view(np.int64), "n": levels[0].zeros + levels[0].ones, "ones": levels[0].ones, "weighted": levels[0].weighted})
+    depth = np.concatenate([np.full(len(v.key), context_tree.ROOT + k) for k, v in enumerate(levels)])
+    assert len(depth) > 1 << 21
+    p = np.concatenate(context_tree.read_off(levels, context_tree.ROOT))
+    nodes = pa.table({"depth": depth, "key": np.concatenate([v.key for v in levels]).view(np.int64), "p": p})
+    whole = context_tree.Model(*context_tree._finished(roots, nodes), None, None, 1, 1, 1)
+    got = {r["doc_id"]: r["score"] for r in context_tree.score(df, *context_tree.learn(df)).collect()}
+    assert got == pytest.approx({i: whole.log10_costs(context_tree.grams([(t or "").encode()])[0]).sum() for i, t in data}, rel=1e-6)
+
+
+def test_context_tree_questions_in_several_goes(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["abracadabra", "banana bandana", "", None, "a" * 99]
+    batch = pa.record_batch({"run": pa.array([1, 1, 1, 2, 2]), "text": pa.array(texts)})
+    for monkey in (1 << 20, 3):
+        monkeypatch.setattr(context_tree, "COUNTED", monkey)
+        asked = defaultdict(set)
+        for out in context_tree._question_batches(iter([batch])):
+            for run, part, names in zip(*(c.to_pylist() for c in out.columns)):
+                asked[run] |= set(context_tree.unsplit(part, np.frombuffer(names, np.uint32)).tolist())
+        for run, mine in ((1, texts[:3]), (2, texts[3:])):
+            assert asked[run] == set(context_tree.grams([(t or "").encode() for t in mine])[0].tolist())
+
+
 # ---- quality ---------------------------------------------------------------
 
 def test_quality_held_out_accuracy(spark):

@@ -11,10 +11,14 @@ documents, so probabilities of all texts add up to one.
 Learning.  Training documents are counted as (context, byte) pairs, per task
 first; the pairs are dealt out by their ``ROOT`` nearest context bytes, so a task holds
 whole subtrees and weighs them bottom up.  The few levels above the roots are weighed on the
-driver; they have at most 256 ** ROOT contexts.  For scoring, the tree is cut where contexts are
-rare: ``least_count`` is the smallest power of two that leaves at most ``MAX_NODES`` nodes,
-which bounds what is broadcast; a cut or unseen context is read at its deepest kept ancestor.
-Counts and weights always cover all training documents.
+driver; they have at most 256 ** ROOT contexts.  All nodes below stay in the written table.
+
+Scoring.  Up to ``1 << RUN`` rows of a task are a run.  A run asks once for each of its distinct
+pairs; questions meet the nodes of their subtrees, are answered there, and go back to the
+run's texts, which add up the answers.  Only the levels down to the roots are broadcast.  A context that
+training has not seen is read at its deepest ancestor in the whole tree.  Answers are single precision, sums double.
+The rows of ``docs`` are read twice and must come in the same tasks and order, as from files; a pair
+without an answer stops the query.
 
 Words, for the base score: word counts are exact.  The ``FREQUENT`` most frequent
 words (a bounded table) are looked up where the text is read, all others by a join on the word's 64-bit name.
@@ -43,7 +47,8 @@ from tidepanel.llm.words import word_names
 
 DEPTH, ROOT = 5, 2
 END = 0xFF  # no byte of UTF-8
-MAX_NODES = 1 << 21
+RUN = 13
+CHUNK = 1 << 20
 FREQUENT = 1 << 16
 HELD_OUT = 10
 SLICE = 4_000_000
@@ -147,9 +152,32 @@ def tagged(key: np.ndarray, depth: int) -> np.ndarray:
     return key | np.uint64((depth + 1) << 56)
 
 
+def split(pairs: np.ndarray) -> np.ndarray:
+    """Part (the ``ROOT`` nearest context bytes) in the upper 32 bits, the rest of the pair in the lower ones."""
+    return ((pairs >> np.uint64(8)) & np.uint64((1 << 8 * ROOT) - 1)) << np.uint64(32) | (pairs >> np.uint64(8 * ROOT + 8)) << np.uint64(8) | (pairs & np.uint64(255))
+
+
+def unsplit(part: int, names: np.ndarray) -> np.ndarray:
+    names = names.astype(np.uint64)
+    return (names >> np.uint64(8)) << np.uint64(8 * ROOT + 8) | np.uint64(int(part) << 8) | (names & np.uint64(255))
+
+
+def stretches(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """From and to of equal neighbours."""
+    if len(values):
+        cuts = (np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()
+        yield from zip([0, *cuts], [*cuts, len(values)])
+
+
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One binary value per end, with the bytes of ``values`` up to there."""
+    offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 @dataclass
 class Model:
-    """Kept nodes, sorted by tagged key, with the final probability of a one."""
+    """Nodes, sorted by tagged key, with the final probability of a one; words and their counts."""
 
     keys: np.ndarray
     ones: np.ndarray
@@ -243,20 +271,21 @@ def _count_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _tree_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of whole subtrees; rows come sorted by part, one part is weighed at a time."""
+    """Nodes of whole subtrees, up to CHUNK of one depth in a row; rows come sorted by part, one part is weighed at a time."""
     part, held = None, []
 
     def nodes():
         pairs, counts = _merged(held)
         levels = subtree(pairs, counts)
         for k, (level, p) in enumerate(zip(levels, read_off(levels, ROOT))):
-            n = len(p)
-            root = not k
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, ROOT + k, np.int32)), pa.array(level.key.view(np.int64)), pa.array((level.zeros + level.ones).astype(np.int64)), pa.array(p),
-                 pa.array(level.ones.astype(np.int64)) if root else pa.nulls(n, pa.int64()), pa.array(level.weighted) if root else pa.nulls(n, pa.float64())],
-                names=["depth", "key", "n", "p", "ones", "weighted"],
-            )
+            for at in range(0, len(p), CHUNK):
+                own = [x[at : at + CHUNK].tobytes() for x in (level.key, p, level.zeros + level.ones, level.ones, level.weighted)]
+                if k:
+                    own[2:] = [None] * 3
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([ROOT + k], pa.int32()), *(pa.array([x], pa.binary()) for x in own)],
+                    names=["part", "depth", "keys", "p", "n", "ones", "weighted"],
+                )
 
     for batch in source:
         parts, names, counts = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -273,18 +302,36 @@ def _tree_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from nodes()
 
 
-def _finished(roots: pa.Table, kept: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Tagged keys and final probabilities: the levels above ROOT are weighed here and put on top of the subtrees."""
-    key = np.array(roots.column("key"), np.int64).view(np.uint64)
+@dataclass
+class Upper:
+    """Levels above ROOT, finished, and what they leave to each root: final = gathered + weight * (probability seen from the root)."""
+
+    keys: np.ndarray  # tagged
+    ones: np.ndarray
+    roots: np.ndarray
+    gathered: np.ndarray
+    weight: np.ndarray
+
+    def over(self, depth: np.ndarray, key: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tagged keys and final probabilities of these levels and of the nodes below."""
+        at = np.searchsorted(self.roots, key & np.uint64((1 << 8 * (ROOT + 1)) - 1))
+        keys = np.concatenate([self.keys, key | ((depth + 1).astype(np.uint64) << np.uint64(56))])
+        found = np.concatenate([self.ones, self.gathered[at] + self.weight[at] * p])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], found[order]
+
+
+def _upper(key: np.ndarray, n: np.ndarray, ones: np.ndarray, weighted: np.ndarray) -> Upper:
+    """The levels above ROOT are weighed here, from the roots of all subtrees."""
+    if not len(key):
+        return Upper(key, n, key, n, n)
     order = np.argsort(key)
-    ones, n = (np.array(roots.column(c), np.float64)[order] for c in ("ones", "n"))
-    level = Level(key[order], n - ones, ones, np.array(roots.column("weighted"), np.float64)[order], np.zeros(len(order)))
-    levels = [level]
+    ones, n = ones[order], n[order]
+    levels = [Level(key[order], n - ones, ones, weighted[order], np.zeros(len(order)))]
     for depth in range(ROOT - 1, -1, -1):
         below = levels[0]
         key, where = np.unique(parents(below.key, depth + 1), return_inverse=True)
         levels.insert(0, weigh(key, np.bincount(where, below.zeros, len(key)), np.bincount(where, below.ones, len(key)), below, depth))
-    # What the levels above leave to each root: final = gathered + weight * (probability seen from the root).
     gathered, weight = np.zeros(len(levels[0].key)), np.ones(len(levels[0].key))
     keys, found = [], []
     for depth, level in enumerate(levels):
@@ -295,17 +342,25 @@ def _finished(roots: pa.Table, kept: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         if depth < ROOT:
             keys.append(tagged(level.key, depth))
             found.append(gathered + weight * level.estimate)
-    depth, key, p = np.array(kept.column("depth"), np.int64), np.array(kept.column("key"), np.int64).view(np.uint64), np.array(kept.column("p"), np.float64)
-    at = np.searchsorted(levels[-1].key, key & np.uint64((1 << 8 * (ROOT + 1)) - 1))
-    keys.append(key | ((depth + 1).astype(np.uint64) << np.uint64(56)))
-    found.append(gathered[at] + weight[at] * p)
-    keys, found = np.concatenate(keys), np.concatenate(found)
-    order = np.argsort(keys)
-    return keys[order], found[order].astype(np.float32)
+    return Upper(np.concatenate(keys), np.concatenate(found), levels[-1].key, gathered, weight)
+
+
+def _finished(roots: pa.Table, nodes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Tagged keys and final probabilities of a whole tree in one place."""
+    upper = _upper(np.array(roots.column("key"), np.int64).view(np.uint64), *(np.array(roots.column(c), np.float64) for c in ("n", "ones", "weighted")))
+    return upper.over(np.array(nodes.column("depth"), np.int64), np.array(nodes.column("key"), np.int64).view(np.uint64), np.array(nodes.column("p"), np.float64))
 
 
-def learn(docs: DataFrame, max_nodes: int = MAX_NODES, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model that is broadcast, and the exact word counts (name, n)."""
+@dataclass
+class Tree:
+    """All nodes from the roots down, as written, and the levels above."""
+
+    nodes: DataFrame
+    upper: Upper
+
+
+def learn(docs: DataFrame, frequent: int = FREQUENT) -> tuple[Model, DataFrame, Tree]:
+    """The model that is broadcast (levels above the roots, frequent words), the exact word counts (name, n), and the tree."""
     spark = docs.sparkSession
     counted = _texts(docs).mapInArrow(_count_batches, "kind int, part int, name bigint, n bigint")
     counted = stored(counted, "counts")
@@ -314,23 +369,18 @@ def learn(docs: DataFrame, max_nodes: int = MAX_NODES, frequent: int = FREQUENT)
     documents = docs.where(~held_out(F.col("doc_id"))).count()
     top = vocabulary.orderBy(F.desc("n"), "name").limit(frequent).toArrow()
     pairs = counted.where("kind = 1").select("part", "name", "n").repartition(partitions_for(spark), "part").sortWithinPartitions("part")
-    nodes = stored(pairs.mapInArrow(_tree_batches, "depth int, key bigint, n bigint, p double, ones bigint, weighted double"), "tree")
-    # Smallest power of two that keeps at most max_nodes nodes; children never outnumber their parents' counts, so what is kept is a tree.
-    spread = nodes.groupBy(F.floor(F.log2(F.col("n"))).cast("int").alias("power")).count().collect()
-    power, kept = 64, 0
-    for size in sorted(spread, reverse=True):
-        if kept + size["count"] > max_nodes:
-            break
-        power, kept = size["power"], kept + size["count"]
-    roots = nodes.where(f"depth = {ROOT}").select("key", "n", "ones", "weighted").toArrow()
-    chosen = nodes.where(F.col("n") >= F.lit(1 << min(power, 62))).select("depth", "key", "p").toArrow()
-    keys, ones = _finished(roots, chosen) if roots.num_rows else (np.empty(0, np.uint64), np.empty(0, np.float32))
+    nodes = stored(pairs.mapInArrow(_tree_batches, "part int, depth int, keys binary, p binary, n binary, ones binary, weighted binary"), "tree")
+    roots = nodes.where(f"depth = {ROOT}").select("keys", "n", "ones", "weighted").toArrow()
+    key, n, ones, weighted = (
+        np.frombuffer(b"".join(roots.column(c).to_pylist()), np.uint64 if c == "keys" else np.float64) for c in ("keys", "n", "ones", "weighted")
+    )
+    upper = _upper(key, n, ones, weighted)
     names = np.array(top.column("name"), np.int64).view(np.uint64)
     order = np.argsort(names)
     model = Model(
-        keys, ones, names[order], np.array(top.column("n"), np.float64)[order], float(sums[0] + documents), float(sums[1] + (documents > 0)), float(documents)
+        upper.keys, upper.ones, names[order], np.array(top.column("n"), np.float64)[order], float(sums[0] + documents), float(sums[1] + (documents > 0)), float(documents)
     )
-    return model, vocabulary
+    return model, vocabulary, Tree(nodes, upper)
 
 
 def held_out(doc_id):
@@ -341,18 +391,101 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _question_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, part, names): the distinct pairs of each run, one row per part; where they are more than COUNTED, in several goes."""
+    run, held = None, []
+
+    def questions():
+        wanted = np.unique(np.concatenate(held))
+        parts = (wanted >> np.uint64(32)).astype(np.int32)
+        starts, ends = np.array(list(stretches(parts))).T
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(ends), run)), pa.array(parts[starts]), binaries(wanted.astype(np.uint32), ends)], names=["run", "part", "names"]
+        )
+
+    for batch in source:
+        runs = batch.column(0).to_numpy()
+        for a, b in stretches(runs):
+            if runs[a] != run:
+                if held:
+                    yield from questions()
+                run, held = runs[a], []
+            for _, texts in slices(batch.column(1).slice(a, b - a), SLICE):
+                held.append(np.unique(split(grams([_lowered(t) for t in texts])[0])))
+                if sum(map(len, held)) > COUNTED:
+                    held = [np.unique(np.concatenate(held))]
+                    if len(held[0]) > COUNTED:
+                        yield from questions()
+                        held = []
+    if held:
+        yield from questions()
+
+
+def _answer_batches(shared):
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """log10 probabilities of the names asked for; rows come sorted by part, its nodes (run NULL) before its questions."""
+        upper: Upper = shared.value
+        part, nodes, model = None, [], None
+        for batch in source:
+            parts = batch.column(0).to_numpy()
+            for a, b in stretches(parts):
+                if parts[a] != part:
+                    part, nodes, model = parts[a], [], None
+                first = a + batch.column(1).slice(a, b - a).null_count
+                for k in range(a, first):
+                    key, p = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in ((3, np.uint64), (4, np.float64)))
+                    nodes.append((np.full(len(key), batch.column(2)[k].as_py()), key, p))
+                if first == b:
+                    continue
+                if model is None:
+                    depth, key, p = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0)), *nodes))
+                    nodes, model = [], Model(*upper.over(depth, key, p), None, None, 1, 1, 1)
+                names = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(3).slice(first, b - first)]
+                distinct, where = np.unique(np.concatenate(names), return_inverse=True)
+                costs = model.log10_costs(unsplit(part, distinct)).astype(np.float32)[where]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(first, b - first) for c in (1, 0, 3)), binaries(costs, np.cumsum([len(x) for x in names]))],
+                    names=["run", "part", "names", "costs"],
+                )
+
+    return batches
+
+
+def _answered(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """doc_id and text of rows of one run, with the run's pairs (sorted) and their costs; rows come sorted by run, answers before texts."""
+    run, held, pairs, costs = None, [], None, None
+    for batch in source:
+        runs = batch.column(0).to_numpy()
+        for a, b in stretches(runs):
+            if runs[a] != run:
+                run, held, pairs, costs = runs[a], [], np.empty(0, np.uint64), np.empty(0)
+            first = b - batch.column(1).slice(a, b - a).null_count
+            for k in range(a, first):
+                names = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint32).astype(np.uint64)
+                held.append((names | np.uint64(batch.column(1)[k].as_py() << 32), np.frombuffer(batch.column(3)[k].as_py(), np.float32)))
+            if first == b:
+                continue
+            if held:
+                pairs, at = np.unique(np.concatenate([x for x, _ in held]), return_index=True)
+                costs, held = np.concatenate([x for _, x in held])[at].astype(np.float64), []
+            yield batch.column(4).slice(first, b - first), batch.column(5).slice(first, b - first), pairs, costs
+
+
 def _score_batches(shared):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of documents (name NULL) and of their words outside the frequent table (name set, n times)."""
         model: Model = shared.value
         row = TaskContext.get().partitionId() << 36
         end_score = float(model.base(np.array([model.documents]))[0])
-        for batch in source:
-            for first, run in slices(batch.column(1), SLICE):
+        for ids, column, known_pairs, costs in _answered(source):
+            for first, run in slices(column, SLICE):
                 texts = [_lowered(t) for t in run]
                 pairs, lengths = grams(texts)
-                distinct, where = np.unique(pairs, return_inverse=True)
-                each = model.log10_costs(distinct)[where]
+                distinct, where = np.unique(split(pairs), return_inverse=True)
+                at = np.searchsorted(known_pairs, distinct)
+                if not len(known_pairs) or (known_pairs[np.minimum(at, len(known_pairs) - 1)] != distinct).any():
+                    raise RuntimeError("a run came with other rows when it was read again; store the documents first")
+                each = costs[at][where]
                 scores = np.add.reduceat(each, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
                 del pairs, where, each
                 names, counts = word_names(run)
@@ -376,7 +509,7 @@ def _score_batches(shared):
                 times = np.diff(starts, append=len(rare))
                 k = len(starts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([pa.array(rows), pa.array(rare[starts, 0].astype(np.int64))]), pa.concat_arrays([batch.column(0).slice(first, n), pa.nulls(k, pa.int64())]),
+                    [pa.concat_arrays([pa.array(rows), pa.array(rare[starts, 0].astype(np.int64))]), pa.concat_arrays([ids.slice(first, n), pa.nulls(k, pa.int64())]),
                      pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rare[starts, 1].view(np.int64) if k else np.empty(0, np.int64))]),
                      pa.concat_arrays([pa.array(counts + 1), pa.array(times.astype(np.int64))]), pa.concat_arrays([pa.array(known.astype(np.int64)), pa.nulls(k, pa.int64())]),
                      pa.concat_arrays([pa.array(base), pa.nulls(k, pa.float64())]), pa.concat_arrays([pa.array(scores), pa.nulls(k, pa.float64())])],
@@ -387,10 +520,20 @@ def _score_batches(shared):
     return batches
 
 
-def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, vocabulary: DataFrame, tree: Tree) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    read = _texts(docs).mapInArrow(_score_batches(shared), "row bigint, doc_id bigint, name bigint, n bigint, known bigint, base double, score double")
+    spark = docs.sparkSession
+    shared, upper = (spark.sparkContext.broadcast(x) for x in (model, tree.upper))
+    texts = _texts(docs).select(F.shiftright(F.monotonically_increasing_id(), RUN).alias("run"), "doc_id", "text")
+    questions = texts.select("run", "text").mapInArrow(_question_batches, "run bigint, part int, names binary")
+    asked = questions.selectExpr("part", "run", "CAST(NULL AS INT) AS depth", "names AS keys", "CAST(NULL AS BINARY) AS p")
+    asked = asked.union(tree.nodes.selectExpr("part", "CAST(NULL AS BIGINT) AS run", "depth", "keys", "p"))
+    asked = asked.repartition(partitions_for(spark), "part").sortWithinPartitions("part", F.col("run").asc_nulls_first())
+    answers = asked.mapInArrow(_answer_batches(upper), "run bigint, part int, names binary, costs binary")
+    both = texts.selectExpr("run", "CAST(NULL AS INT) AS part", "CAST(NULL AS BINARY) AS names", "CAST(NULL AS BINARY) AS costs", "doc_id", "text")
+    both = both.union(answers.selectExpr("*", "CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text"))
+    both = both.repartition(partitions_for(spark), "run").sortWithinPartitions("run", F.col("part").asc_nulls_last())
+    read = both.mapInArrow(_score_batches(shared), "row bigint, doc_id bigint, name bigint, n bigint, known bigint, base double, score double")
     read = stored(read, "scores")
     words = read.where("name is not null").select("row", "name", F.col("n").alias("times"))
     size = model.total + 0.1 * (model.distinct + 1)
