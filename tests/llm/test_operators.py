@@ -247,6 +247,25 @@ def test_context_tree_scores_by_the_whole_tree(spark):
     assert got == pytest.approx({i: whole.log10_costs(context_tree.grams([(t or "").encode()])[0]).sum() for i, t in data}, rel=1e-6)
 
 
+def test_context_tree_sums_a_hot_part_as_it_comes(monkeypatch):
+    """One part from many tasks: what is merged at once stays near the number of distinct pairs, the nodes are the same."""
+    import pyarrow as pa
+
+    pairs, counts = np.unique(context_tree.grams([b"e e e e" * 9, b"see me be e"])[0], return_counts=True)
+    mine = (pairs >> np.uint64(8)) & np.uint64(0xFFFF) == (ord("e") << 8 | ord(" "))
+    pairs, counts = pairs[mine], counts[mine]
+    batch = pa.record_batch({"part": pa.array(np.full(len(pairs), 7, np.int32)), "name": pa.array(pairs.view(np.int64)), "n": pa.array(counts)})
+    monkeypatch.setattr(context_tree, "COUNTED", 4)
+    most, merged = [], context_tree._merged
+    monkeypatch.setattr(context_tree, "_merged", lambda held: (most.append(sum(len(k) for k, _ in held)), merged(held))[1])
+    rows = pa.Table.from_batches(context_tree._tree_batches(iter([batch] * 500)))
+    assert max(most) <= 4 * len(pairs)
+    want = context_tree.subtree(pairs, counts * 500)
+    for k, level in enumerate(want):
+        assert rows.column("keys")[k].as_py() == level.key.tobytes()
+        assert np.allclose(np.frombuffer(rows.column("p")[k].as_py()), context_tree.read_off(want, context_tree.ROOT)[k])
+
+
 def test_context_tree_questions_in_several_goes(monkeypatch):
     import pyarrow as pa
 

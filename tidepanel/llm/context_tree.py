@@ -51,7 +51,7 @@ RUN = 13
 CHUNK = 1 << 20
 FREQUENT = 1 << 16
 HELD_OUT = 10
-SLICE = 4_000_000
+SLICE = 1_000_000
 COUNTED = 2_000_000
 
 
@@ -298,6 +298,9 @@ def _tree_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from nodes()
                 part, held = parts[a], []
             held.append((names[a:b].astype(np.int64).view(np.uint64), counts[a:b]))
+            # Counts of one pair from many tasks become one as they come: what is held grows with the distinct pairs only.
+            if sum(len(k) for k, _ in held[1:]) > max(COUNTED // 4, len(held[0][0])):
+                held = [_merged(held)]
     if held:
         yield from nodes()
 
