@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import bpe, chat, context_tree, fingerprint, mixing, ngram_join, quality, token_file, url_filter, vectors
+from tidepanel.llm import bpe, chat, chunk_dedup, context_tree, fingerprint, lexical, mixing, ngram_join, prefix_trie, quality, token_file, url_filter, vectors
 
 
 def queries() -> dict:
@@ -17,8 +17,19 @@ def queries() -> dict:
         "op8_near_vectors": vectors.op8_near_vectors,
         "op9_bpe": bpe.op9_bpe,
         "op10_fingerprints": fingerprint.op10_fingerprints,
+        "op11_chunk_dedup": chunk_dedup.op11_chunk_dedup,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_lexical_search": lexical.op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_ngram_join": ngram_join.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op5_url_filters": url_filter.OP5_SQL, "op7_chat_format": chat.OP7_SQL}
+    return {
+        "op1_ngram_join": ngram_join.OP1_SQL,
+        "op2_mix_sources": mixing.OP2_SQL,
+        "op5_url_filters": url_filter.OP5_SQL,
+        "op7_chat_format": chat.OP7_SQL,
+        "op11_chunk_dedup": chunk_dedup.OP11_SQL,
+        "op12_prefix_trie": prefix_trie.OP12_SQL,
+        "op13_lexical_search": lexical.OP13_SQL,
+    }
