@@ -6,10 +6,11 @@ rows, Spark adds the partial sums up, and the driver picks splits from that
 table, whose size depends on folds, nodes, features and bins but not on rows.
 Rows stay on the executors.
 
-The folds share the pass: a row carries a bit per fold it trains.  Tasks rebuild
-the margins of a row from the trees they are sent, so a lost executor costs only
-its own partitions; after ``REFRESH`` rounds the margins are written to the
-checkpoint folder to keep that work short.
+The folds share the pass: a row carries a bit per fold it trains, and a task sends
+all its sums as one packed row, which few reducers add up.  Rows keep the margins
+of the ensemble; every ``REFRESH`` rounds the kept rows take in the new trees, and
+tasks add the few trees since.  Every ``CHECKPOINT`` rounds the rows are written to the
+checkpoint folder, so a lost executor costs its own partitions and few rounds.
 
 Published background: AdaBoost (SAMME), gradient boosting machines, and the
 XGBoost, LightGBM and CatBoost papers.
@@ -40,9 +41,12 @@ from tidepanel.session import ensure_checkpoint_dir
 for _module in (trees_numpy, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
-REFRESH = 50
+REFRESH = 10
+CHECKPOINT = 50
+SEGMENT = 1 << 19  # sums in one packed row
+DIRECT_BYTES = 1 << 25  # packed rows of all tasks that the driver adds up itself
 BINNED_SCHEMA = "ROW_ID long, y double, train int, valid int, bins binary, base binary"
-HISTOGRAM_SCHEMA = "request int, feature int, bin int, g double, h double, n long"
+SUMS_SCHEMA = "segment int, lane int, sums binary"
 SCORED_SCHEMA = "ROW_ID long, fold int, y double, margin double, p1 double, prediction int"
 MAX_FOLDS = 30
 
@@ -257,12 +261,16 @@ def fit_folds(df: DataFrame, features: Sequence[str], label: str, folds: int, pl
     rows = binned_rows(df, features, label, edges).persist(StorageLevel.MEMORY_AND_DISK)
     members = [_Member(f, p) for f, p in enumerate(_priors(rows, folds, plan))]
     rng = np.random.default_rng(plan.seed)
+    before = None
     for turn in range(plan.rounds):
         active = [m for m in members if not m.done]
         if not active:
             break
         if turn and turn % REFRESH == 0:
-            rows = _store_margins(rows, members, len(features))
+            fresh = _store_margins(rows, members, len(features), turn % CHECKPOINT == 0)
+            if before is not None:
+                before.unpersist()
+            before, rows = rows, fresh
         chosen = np.sort(rng.choice(len(features), subset_size(plan.tree_features, len(features)), replace=False))
         _grow(rows, active, chosen, turn, plan, rng, len(features), folds)
         for m in active:
@@ -284,9 +292,8 @@ def _priors(rows: DataFrame, folds: int, plan: Boosting) -> list[float]:
     return [math.log(min(max(m, 1e-12), 1 - 1e-12) / (1 - min(max(m, 1e-12), 1 - 1e-12))) for m in means]
 
 
-def _store_margins(rows: DataFrame, members: list[_Member], width: int) -> DataFrame:
-    """Write the margins reached so far next to the rows; cuts the work per pass."""
-    ensure_checkpoint_dir(rows.sparkSession)
+def _store_margins(rows: DataFrame, members: list[_Member], width: int, reliable: bool) -> DataFrame:
+    """Rows with the margins reached so far, kept in memory or (``reliable``) written to the checkpoint folder; cuts the work per pass."""
     folds = len(members)
     fresh = [m.trees[m.merged :] for m in members]
 
@@ -297,74 +304,106 @@ def _store_margins(rows: DataFrame, members: list[_Member], width: int) -> DataF
             new = np.column_stack([old[:, f] + margin_of(fresh[f], b.bins[:, f]) for f in range(folds)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], _as_binary(new)], names=batch.schema.names)
 
-    stored = rows.mapInArrow(task, BINNED_SCHEMA).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
-    stored.count()
-    rows.unpersist()
+    stored = rows.mapInArrow(task, BINNED_SCHEMA)
+    if reliable:
+        ensure_checkpoint_dir(rows.sparkSession)
+        stored = stored.checkpoint(eager=True)
     for m in members:
         m.merged = len(m.trees)
-    return stored
+    return stored.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _merged_sums(batches):
+    """Packed rows of one (segment, lane), which come one after the other, added up."""
+    key, total = None, None
+    for batch in batches:
+        for segment, lane, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            values = np.frombuffer(packed.as_buffer(), np.float64)
+            if (segment, lane) == key:
+                total += values
+                continue
+            if key is not None:
+                yield _sums_row(*key, total)
+            key, total = (segment, lane), values.copy()
+    if key is not None:
+        yield _sums_row(*key, total)
+
+
+def _sums_row(segment: int, lane: int, values: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([segment], pa.int32()), pa.array([lane], pa.int32()), pa.array([values.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["segment", "lane", "sums"])
+
+
+def _summed(rows: DataFrame, task, length: int) -> np.ndarray:
+    """The sum over all tasks of a vector of ``length`` doubles that ``task`` yields in segments.
+
+    Short vectors of few tasks are added by the driver; else by reducers in two rounds, so that none adds more than the root of the number of tasks.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.mapInArrow(task, SUMS_SCHEMA)
+    if tasks * length * 8 > DIRECT_BYTES:
+        lanes = math.isqrt(tasks)
+        for lane in (F.pmod(F.spark_partition_id(), F.lit(lanes)), F.lit(0)):
+            parts = parts.withColumn("lane", lane).repartition(min(tasks, lanes * (length // SEGMENT + 1)), "segment", "lane")
+            parts = parts.sortWithinPartitions("segment", "lane").mapInArrow(_merged_sums, SUMS_SCHEMA)
+    total = np.zeros(length)
+    for batch in parts.toArrow().to_batches():
+        for segment, packed in zip(batch.column(0).to_pylist(), batch.column(2)):
+            values = np.frombuffer(packed.as_buffer(), np.float64)
+            total[segment * SEGMENT : segment * SEGMENT + len(values)] += values
+    return total
 
 
 def _histograms(rows, members, requests, turn, plan, width, folds):
-    """Sum of (g, h, n) per request, feature and bin.  A request is (member, node, features)."""
+    """Sum of (g, h, n) per request, feature and bin.  A request is (member, node, features), those of a member stand together."""
     by_member: dict[int, list] = {}
-    for number, (member, node, tried) in enumerate(requests):
-        by_member.setdefault(member.index, []).append((number, node, tried))
+    for member, node, tried in requests:
+        by_member.setdefault(member.index, []).append((node, tried))
     state = {m.index: (m.prior, m.trees[m.merged :], m.tree) for m in members if m.index in by_member}
-    sizes = [len(tried) for _, _, tried in requests]
     loss, seed, share, bins = plan.loss, plan.seed, plan.row_share, plan.bins
+    size = len(requests[0][2])
+    channels = 2 if loss == "squared" else 3  # the second derivative of the squared loss is 1
+    cells = size * bins
+    length = len(requests) * channels * cells
     sample_turn = turn // plan.row_every if plan.row_every else None
+    wanted_of, first = {}, 0
+    for index, wanted in by_member.items():
+        wanted_of[index] = first, [node for node, _ in wanted], np.array([tried for _, tried in wanted])
+        first += len(wanted)
 
     def task(batches):
-        sums = [np.zeros((3, size, bins)) for size in sizes]
+        sums = np.zeros((len(requests), channels, cells))
         for batch in batches:
             b = _Batch(batch, width, folds)
             keep = np.ones(len(b.y), dtype=bool)
             if share < 1.0 and sample_turn is not None:
                 keep = sampled(b.ids, share, seed, sample_turn)
-            for index, wanted in by_member.items():
+            for index, (start, nodes, tried) in wanted_of.items():
                 prior, trees, tree = state[index]
                 at = np.flatnonzero(keep & ((b.train >> index) & 1 == 1))
                 codes = b.bins[at, index]
+                slot = np.full(len(tree.left), -1)
+                slot[nodes] = np.arange(len(nodes))
+                slot = slot[leaf_of(tree, codes)]
+                inside = np.flatnonzero(slot >= 0)
+                if not len(inside):
+                    continue
+                at, codes, slot = at[inside], codes[inside], slot[inside]
                 margin = prior + b.base_of(index, at) + margin_of(trees, codes)
                 g, h = gradients(loss, b.y[at], margin)
-                node_of = leaf_of(tree, codes)
-                for number, node, tried in wanted:
-                    inside = np.flatnonzero(node_of == node)
-                    if not len(inside):
-                        continue
-                    place = codes[inside][:, tried].astype(np.int64) + np.arange(len(tried)) * bins
-                    flat, shape = place.ravel(), (len(tried), bins)
-                    for s, weight in enumerate((g[inside], h[inside], None)):
-                        repeated = None if weight is None else np.repeat(weight, len(tried))
-                        sums[number][s] += np.bincount(flat, repeated, minlength=len(tried) * bins).reshape(shape)
-        for number, (g, h, n) in enumerate(sums):
-            feature, bin_ = np.nonzero(n)
-            if len(feature):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(feature), number, dtype=np.int32)),
-                        pa.array(feature.astype(np.int32)),
-                        pa.array(bin_.astype(np.int32)),
-                        pa.array(g[feature, bin_]),
-                        pa.array(h[feature, bin_]),
-                        pa.array(n[feature, bin_].astype(np.int64)),
-                    ],
-                    names=["request", "feature", "bin", "g", "h", "n"],
-                )
-
-    summed = (
-        rows.mapInArrow(task, HISTOGRAM_SCHEMA)
-        .groupBy("request", "feature", "bin")
-        .agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
-        .toArrow()
-    )
-    request, feature, bin_, g, h, n = (column.to_numpy() for column in summed.columns)
-    tables = [np.zeros((3, size, bins)) for size in sizes]
-    for number, table in enumerate(tables):
-        at = np.flatnonzero(request == number)
-        table[:, feature[at], bin_[at]] = g[at], h[at], n[at]
-    return tables
+                same = (tried == tried[0]).all()
+                picked = codes[:, tried[0]] if same else np.take_along_axis(codes, tried[slot], axis=1)
+                place = (picked + (slot[:, None] * size + np.arange(size)) * bins).ravel()
+                for channel, weight in enumerate((g, h, None) if channels == 3 else (g, None)):
+                    repeated = None if weight is None else np.repeat(weight, size)
+                    sums[start : start + len(nodes), channel] += np.bincount(place, repeated, minlength=len(nodes) * cells).reshape(len(nodes), cells)
+        flat = sums.ravel()
+        for segment, begin in enumerate(range(0, len(flat), SEGMENT)):
+            yield _sums_row(segment, 0, flat[begin : begin + SEGMENT])
+
+    sums = _summed(rows, task, length).reshape(len(requests), channels, size, bins)
+    return [np.stack([s[0], s[-1], s[-1]]) if channels == 2 else s for s in sums]
 
 
 def _grow(rows, members, chosen, turn, plan, rng, width, folds) -> None:
