@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidepanel import schema as S
 from tidepanel.models.boosting import Boosting, subset_size
+from tidepanel.models.forest import Forest
 
 MAX_TREE_DEPTH = 30  # limit of Spark ML, stands for "no limit"
 TREE_BINS = 128
@@ -181,15 +182,21 @@ def decision_tree(
 def random_forest(
     n_estimators: int = 200, max_depth: int | None = 8, min_samples_split: int = 2, min_samples_leaf: int = 20,
     max_features="sqrt", bootstrap: bool = True, oob_score: bool = False, class_weight=None, seed: int = 42,
-) -> TreeModel:
-    """Impute 0, random forest."""
+) -> Forest:
+    """Impute 0, random forest; all folds and candidates train in the same passes."""
     if oob_score and not bootstrap:
         raise ValueError("an out-of-bag score needs bootstrap samples")
     if oob_score:
         raise ValueError("out-of-bag scores are not available; use temporal folds")
-    _positive(n_estimators=n_estimators)
-    _check_trees(max_depth, min_samples_split, min_samples_leaf)
-    return TreeModel(n_estimators, max_depth, min_samples_leaf, max_features, bootstrap, class_weight, seed)
+    _positive(n_estimators=n_estimators, min_samples_leaf=min_samples_leaf)
+    if max_depth is not None and not 0 < max_depth <= MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth must be None or lie in 1..{MAX_TREE_DEPTH}")
+    if min_samples_split < 2:
+        raise ValueError("min_samples_split must be at least 2")
+    return Forest(
+        n_estimators, MAX_TREE_DEPTH if max_depth is None else max_depth, min_samples_leaf, min_samples_split, max_features, bootstrap, class_weight,
+        TREE_BINS, seed,
+    )
 
 
 class _Ridge(Estimator):

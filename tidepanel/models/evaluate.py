@@ -15,6 +15,7 @@ from tidepanel import schema as S
 from tidepanel.functions.sizing import kept
 from tidepanel.models.boosting import BoostedModel, Boosting, fit_folds, score_folds
 from tidepanel.models.builders import FeatureModel
+from tidepanel.models.forest import VALID, Forest, score_forests
 from tidepanel.operators.baselines import fold_rates
 from tidepanel.operators.metrics import score_metrics
 from tidepanel.operators.time_axis import Fold, check_fold_list, fold_table, split_fold
@@ -58,7 +59,7 @@ def scored_folds(
 ) -> DataFrame:
     """Validation rows of all folds: (ROW_ID, fold, label, prediction, p1); ``fold`` counts from 1.
 
-    Boosted models train all folds in the same passes.  Other models are fitted
+    Boosted models and forests train all folds in the same passes.  Other models are fitted
     per fold on rows filtered by date from one kept table, a few folds at a time;
     each gets a fresh copy of the model, so nothing leaks between folds.
     """
@@ -69,6 +70,10 @@ def scored_folds(
         return score_folds(rows, models).select(
             S.ROW_ID, "fold", F.col("y").cast("int").alias(label), S.PREDICTION, S.PROBABILITY
         )
+    if isinstance(model, Forest):
+        scored = score_forests(fold_bits(df, folds), features, label, len(folds), [model])
+        valid = scored.where(F.col("side").bitwiseAND(VALID) != 0)
+        return valid.select(S.ROW_ID, "fold", F.col("y").cast("int").alias(label), S.PREDICTION, S.PROBABILITY)
     columns = list(dict.fromkeys([S.ROW_ID, S.TS, label, *features]))
     rows = df.select(*columns) if df.is_cached else kept(df.select(*columns))
 
@@ -119,16 +124,6 @@ def importances(models: Sequence[BoostedModel], spark) -> DataFrame:
     return spark.createDataFrame(rows, "fold int, feature string, gain double")
 
 
-def ml_importances(fitted: Sequence, features: Sequence[str], spark) -> DataFrame:
-    """The same for fitted Spark ML tree pipelines (normalised gain)."""
-    rows = [
-        (i, name, float(value))
-        for i, model in enumerate(fitted, start=1)
-        for name, value in zip(features, model.stages[-1].featureImportances.toArray())
-    ]
-    return spark.createDataFrame(rows, "fold int, feature string, gain double")
-
-
 def top_features(table: DataFrame, n: int = 20) -> DataFrame:
     """Features with the highest mean gain over the folds, ties by name."""
     return (

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidepanel import schema as S
 from tidepanel.functions.sizing import kept
-from tidepanel.models.evaluate import bind, evaluate_model, with_probability
+from tidepanel.models.evaluate import bind, evaluate_model, fold_bits, with_probability
+from tidepanel.models.forest import TRAIN, VALID, Forest, score_forests
 from tidepanel.operators.metrics import rule_metrics, score_metrics
 from tidepanel.operators.time_axis import Fold, split_fold, tuning_rows, tuning_split
 
@@ -34,8 +35,11 @@ def grid_scores(
     """One row per (candidate, fold) with train accuracy and validation metrics.
 
     Every fit sees only rows before its validation block.  All candidates read
-    one kept table; ``parallelism`` fits run at a time.
+    one kept table; forests train together, of other models ``parallelism`` fits run at a time.
     """
+    built = [build(**s) for s in candidates(grid)]
+    if all(isinstance(model, Forest) for model in built):
+        return _forest_scores(df, folds, built, features, label)
     columns = list(dict.fromkeys([S.ROW_ID, S.TS, label, *features]))
     rows = df.select(*columns) if df.is_cached else kept(df.select(*columns))
     tasks = [(c, f, s) for c, s in enumerate(candidates(grid)) for f in folds]
@@ -63,6 +67,21 @@ def grid_scores(
     )
 
 
+def _forest_scores(df: DataFrame, folds: Sequence[Fold], plans: Sequence[Forest], features: Sequence[str], label: str) -> DataFrame:
+    """``grid_scores`` of forests: every candidate, fold and tree in the same jobs; fit_time is the tasks' time."""
+    scored = kept(score_forests(fold_bits(df, folds), features, label, len(folds), plans).withColumnRenamed("plan", "candidate"))
+    keys = ["candidate", "fold"]
+    hit = F.when(F.col(S.PREDICTION) == F.col("y"), 1.0).otherwise(0.0)
+    trained = F.col("side").bitwiseAND(TRAIN) != 0
+    table = scored.groupBy(*keys).agg(F.avg(F.when(trained, hit)).alias("train_accuracy"), F.sum("seconds").alias("fit_time"))
+    valid = scored.where(F.col("side").bitwiseAND(VALID) != 0).withColumn(label, F.col("y").cast("int"))
+    table = table.join(score_metrics(valid, keys, label).withColumnRenamed("accuracy", "test_accuracy"), keys)
+    numbers = F.lit([f.fold for f in folds])
+    return table.select(
+        "candidate", F.element_at(numbers, F.col("fold")).alias("fold"), "train_accuracy", "test_accuracy", "roc_auc", "log_loss", "fit_time"
+    )
+
+
 def grid_table(scores: DataFrame, grid: Mapping[str, Sequence]) -> DataFrame:
     """Mean scores per candidate with rank 1 = best accuracy (ties share), best first.
 

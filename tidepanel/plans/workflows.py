@@ -13,6 +13,7 @@ from tidepanel.functions.rules import class_of
 from tidepanel.functions.sizing import kept
 from tidepanel.models import builders, evaluate
 from tidepanel.models.boosting import Boosting, fit_folds, score_folds
+from tidepanel.models.forest import VALID, Forest, score_forests
 from tidepanel.models.tuning import FOREST_GRID, tune_and_check
 from tidepanel.operators import audit, baselines, compare, metrics, profile, quality
 from tidepanel.operators import time_axis as axis
@@ -35,6 +36,13 @@ def fit_and_score(
         marked = train.withColumns({"train": F.lit(1), "valid": F.lit(0)})
         models, _ = fit_folds(marked, features, label, 1, model)
         return models[0].transform(test)
+    if isinstance(model, Forest):
+        columns = [S.ROW_ID, *features]
+        sides = train.select(*columns, label, F.lit(1).alias("train"), F.lit(0).alias("valid")).unionByName(
+            test.select(*columns, F.lit(0).cast(train.schema[label].dataType).alias(label), F.lit(0).alias("train"), F.lit(1).alias("valid"))
+        )
+        scored = score_forests(sides, features, label, 1, [model]).where(F.col("side") == VALID)
+        return test.join(scored.select(S.ROW_ID, S.PROBABILITY, S.PREDICTION), S.ROW_ID)
     fitted = evaluate.bind(model, features, label).fit(train)
     scored = fitted.transform(test)
     return evaluate.with_probability(scored) if "probability" in scored.columns else scored
