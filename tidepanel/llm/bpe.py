@@ -12,7 +12,7 @@ The vocabulary file is a parameter; workers open it from the path the library
 package gives, and nothing of it is kept in the repository.
 
 Defined results: NULL or empty text: no ids, both digests those of the empty
-string.  Added tokens written out in a text become their id, as the library
+string.  An empty table gives an empty result.  Added tokens written out in a text become their id, as the library
 does by default.  Very long texts and words are encoded whole.  Repeated rows
 give repeated results; other columns of the input are carried only when named.
 """
@@ -24,14 +24,18 @@ import json
 import re
 import struct
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_UNITS = 1_000_000
+from tidepanel.llm.common import of_stage
+
+RUN = 1_000_000  # characters that are cut into units at a time
+CACHE_BYTES = 96 << 20  # of cached units, by their own estimate
+MOST_PAIRS = 2_000_000  # known pairs are forgotten beyond these
+SCALAR = 48  # words of more characters are merged one by one
 _ID = struct.Struct("<I")
 _AMBIGUOUS = re.compile(r" (?:\s|\Z)")
 _SINGLE = re.compile(r" (?=\S)")
@@ -39,6 +43,8 @@ _SINGLE = re.compile(r" (?=\S)")
 # on these the pre-tokenizer's words are plain runs.
 _PLAIN = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|\n")
 _RARE = re.compile(r"\n\n|\n\Z|<\|")
+_ONE = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+)").fullmatch
+_NONE = 1 << 30
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -71,14 +77,16 @@ class SpeculativeBpe:
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocab))
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self._added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         pre = spec["pre_tokenizer"]
         self.words_of = pre_tokenizers.ByteLevel(add_prefix_space=pre["add_prefix_space"], use_regex=pre["use_regex"]).pre_tokenize_str
         self.pieces = {i: t for t, i in self.vocab.items()}
         self.shown = _byte_characters()
-        byte_of = {c: b for b, c in self.shown.items()}
+        self.spelling = {b: c for b, c in self.shown.items() if b}  # the byte 0 parts words
+        self.byte_of = byte_of = {c: b for b, c in self.shown.items()}
+        self.byte_at = np.full(512, 256)
+        self.byte_at[[ord(c) for c in byte_of]] = list(byte_of.values())
         size = max([*self.pieces, *self.added.values()]) + 1
         self.bytes_of: list[bytes] = [b""] * size
         for t, i in self.vocab.items():
@@ -87,7 +95,20 @@ class SpeculativeBpe:
             self.bytes_of[i] = t.encode()
         self.size = size
         self.decimal = [str(i) for i in range(size)]
+        # Merges as arrays: pair codes in order, their ranks, and the id that each rank makes.
+        made = np.array([[self.vocab[x], self.vocab[y], self.vocab[x + y]] for x, y in pairs], np.int64).reshape(-1, 3)
+        codes = made[:, 0] * size + made[:, 1]
+        order = np.argsort(codes, kind="stable")
+        last = np.append(codes[order][1:] != codes[order][:-1], True) if len(codes) else np.empty(0, bool)
+        self.merge_codes, self.merge_ranks, self.merge_ids = np.append(codes[order][last], -1), np.append(order[last], _NONE), made[:, 2]
+        self.letter = np.zeros(512, np.int64)
+        for c, b in byte_of.items():
+            self.letter[ord(c)] = self.vocab.get(c, 0)
+        self._plant()
+        # Two generations of units: when the younger is full it becomes the older, and what is met again moves back.
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         # Pair codes known so far, sorted, and whether the two tokens stay apart.
         self.codes, self.apart = np.empty(0, np.int64), np.empty(0, bool)
         self.proposed = self.merged = 0
@@ -110,19 +131,104 @@ class SpeculativeBpe:
                 ranks[i] = rank((parts[i], parts[i + 1]), none)
         return tuple([vocab[p] for p in parts])
 
-    def propose(self, word: str) -> tuple[int, ...]:
-        """Greedy longest match from the left."""
-        found = self.vocab.get(word)
-        if found is not None:
-            return (found,)
-        out, at, n, vocab, longest = [], 0, len(word), self.vocab, self.longest
-        while at < n:
-            end = min(n, at + longest)
-            while (found := vocab.get(word[at:end])) is None:
-                end -= 1
-            out.append(found)
-            at = end
-        return tuple(out)
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        codes = left * self.size + right
+        at = np.searchsorted(self.merge_codes[:-1], codes)
+        return np.where((self.merge_codes[at] == codes) & (right >= 0), self.merge_ranks[at], _NONE)
+
+    def exact_many(self, words: Sequence[str]) -> list[bytes]:
+        """``exact`` for many words, as bytes: one merge per word and step, all words of a length together."""
+        found: list = [None] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        edges = np.flatnonzero(np.diff(lengths[order], prepend=-1))
+        for begin, end in zip(edges.tolist(), [*edges[1:].tolist(), len(words)]):
+            length = int(lengths[order[begin]])
+            for at in range(begin, end, 32_768):
+                some = order[at : min(end, at + 32_768)].tolist()
+                if length > SCALAR:
+                    for i in some:
+                        found[i] = np.array(self.exact(words[i]), "<u4").tobytes()
+                    continue
+                ids = self.letter[np.frombuffer("".join([words[i] for i in some]).encode("utf-32-le"), np.uint32)].reshape(len(some), length)
+                flat, sizes = self._merged(ids)
+                ends = (np.cumsum(sizes) * 4).tolist()
+                for i, a, b in zip(some, [0, *ends], ends):
+                    found[i] = flat[a:b]
+        return found
+
+    def _merged(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(ids of all rows, ids per row) after merging; a row holds the letters of one word."""
+        n, length = ids.shape
+        ids = np.concatenate([ids, np.full((n, 1), -1)], axis=1)
+        ranks = np.concatenate([self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, length), np.full((n, 1), _NONE)], axis=1)
+        sizes, active, columns = np.full(n, length), np.arange(n), np.arange(length + 1)
+        while len(active):
+            best = ranks[active].argmin(axis=1)
+            low = ranks[active, best]
+            go = low < _NONE
+            active, best, low = active[go], best[go], low[go]
+            if not len(active):
+                break
+            # Everything behind the merged pair moves one place to the left.
+            source = np.minimum(columns + (columns > best[:, None]), length)
+            mine = np.take_along_axis(ids[active], source, axis=1)
+            theirs = np.take_along_axis(ranks[active], np.minimum(columns + (columns >= best[:, None]), length), axis=1)
+            rows = np.arange(len(active))
+            mine[rows, best] = self.merge_ids[low]
+            theirs[rows, best] = self._ranks(mine[rows, best], mine[rows, np.minimum(best + 1, length)])
+            inner = np.flatnonzero(best > 0)
+            theirs[inner, best[inner] - 1] = self._ranks(mine[inner, best[inner] - 1], mine[inner, best[inner]])
+            ids[active], ranks[active] = mine, theirs
+            sizes[active] -= 1
+        return ids[ids >= 0].astype("<u4").tobytes(), sizes
+
+    def _plant(self) -> None:
+        """The tokens as a prefix tree in arrays: steps (node * 256 + byte) in order, where they lead, and the token of a node or -1."""
+        steps, token = {}, [-1]
+        for piece, number in self.vocab.items():
+            at = 0
+            for c in piece:
+                key = at * 256 + self.byte_of[c]
+                at = steps.get(key)
+                if at is None:
+                    at = steps[key] = len(token)
+                    token.append(-1)
+            token[at] = number
+        keys = np.fromiter(steps, np.int64, len(steps))
+        order = np.argsort(keys)
+        self.steps, self.leads, self.token_at = np.append(keys[order], -1), np.append(np.fromiter(steps.values(), np.int64, len(steps))[order], 0), np.array(token)
+
+    def propose(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids of all words in order, ids per word) by greedy longest match, all words moving on by a byte per step."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        text = self.byte_at[np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32)]  # a byte per character, 256 after each word
+        start = np.cumsum(lengths + 1) - lengths - 1
+        at, word, node = start.copy(), np.arange(len(words)), np.zeros(len(words), np.int64)
+        best, until = np.full(len(words), -1), start.copy()
+        ids, owners = [], []
+        while len(word):
+            byte = text[at]
+            key = node * 256 + byte
+            place = np.searchsorted(self.steps[:-1], key)
+            goes = (self.steps[place] == key) & (byte < 256)
+            on, stop = np.flatnonzero(goes), np.flatnonzero(~goes)
+            node[on] = self.leads[place[on]]
+            at[on] += 1
+            hit = on[self.token_at[node[on]] >= 0]
+            best[hit], until[hit] = self.token_at[node[hit]], at[hit]
+            ids.append(best[stop])
+            owners.append(word[stop])
+            node[stop], at[stop] = 0, until[stop]
+            best[stop] = -1
+            ended = np.zeros(len(word), bool)
+            ended[stop] = text[at[stop]] == 256
+            if ended.any():
+                keep = ~ended
+                at, word, node, best, until = at[keep], word[keep], node[keep], best[keep], until[keep]
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(ids)[order], np.bincount(owner, minlength=len(words))
 
     def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For each pair of neighbours: does their joint text encode to just these two?
@@ -134,25 +240,28 @@ class SpeculativeBpe:
         at = np.searchsorted(self.codes, codes)
         known = at < len(self.codes)
         known[known] = self.codes[at[known]] == codes[known]
+        if not known.all() and len(self.codes) > MOST_PAIRS:
+            self.codes, self.apart, known = np.empty(0, np.int64), np.empty(0, bool), np.zeros(len(codes), bool)
         if not known.all():
             new = np.unique(codes[~known])
-            verdict = np.array([self._apart(*divmod(int(c), self.size + 1)) for c in new], bool)
+            verdict = self._apart(*np.divmod(new, self.size + 1))
             merged = np.concatenate([self.codes, new])
             order = np.argsort(merged, kind="stable")
             self.codes, self.apart = merged[order], np.concatenate([self.apart, verdict])[order]
             at = np.searchsorted(self.codes, codes)
         return self.apart[at]
 
-    def _apart(self, left: int, right: int) -> bool:
-        if right == self.size:
-            return self.exact(self.pieces[left]) == (left,)
-        return self.exact(self.pieces[left] + self.pieces[right]) == (left, right)
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pieces, alone = self.pieces, self.size
+        pairs = [(x,) if y == alone else (x, y) for x, y in zip(left.tolist(), right.tolist())]
+        joint = self.exact_many(["".join([pieces[i] for i in pair]) for pair in pairs])
+        return np.array([mine == struct.pack(f"<{len(pair)}I", *pair) for pair, mine in zip(pairs, joint)], bool)
 
     def encode_words(self, words: Sequence[str]) -> list[bytes]:
         """Encodings of whole pre-tokenizer words."""
-        proposals = [self.propose(w) for w in words]
-        lengths = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(lengths.sum()))
+        if not words:
+            return []
+        flat, lengths = self.propose(words)
         owner = np.repeat(np.arange(len(words)), lengths)
         right = np.append(flat[1:], self.size)
         inner = np.append(owner[1:] == owner[:-1], False)
@@ -163,15 +272,12 @@ class SpeculativeBpe:
         self.merged += len(failing)
         raw, ends = flat.astype("<u4").tobytes(), np.cumsum(lengths) * 4
         found = [raw[a:b] for a, b in zip((ends - lengths * 4).tolist(), ends.tolist())]
-        for i in failing.tolist():
-            mine = self.exact(words[i])
-            found[i] = struct.pack(f"<{len(mine)}I", *mine)
+        for i, mine in zip(failing.tolist(), self.exact_many([words[i] for i in failing.tolist()])):
+            found[i] = mine
         return found
 
     def words_in(self, unit: str) -> list:
         """Words of a unit in the vocabulary's byte alphabet; added tokens as their ids."""
-        if (plain := plain_words(unit)) is not None:
-            return [w.encode().decode("latin-1").translate(self.shown) for w in plain]
         if self._added and self._added.search(unit):
             found = []
             for k, piece in enumerate(self._added.split(unit)):
@@ -179,23 +285,47 @@ class SpeculativeBpe:
             return found
         return [w for w, _ in self.words_of(unit)]
 
+    def spelled(self, plain: list[str]) -> list[str]:
+        """Plain words in the vocabulary's byte alphabet, all in one go."""
+        return "\0".join(plain).encode().decode("latin-1").translate(self.spelling).split("\0") if plain else []
+
     def learn(self, fresh: Iterable[str]) -> None:
         """Encode units that are not in the cache yet; ids are kept as little-endian 32-bit bytes."""
-        parts = [(u, self.words_in(u)) for u in fresh]
-        new = list({w for _, mine in parts for w in mine if w.__class__ is str})
-        words = dict(zip(new, self.encode_words(new)))
-        known = self.units
-        for u, mine in parts:
-            if len(mine) == 1 and mine[0].__class__ is str:
-                known[u] = words[mine[0]]
+        single, several, plain = [], [], []
+        for u in fresh:
+            if _ONE(u):
+                single.append(u)
+            elif (mine := plain_words(u)) is not None:
+                several.append((u, len(mine)))
+                plain += mine
             else:
-                known[u] = b"".join([_ID.pack(w) if w.__class__ is int else words[w] for w in mine])
+                several.append((u, self.words_in(u)))
+        spelled_single, spelled = self.spelled(single), self.spelled(plain)
+        new = set(spelled_single).union(spelled)
+        for _, mine in several:
+            if mine.__class__ is list:
+                new.update([w for w in mine if w.__class__ is str])
+        new = list(new)
+        words = dict(zip(new, self.encode_words(new)))
+        known, at = self.units, 0
+        known.update(zip(single, map(words.__getitem__, spelled_single)))
+        for u, mine in several:
+            if mine.__class__ is int:
+                mine, at = spelled[at : at + mine], at + mine
+            known[u] = b"".join([_ID.pack(w) if w.__class__ is int else words[w] for w in mine])
+            self.held += 4 * len(u)
+        self.held += 256 * len(single) + 256 * len(several)
 
     def prepare(self, cut: Sequence[list[str]]) -> None:
         """Make sure that all units are cached; the cache is emptied when it is full."""
-        if len(self.units) > CACHE_UNITS:
-            self.units = {}
+        if self.held > CACHE_BYTES // 2:
+            self.units, self.older, self.held = {}, self.units, 0
         fresh = set().union(*cut).difference(self.units)
+        if self.older:
+            again = fresh.intersection(self.older)
+            self.units.update(zip(again, map(self.older.__getitem__, again)))
+            self.held += 256 * len(again)
+            fresh -= again
         if fresh:
             self.learn(fresh)
 
@@ -213,14 +343,9 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-_ENCODERS: dict[str, SpeculativeBpe] = {}
-
-
 def encoder(path: str) -> SpeculativeBpe:
-    """One encoder per worker and vocabulary; its cache lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = SpeculativeBpe(path)
-    return _ENCODERS[path]
+    """One encoder per worker, vocabulary and stage."""
+    return of_stage(("speculative", path), lambda: SpeculativeBpe(path))
 
 
 def slices(texts: pa.ChunkedArray | pa.Array, budget: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -242,7 +367,7 @@ def _digest_batches(path: str):
         bpe = encoder(path)
         for batch in source:
             n, ids_hex, text_hex = [], [], []
-            for _, run in slices(batch.column(1)):
+            for _, run in slices(batch.column(1), RUN):
                 cut = [units(t) for t in run]
                 bpe.prepare(cut)
                 for mine in cut:
@@ -271,7 +396,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def batches(source):
         bpe = encoder(path)
         for batch in source:
-            for first, run in slices(batch.column(1)):
+            for first, run in slices(batch.column(1), RUN):
                 cut = [units(t) for t in run]
                 bpe.prepare(cut)
                 ids = pa.array([bpe.encode(mine) for mine in cut], pa.list_(pa.int32()))

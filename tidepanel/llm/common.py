@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +45,18 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_HELD: dict = {}
+
+
+def of_stage(key, make):
+    """``make()``, kept in this worker for the other tasks of the stage; what an earlier stage kept is dropped first."""
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if _HELD.get("stage") != stage:
+        _HELD.clear()
+        _HELD["stage"] = stage
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
