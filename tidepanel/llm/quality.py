@@ -14,8 +14,9 @@ every document is scored, in batches, without a shuffle.
 Defined results: NULL or empty text: scored from its structure (all counts zero).
 NULL ``doc_id``: scored; its remainder is that of the empty string.  No labels at
 all, or one class only: the constant score of the prior.  Rows repeated in the documents are
-scored one by one; rows repeated in the labels count as often in learning.
-NULL labels are skipped.
+scored one by one, and learning takes one of those with the same id; rows repeated in the labels count as often in learning.
+NULL labels are skipped.  Very long texts are read whole, as a run of their own.  An empty table of documents gives an empty
+result.  Other columns are not read by ``classify``, whatever their names; ``accepted`` hands them through.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import slices
+from tidepanel.llm.common import of_stage
 
 SAMPLE = 8192
 BUCKETS = 1 << 13
 FACTORS = 8
 EPOCHS = 6
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
+RUN = 500_000  # characters that are scored at a time
 STATS = (
     "upper", "digit", "symbol", "space", "line_feed", "high_byte", "sentence_end", "word_length", "distinct_words",
     "distinct_lines", "log_words", "longest_word", "log_declared", "empty",
@@ -53,9 +56,6 @@ class _Buckets(dict):
         return bucket
 
 
-_BUCKETS = _Buckets()
-
-
 def _byte_classes() -> np.ndarray:
     kinds = np.zeros((256, 7))
     for b in range(256):
@@ -74,7 +74,7 @@ def inputs(text: str, declared: int | None) -> tuple[np.ndarray, np.ndarray, np.
     words = text.lower().split()
     lines = text.split("\n")
     if words:
-        ids, counts = np.unique(np.fromiter(map(_BUCKETS.__getitem__, words), np.int32, len(words)), return_counts=True)
+        ids, counts = np.unique(np.fromiter(map(of_stage("buckets", _Buckets).__getitem__, words), np.int32, len(words)), return_counts=True)
         weights = np.log1p(counts)
         weights /= np.sqrt((weights**2).sum())
     else:
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisati
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for first, run in slices(batch.column("text")):
+            for first, run in slices(batch.column("text"), RUN):
                 part = batch.slice(first, len(run))
                 found = [inputs(t, d) for t, d in zip(run, part.column("n_chars").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
@@ -188,8 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisati
                     names=["label_id", "quality", "ids", "weights", "stats"],
                 )
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), _declared(docs))
-    rows = texts.join(F.broadcast(picked), texts["doc_id"] == F.col("label_id")).select("label_id", F.col("quality").cast("int").alias("quality"), "text", "n_chars")
+    texts = docs.select(F.col("doc_id").alias("sampled_id"), F.col("text").cast("string").alias("text"), _declared(docs))
+    ids = picked.select("label_id").distinct()
+    # One row per sampled id, however often the id repeats: the text with the smallest hash.
+    texts = texts.join(F.broadcast(ids), F.col("sampled_id") == F.col("label_id"), "left_semi")
+    texts = texts.groupBy("sampled_id").agg(F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), F.xxhash64("n_chars"))).alias("row"))
+    rows = texts.join(F.broadcast(picked), F.col("sampled_id") == F.col("label_id"))
+    rows = rows.select("label_id", F.col("quality").cast("int").alias("quality"), "row.text", "row.n_chars")
     sampled = rows.mapInArrow(batches, "label_id bigint, quality int, ids array<int>, weights array<double>, stats array<double>").toArrow()
     order = np.lexsort([np.array(sampled.column("quality")), np.array(sampled.column("label_id"))]) if sampled.num_rows else np.empty(0, int)
     sampled = sampled.take(pa.array(order))
@@ -202,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisati
 
 def _scores(machine: FactorisationMachine, texts: pa.Array, declared: pa.Array) -> np.ndarray:
     found = [np.empty(0)]
-    for first, run in slices(texts, 2_000_000):
+    for first, run in slices(texts, RUN):
         sizes = declared.slice(first, len(run)).to_pylist()
         found.append(machine.score([inputs(t, d) for t, d in zip(run, sizes)]))
     return np.concatenate(found)
