@@ -214,6 +214,18 @@ class BoostedModel:
                     total[self.features[tree.feature[node]]] += tree.gain[node]
         return total
 
+    def nodes(self) -> list[tuple]:
+        """(tree, node, feature, cut, left, right, value, gain) of all nodes; leaves have neither feature, cut nor gain."""
+        found = []
+        for number, tree in enumerate(self.trees, start=1):
+            for node, left in enumerate(tree.left):
+                feature = tree.feature[node]
+                if left >= 0:
+                    found.append((number, node, self.features[feature], float(self.edges[feature][tree.cut[node]]), left, tree.right[node], None, tree.gain[node]))
+                else:
+                    found.append((number, node, None, None, None, None, float(tree.value[node]), None))
+        return found
+
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return _probability(self.loss, margin, _vote_weight(self.trees))
 
@@ -245,19 +257,21 @@ def _probability(loss: str, margin: np.ndarray, votes: float) -> np.ndarray:
     return sigmoid(margin)
 
 
-def fit_folds(df: DataFrame, features: Sequence[str], label: str, folds: int, plan: Boosting):
+def fit_folds(df: DataFrame, features: Sequence[str], label: str, folds: int, plan: Boosting, edges: list[list[np.ndarray]] | None = None):
     """(models, binned rows) of ``folds`` ensembles trained in the same passes.
 
     Bit f of column ``train`` puts a row into the training set of fold f.  Every
-    fold has cut points of its own, from its own training rows.
+    fold has cut points of its own, from its own training rows, unless ``edges`` gives them (per fold and feature, ascending).
     """
     if not 1 <= folds <= MAX_FOLDS:
         raise ValueError(f"between 1 and {MAX_FOLDS} folds can be trained together")
     S.require_columns(df, [S.ROW_ID, label, "train", "valid", *features], "boosting")
     features = list(features)
-    edges = feature_edges(df, features, plan.bins, folds)
+    edges = edges or feature_edges(df, features, plan.bins, folds)
     if not edges:
         raise ValueError("no training rows")
+    if any(len(cuts) >= plan.bins for own in edges for cuts in own):
+        raise ValueError(f"more cut points than {plan.bins} bins allow")
     rows = binned_rows(df, features, label, edges).persist(StorageLevel.MEMORY_AND_DISK)
     members = [_Member(f, p) for f, p in enumerate(_priors(rows, folds, plan))]
     rng = np.random.default_rng(plan.seed)

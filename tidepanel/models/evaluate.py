@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tidepanel import schema as S
 from tidepanel.functions.sizing import kept
 from tidepanel.models.boosting import BoostedModel, Boosting, fit_folds, score_folds
-from tidepanel.models.builders import FeatureModel
+from tidepanel.models.builders import FeatureModel, LogisticModel
 from tidepanel.models.forest import VALID, Forest, score_forests
+from tidepanel.models.linear import fit_logits, packed_rows, score_logits
 from tidepanel.operators.baselines import fold_rates
 from tidepanel.operators.metrics import score_metrics
 from tidepanel.operators.time_axis import Fold, check_fold_list, fold_table, split_fold
@@ -59,7 +60,7 @@ def scored_folds(
 ) -> DataFrame:
     """Validation rows of all folds: (ROW_ID, fold, label, prediction, p1); ``fold`` counts from 1.
 
-    Boosted models and forests train all folds in the same passes.  Other models are fitted
+    Boosted models, forests and logistic regressions train all folds in the same passes.  Other models are fitted
     per fold on rows filtered by date from one kept table, a few folds at a time;
     each gets a fresh copy of the model, so nothing leaks between folds.
     """
@@ -74,6 +75,8 @@ def scored_folds(
         scored = score_forests(fold_bits(df, folds), features, label, len(folds), [model])
         valid = scored.where(F.col("side").bitwiseAND(VALID) != 0)
         return valid.select(S.ROW_ID, "fold", F.col("y").cast("int").alias(label), S.PREDICTION, S.PROBABILITY)
+    if isinstance(model, LogisticModel):
+        return logistic_sets(df, folds, model, [features], label).drop("set")
     columns = list(dict.fromkeys([S.ROW_ID, S.TS, label, *features]))
     rows = df.select(*columns) if df.is_cached else kept(df.select(*columns))
 
@@ -93,6 +96,15 @@ def scored_folds(
     return everything
 
 
+def logistic_sets(df: DataFrame, folds: Sequence[Fold], model: LogisticModel, sets: Sequence[Sequence[str]], label: str = S.LABEL) -> DataFrame:
+    """Validation rows of all folds under every feature set: (set, ROW_ID, fold, label, prediction, p1); sets count from 0."""
+    columns = list(dict.fromkeys(c for names in sets for c in names))
+    rows = packed_rows(fold_bits(df, folds), columns, label)
+    problems = fit_logits(rows, len(columns), len(folds), [[columns.index(c) for c in names] for names in sets], model.C, model.max_iter)
+    scored = score_logits(rows, len(columns), problems)
+    return scored.select("set", S.ROW_ID, "fold", F.col("y").cast("int").alias(label), S.PREDICTION, S.PROBABILITY)
+
+
 def evaluate_model(
     df: DataFrame, folds: Sequence[Fold], model, features: Sequence[str], label: str = S.LABEL, parallelism: int = 4
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +13,8 @@ from tidepanel import schema as S
 from tidepanel.functions import features as X
 from tidepanel.functions.rules import class_of, rule_score, with_rule
 from tidepanel.functions.sizing import kept
-from tidepanel.models import builders, evaluate
+from tidepanel.models import builders, evaluate, linear
+from tidepanel.models.boosting import fit_folds
 from tidepanel.models.tuning import FOREST_GRID, grid_scores, grid_table, tune_and_check
 from tidepanel.operators import audit, baselines, compare, metrics, profile, quality
 from tidepanel.operators import time_axis as axis
@@ -537,6 +539,10 @@ def sql_queries() -> dict[str, Query]:
         "fold_checks_faulty": q_fold_checks_faulty,
         "submission_checks_faulty": q_submission_checks_faulty,
         "infinity_counts_faulty": q_infinity_counts_faulty,
+        "fold_moments": q_fold_moments,
+        "ridge_folds": q_ridge_folds,
+        "logit_folds": q_logit_folds,
+        "boost_stumps": q_boost_stumps,
     }
     for name in baselines.baseline_names():
         found[f"baseline_{name}"] = _baseline(name)
@@ -582,6 +588,61 @@ def q_importances(spark, root):
     return settled(evaluate.top_features(gains), 4)
 
 
+# ---- learned models on few inputs, which SQL can fit as well -----------------
+# Inputs, cut points and rounds of these checks.
+SMALL_INPUTS, SMALL_CUTS, SMALL_ROUNDS = ("RET_1", "RET_2", "RET_3"), (-0.4, -0.1, 0.0, 0.1, 0.4), 3
+STUMPS = {
+    "adaboost": (builders.adaboost(SMALL_ROUNDS), S.LABEL),
+    "level_wise": (builders.level_wise_boosting(SMALL_ROUNDS, max_depth=1, subsample=1.0, colsample_bytree=1.0), S.LABEL),
+    "regression": (builders.boosted_regression(SMALL_ROUNDS, max_depth=1), S.TARGET),
+}
+
+
+def _fold_rows(spark, root, inputs, label):
+    """(rows packed for linear models, number of folds) of the expanding folds."""
+    df = kept_train(spark, root, S.ROW_ID, S.TS, S.LABEL, S.TARGET, *inputs)
+    folds = axis.expanding_folds(df)
+    return linear.packed_rows(evaluate.fold_bits(df, folds), inputs, label), len(folds)
+
+
+def q_fold_moments(spark, root):
+    names = [*SMALL_INPUTS, S.TARGET]
+    rows, folds = _fold_rows(spark, root, SMALL_INPUTS, S.TARGET)
+    table = [
+        (f, m.n, a, b, float(m.mean[i]), float(m.second[i, j] / m.n))
+        for f, m in enumerate(linear.fold_moments(rows, len(SMALL_INPUTS), folds), start=1)
+        for i, a in enumerate(names) for j, b in enumerate(names) if j >= i
+    ]
+    return settled(spark.createDataFrame(table, "fold int, n long, a string, b string, mean_a double, covariance double"), 8)
+
+
+def q_ridge_folds(spark, root):
+    rows, folds = _fold_rows(spark, root, SMALL_INPUTS[:2], S.TARGET)
+    fits = [linear.ridge_of(m, range(2), 1.0) for m in linear.fold_moments(rows, 2, folds)]
+    table = [(f, float(w[0]), float(w[1]), b) for f, (w, b) in enumerate(fits, start=1)]
+    return settled(spark.createDataFrame(table, "fold int, w1 double, w2 double, intercept double"), 8)
+
+
+def q_logit_folds(spark, root):
+    rows, folds = _fold_rows(spark, root, SMALL_INPUTS[:1], S.LABEL)
+    table = [(p.fold + 1, p.n, float(p.w[0]), float(p.w[1])) for p in linear.fit_logits(rows, 1, folds, [[0]])]
+    return settled(spark.createDataFrame(table, "fold int, n long, intercept double, slope double"))
+
+
+def q_boost_stumps(spark, root):
+    df = kept_train(spark, root, S.ROW_ID, S.LABEL, S.TARGET, *SMALL_INPUTS).withColumns({"train": F.lit(1), "valid": F.lit(0)})
+    table = []
+    for name, (plan, label) in STUMPS.items():
+        models, rows = fit_folds(df, SMALL_INPUTS, label, 1, plan, [[np.array(SMALL_CUTS)] * len(SMALL_INPUTS)])
+        nodes = models[0].nodes()
+        for number, node, feature, cut, left, right, _, gain in nodes:
+            if feature:
+                value = {n: v for t, n, *_, v, _ in nodes if t == number}
+                table.append((name, number, feature, cut, float(gain), value[left], value[right]))
+        rows.unpersist()
+    return settled(spark.createDataFrame(table, "model string, round int, feature string, cut double, gain double, left_value double, right_value double"))
+
+
 NUMERIC = [S.GROUP, S.TURNOVER, *S.RETURNS, *S.VOLUMES]
 SEARCH_TREES, FINAL_TREES = 50, 200
 

@@ -297,6 +297,87 @@ FROM a""",
     }
 
 
+# ---- models on few inputs, fitted by the statement itself ---------------------
+
+_X = [f"x{i}" for i in (1, 2, 3)]
+_INPUTS = ", ".join(f"coalesce({c}, CAST(0 AS DOUBLE)) AS {x}" for c, x in zip(R, _X))
+_CUTS = [-0.4, -0.1, 0.0, 0.1, 0.4]
+_NAMED = f"CASE j {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(R[:3]))} END"
+_PICKED = f"CASE j {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_X))} END"
+
+
+def _fold_moments() -> str:
+    columns = [*zip(R, _X), ("target", "y")]
+    parts = [
+        f"SELECT fold, count(*) AS n, '{a}' AS a, '{b}' AS b, {r(f'avg({p})', 8)} AS mean_a, {r(f'avg({p} * {q}) - avg({p}) * avg({q})', 8)} AS covariance FROM z GROUP BY fold"
+        for i, (a, p) in enumerate(columns) for b, q in columns[i:]
+    ]
+    return f"{AXIS}, z AS (SELECT fold, {_INPUTS}, target AS y FROM roles WHERE side = 'train') {' UNION ALL '.join(parts)}"
+
+
+def _ridge_folds() -> str:
+    moment = lambda p, q, plus="": f"sum({p} * {q}) - count(*) * avg({p}) * avg({q}){plus}"
+    return f"""{AXIS}, z AS (SELECT fold, {_INPUTS}, target AS y FROM roles WHERE side = 'train'),
+m AS (SELECT fold, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, {moment('x1', 'x1', ' + 1')} AS a, {moment('x1', 'x2')} AS b,
+  {moment('x2', 'x2', ' + 1')} AS c, {moment('x1', 'y')} AS p, {moment('x2', 'y')} AS q FROM z GROUP BY fold),
+w AS (SELECT *, (c * p - b * q) / (a * c - b * b) AS w1, (a * q - b * p) / (a * c - b * b) AS w2 FROM m)
+SELECT fold, {r('w1', 8)} AS w1, {r('w2', 8)} AS w2, {r('my - w1 * m1 - w2 * m2', 8)} AS intercept FROM w"""
+
+
+def _logit_folds(steps: int = 9) -> str:
+    """Newton steps written out; the penalty takes part with weight 1 on the slope."""
+    chain = [
+        f"""s{i} AS (
+  SELECT fold, n, a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS a, b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b FROM (
+    SELECT fold, n, a, b, sum(p - y) AS g1, sum((p - y) * v) + b AS g2, sum(p * (1 - p)) AS h11, sum(p * (1 - p) * v) AS h12,
+      sum(p * (1 - p) * v * v) + 1 AS h22
+    FROM (SELECT z.fold, n, a, b, y, v, 1 / (1 + exp(-(a + b * v))) AS p FROM z JOIN s{i - 1} ON s{i - 1}.fold = z.fold) GROUP BY fold, n, a, b))"""
+        for i in range(1, steps + 1)
+    ]
+    return f"""{AXIS}, raw AS (SELECT fold, coalesce(RET_1, CAST(0 AS DOUBLE)) AS x, class AS y FROM roles WHERE side = 'train'),
+stats AS (SELECT fold, count(*) AS n, avg(x) AS m, stddev_pop(x) AS s, CAST(avg(y) AS DOUBLE) AS rate FROM raw GROUP BY fold),
+z AS (SELECT raw.fold, y, (x - m) / s AS v FROM raw JOIN stats ON stats.fold = raw.fold),
+s0 AS (SELECT fold, n, ln(rate / (1 - rate)) AS a, CAST(0 AS DOUBLE) AS b FROM stats),
+{', '.join(chain)}
+SELECT fold, n, {r('a')} AS intercept, {r('b')} AS slope FROM s{steps}"""
+
+
+def _stumps(model: str, label: str, start: str, g: str, h: str, score: str, fits: str, value: str, rounds: int = 3) -> tuple[str, str]:
+    """(CTEs, rows) of boosted stumps: histograms at the given cut points, best cut, leaf values, new margins, round by round."""
+    ctes = [f"{model}_m0 AS (SELECT ROW_ID, {_INPUTS}, CAST({label} AS DOUBLE) AS y, (SELECT {start} FROM train) AS m FROM train)"]
+    for i in range(1, rounds + 1):
+        ctes.append(f"""{model}_c{i} AS (
+  SELECT j, k, cut, sum(CASE WHEN x <= cut THEN g ELSE 0 END) AS gl, sum(CASE WHEN x <= cut THEN h ELSE 0 END) AS hl,
+    sum(CASE WHEN x <= cut THEN 1 ELSE 0 END) AS nl, sum(g) AS gt, sum(h) AS ht, count(*) AS nt
+  FROM (SELECT j, k, cut, {_PICKED} AS x, {g} AS g, {h} AS h FROM {model}_m{i - 1}, cuts) GROUP BY j, k, cut)""")
+        ctes.append(f"""{model}_b{i} AS (
+  SELECT *, {score.format(g='gl', h='hl')} + {score.format(g='(gt - gl)', h='(ht - hl)')} - {score.format(g='gt', h='ht')} AS gain
+  FROM {model}_c{i} WHERE {fits})""")
+        ctes.append(f"{model}_s{i} AS (SELECT *, {value.format(g='gl', h='hl')} AS lv, {value.format(g='(gt - gl)', h='(ht - hl)')} AS rv FROM {model}_b{i} ORDER BY gain DESC, j, k LIMIT 1)")
+        if i < rounds:
+            ctes.append(f"{model}_m{i} AS (SELECT ROW_ID, {', '.join(_X)}, y, m + CASE WHEN {_PICKED} <= cut THEN lv ELSE rv END AS m FROM {model}_m{i - 1}, {model}_s{i})")
+    rows = " UNION ALL ".join(
+        f"SELECT '{model}' AS model, {i} AS round, {_NAMED} AS feature, {r('cut')} AS cut, {r('gain')} AS gain, {r('lv')} AS left_value, {r('rv')} AS right_value FROM {model}_s{i}"
+        for i in range(1, rounds + 1)
+    )
+    return ", ".join(ctes), rows
+
+
+def _boost_stumps() -> str:
+    p = "(1 / (1 + exp(-m)))"
+    weight = "exp(-(2 * y - 1) * m / 2)"
+    wrong = "((least(gl, hl - gl) + least(gt - gl, ht - hl - gt + gl)) / ht)"
+    parts = [
+        _stumps("adaboost", "class", "max(CAST(0 AS DOUBLE))", f"{weight} * y", weight, "(({g} * {g} + ({h} - {g}) * ({h} - {g})) / {h})", "nl >= 1 AND nt - nl >= 1",
+                f"(CASE WHEN {{g}} > {{h}} - {{g}} THEN 0.1 ELSE -0.1 END * ln((1 - {wrong}) / {wrong}))"),
+        _stumps("level_wise", "class", "ln(avg(class) / (1 - avg(class)))", f"({p} - y)", f"({p} * (1 - {p}))", "({g} * {g} / ({h} + 1))",
+                "nl >= 1 AND nt - nl >= 1 AND hl >= 1 AND ht - hl >= 1", "(-0.05 * {g} / ({h} + 1))"),
+        _stumps("regression", "target", "avg(target)", "(m - y)", "CAST(1 AS DOUBLE)", "({g} * {g} / {h})", "nl >= 20 AND nt - nl >= 20", "(-0.01 * {g} / {h})"),
+    ]
+    cuts = " UNION ALL ".join(f"SELECT {j} AS j, {k} AS k, CAST({c} AS DOUBLE) AS cut" for j in range(3) for k, c in enumerate(_CUTS))
+    return f"{BASE}, cuts AS ({cuts}), {', '.join(c for c, _ in parts)} {' UNION ALL '.join(rows for _, rows in parts)}"
+
+
 def oracle_sql() -> dict[str, str]:
     panel = ["ROW_ID", "TS", "ALLOCATION", '"GROUP"', "date_idx", "n_dates"]
     doubles = [S.TURNOVER, *R, *V, "target"]
@@ -306,6 +387,10 @@ def oracle_sql() -> dict[str, str]:
     binary = f"SELECT ROW_ID, {RULES['reversal']} AS prediction FROM test"
     sql = {
         "panel": f"{BASE} SELECT {', '.join(panel)}, {', '.join(doubles)} FROM panel",
+        "fold_moments": _fold_moments(),
+        "ridge_folds": _ridge_folds(),
+        "logit_folds": _logit_folds(),
+        "boost_stumps": _boost_stumps(),
         "label_join": f"{BASE} SELECT ROW_ID, TS, ALLOCATION, RET_1, target, class FROM train",
         "feat_momentum": _select(MOMENTUM),
         "feat_volatility": _select(VOLATILITY),

@@ -139,6 +139,12 @@ def feature_study(
     columns = list(dict.fromkeys(c for names in sets.values() for c in names))
     rows = kept(X.with_engineered(df).select(S.ROW_ID, S.TS, S.LABEL, *columns))
     table = None
+    if isinstance(model, builders.LogisticModel):  # all sets in the same passes
+        scored = evaluate.logistic_sets(rows, folds, model, list(sets.values()))
+        result = metrics.score_metrics(scored, ["set", "fold"])
+        known = rows.sparkSession.createDataFrame([(i, name, len(names)) for i, (name, names) in enumerate(sets.items())], "set int, feature_set string, n_features int")
+        table = result.join(F.broadcast(known), "set").select("feature_set", "n_features", "fold", "accuracy", "roc_auc", "log_loss")
+        sets = {}
     for name, names in sets.items():
         result = evaluate.evaluate_model(rows, folds, model, names)
         result = result.select(F.lit(name).alias("feature_set"), F.lit(len(names)).alias("n_features"), "fold", "accuracy", "roc_auc", "log_loss")
