@@ -3,10 +3,11 @@
 One pass over the texts writes for each document its length and the counts of those terms that some item may ask for (a bitmap of
 fixed size tells; its few false answers go in the join with the asked terms).  Per term, document frequency and largest contribution follow.
 
-Terms are taken rarest first, in classes of document frequency.  After each class an item's k-th best partial score is compared
-with the sum of the largest contributions of its remaining terms: once they cannot reach it, no document without
-an accumulator can be among the best and the item opens no more.  Accumulators that still can are then completed exactly,
-from the documents' own term lists.  Nothing is estimated: a bound is only ever compared from the safe side.
+Terms are taken rarest first, in classes of document frequency.  After each class the k documents with the best partial scores
+are completed from their own term lists, and the lowest of the k results is compared
+with the sum of the largest contributions of the remaining terms: once these cannot reach it, no document without
+an accumulator can be among the best and the item opens no more.  Accumulators that still can are then completed exactly.
+Nothing is estimated: a bound is only ever compared from the safe side.
 
 Scores are 64-bit integers, divisions round down; equal scores are ordered by ``doc_id``, NULL last.
 
@@ -30,7 +31,7 @@ from tidepanel.llm.common import stored
 from tidepanel.llm.words import CODES, span_names
 
 BEST = 20
-CLASSES = 6
+CLASSES, STEP = 4, 8  # each class takes terms of STEP times the frequency
 BITS = 23
 PIECE = 1_000_000
 # Fixed value: what parts terms.
@@ -79,7 +80,7 @@ def count_terms(texts: pa.Array, asked: np.ndarray | None) -> tuple[np.ndarray,
     def close(run: list[tuple[int, bytes]]) -> None:
         bounds = np.cumsum([0, *[len(p) for _, p in run]])
         names, starts = term_names(b"".join(p for _, p in run))
-        rows = np.array([i for i, _ in run])[np.searchsorted(bounds, starts, "right") - 1]
+        rows = np.array([i for i, _ in run], np.int64)[np.searchsorted(bounds, starts, "right") - 1]
         np.add.at(total, rows, 1)
         if asked is not None:
             bit = names & ((1 << BITS) - 1)
@@ -128,16 +129,33 @@ def bitmap(lists: DataFrame) -> np.ndarray:
     return table
 
 
-def postings(lists: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
-    """uid, name, part: what the term gives in the document before its weight."""
-    rows = lists.select("uid", F.expr(f"75 + (25 * n * {n_docs}L) div {n_terms}L").alias("m"), F.explode(F.arrays_zip("names", "counts")).alias("t"))
-    return rows.select("uid", F.col("t.names").alias("name"), F.expr("(1000000000L * t.counts) div (1000L * t.counts + 12L * m)").alias("part"))
+# What a term gives in a document before its weight; integers throughout, divisions round down.
+_PART = "(1000000000L * {count}) div (1000L * {count} + 12L * m)"
 
 
-def _kth(scores: DataFrame, k: int) -> DataFrame:
-    """item, kth: the k-th best partial score of items that have k."""
-    order = Window.partitionBy("item").orderBy(F.col("score").desc())
-    return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") == k).select("item", F.col("score").alias("kth"))
+def postings(lists: DataFrame) -> DataFrame:
+    """uid, name, part for lists with the length factor ``m``."""
+    rows = lists.select("uid", "m", F.explode(F.arrays_zip("names", "counts")).alias("t"))
+    return rows.select("uid", F.col("t.names").alias("name"), F.expr(_PART.format(count="t.counts")).alias("part"))
+
+
+def _best(scores: DataFrame, k: int, *ties) -> DataFrame:
+    """The k best rows of each item, numbered by ``rank``."""
+    order = Window.partitionBy("item").orderBy(F.col("score").desc(), *ties)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _completed(started: DataFrame, lists: DataFrame, wanted: DataFrame) -> DataFrame:
+    """item, uid, score with the terms of all classes, for rows (item, uid, score, class) that hold the classes up to ``class``.
+
+    A row takes the item's terms to the document's list and looks them up there, so no list is spread out.
+    """
+    terms = wanted.groupBy("item").agg(F.collect_list(F.struct("name", "weight", "class")).alias("terms"))
+    held = lists.join(started.select("uid").distinct(), "uid", "left_semi").select("uid", "m", "names", "counts")
+    rows = started.join(terms, "item").select("item", "uid", "score", F.expr("filter(terms, t -> t.class > class)").alias("late")).join(held, "uid")
+    part = _PART.format(count="get(counts, cast(array_position(names, t.name) as int) - 1)")
+    rest = F.expr(f"aggregate(late, 0L, (a, t) -> a + coalesce(t.weight * ({part}), 0L))")
+    return rows.select("item", "uid", (F.col("score") + rest).alias("score"))
 
 
 def search(docs: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
@@ -146,13 +164,14 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
     asked = stored(term_lists(items, "item_id"), "items")
     lists = stored(term_lists(docs, "doc_id", bitmap(asked)), "term-lists")
     n_docs, n_terms = lists.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
-    lists_in = postings(lists, n_docs, max(1, n_terms))
+    lists = lists.withColumn("m", F.expr(f"75 + (25 * n * {n_docs}L) div {max(1, n_terms)}L"))
+    lists_in = postings(lists)
     frequency = lists_in.groupBy("name").agg(F.count("*").alias("df"), F.max("part").alias("most"))
     wanted = asked.select(F.col("uid").alias("item"), F.explode(F.arrays_zip("names", "counts")).alias("t")).select("item", "t.names", "t.counts")
     weight = F.floor(F.lit(1000) * F.log(F.lit(float(2 * n_docs + 2)) / (2 * F.col("df") + 1)))
     group = F.lit(CLASSES - 1)
-    for c in reversed(range(CLASSES - 1)):  # class c: up to n_docs / 4**(CLASSES - 1 - c) documents
-        group = F.when(F.col("df") * 4 ** (CLASSES - 1 - c) <= n_docs, F.lit(c)).otherwise(group)
+    for c in reversed(range(CLASSES - 1)):
+        group = F.when(F.col("df") * STEP ** (CLASSES - 1 - c) <= n_docs, F.lit(c)).otherwise(group)
     wanted = wanted.withColumnsRenamed({"names": "name", "counts": "times"}).join(frequency, "name")
     wanted = stored(wanted.select("item", "name", (F.col("times") * weight).alias("weight"), (F.col("times") * weight * F.col("most")).alias("bound"), group.alias("class")), "terms")
     ahead = F.sum("bound").over(Window.partitionBy("item").orderBy(F.col("class").desc()))
@@ -165,9 +184,11 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
         terms = wanted.where(F.col("class") == c).join(open_items, "item").select("item", "name", "weight")
         new = inverted.where(F.col("class") == c).join(terms, "name").select("item", "uid", (F.col("weight") * F.col("part")).alias("score"))
         scores = stored(scores.union(new).groupBy("item", "uid").agg(F.sum("score").alias("score")), "accumulators")
-        # What the classes after this one can still give, against the k-th partial score.
+        # What the classes after this one can still give, against the lowest of the best when they are complete.
         rest = rests.where(F.col("class") > c).groupBy("item").agg(F.max("rest").alias("rest"))
-        state = open_items.join(rest, "item", "left").join(_kth(scores, best), "item", "left")
+        leaders = stored(_best(scores, best, "uid").select("item", "uid", "score", F.lit(c).alias("class")), "leaders")
+        kth = _completed(leaders, lists, wanted).groupBy("item").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == best)
+        state = open_items.join(rest, "item", "left").join(kth, "item", "left")
         state = stored(state.select("item", F.coalesce("rest", F.lit(0)).alias("rest"), F.coalesce("kth", F.lit(0)).alias("kth")), "state")
         shut = state.where("rest = 0 OR rest < kth")
         finished.append(scores.join(shut, "item").where("score + rest >= kth").select("item", "uid", "score", F.lit(c).alias("class")))
@@ -179,16 +200,8 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
     for more in finished[1:]:
         alive = alive.union(more)
     alive = stored(alive, "survivors")
-    # Survivors are completed from the lists of their documents.
-    documents = alive.select("uid").distinct()
-    held = lists_in.join(documents, "uid", "left_semi")
-    late = wanted.select("item", "name", "weight", F.col("class").alias("of"))
-    rest = alive.join(held, "uid").join(late, ["item", "name"]).where(F.col("of") > F.col("class"))
-    rest = rest.select("item", "uid", (F.col("weight") * F.col("part")).alias("score"))
-    total = alive.select("item", "uid", "score").union(rest).groupBy("item", "uid").agg(F.sum("score").alias("score")).where("score > 0")
-    total = total.join(lists.select("uid", F.col("id").alias("doc_id")), "uid")
-    order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "uid")
-    top = total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+    total = _completed(alive, lists, wanted).where("score > 0").join(lists.select("uid", F.col("id").alias("doc_id")), "uid")
+    top = _best(total, best, F.col("doc_id").asc_nulls_last(), "uid")
     names = asked.select(F.col("uid").alias("item"), F.col("id").alias("item_id"))
     return top.join(names, "item").select("item_id", "rank", "doc_id", "score")
 
