@@ -140,3 +140,25 @@ def test_benchmark_study(spark):
     assert found["cv_scores"].count() == 3 and found["top_features"].count() == 20
     band = found["cv_band"].first()
     assert band["lower_pct"] <= band["mean_pct"] <= band["upper_pct"]
+
+
+def test_order_of_written_ids(spark, tmp_path):
+    from tidepanel.operators.quality import check_order, order_report
+    from tidepanel.sources.files import file_positions, write_predictions
+
+    ids = [(i * 7919) % 5000 for i in range(5000)]
+    template, out = str(tmp_path / "template.csv"), str(tmp_path / "out.csv")
+    spark.createDataFrame([(i,) for i in ids], "ROW_ID long").coalesce(3).write.option("header", True).csv(template)
+    found = {r["position"]: r["ROW_ID"] for r in file_positions(spark, template).collect()}
+    assert [found[p] for p in range(5000)] == ids
+    predicted = spark.range(5000).select(F.col("id").alias("ROW_ID"), F.lit(1).alias("prediction")).repartition(4)
+    write_predictions(predicted, out, like=template)
+    check_order(file_positions(spark, out), file_positions(spark, template))
+    moved = str(tmp_path / "moved")
+    spark.createDataFrame([(i,) for i in [ids[1], ids[0], *ids[2:4999]]], "ROW_ID long").coalesce(1).write.parquet(moved)
+    row = order_report(file_positions(spark, moved), file_positions(spark, template)).first()
+    assert tuple(row) == (4999, 5000, 3, False)
+    with pytest.raises(ValueError, match="order"):
+        check_order(file_positions(spark, moved), file_positions(spark, template))
+    with pytest.raises(Exception, match="ids that are not in"):
+        write_predictions(predicted.withColumn("ROW_ID", F.col("ROW_ID") + 1), out, like=template)

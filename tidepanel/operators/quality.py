@@ -85,6 +85,23 @@ def submission_report(submission: DataFrame, expected: DataFrame) -> DataFrame:
     return both.withColumn("ok", ok)
 
 
+def order_report(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: n_found, n_expected, n_out_of_place, same_order, from two tables (position, ROW_ID); rows meet by position."""
+    a = found.select("position", F.col(S.ROW_ID).alias("found_id"), F.lit(True).alias("is_found"))
+    b = expected.select("position", F.col(S.ROW_ID).alias("expected_id"), F.lit(True).alias("is_expected"))
+    both = a.join(b, "position", "full")
+    same = F.col("is_found") & F.col("is_expected") & F.col("found_id").eqNullSafe(F.col("expected_id"))
+    counts = both.agg(
+        F.count("is_found").alias("n_found"), F.count("is_expected").alias("n_expected"), F.count_if(~F.coalesce(same, F.lit(False))).alias("n_out_of_place")
+    )
+    return counts.withColumn("same_order", F.col("n_out_of_place") == 0)
+
+
+def check_order(found: DataFrame, expected: DataFrame) -> None:
+    """Both files list the same ids in the same order; else ValueError."""
+    _refuse(order_report(found, expected).first(), {"n_out_of_place": "ids are not in the expected order"})
+
+
 def _refuse(row, messages: dict[str, str]) -> None:
     for name, message in messages.items():
         if row[name]:

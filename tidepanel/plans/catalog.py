@@ -25,7 +25,7 @@ from tidepanel.plans import workflows
 from tidepanel.session import shared_folder
 from tidepanel.sources.brand_days import brand_day_panel, test_panel, train_panel
 from tidepanel.sources.files import (
-    KEY_TEMPLATE, TEST_FEATURES, TRAIN_FEATURES, TRAIN_LABELS, PanelFiles, read_table, write_predictions, write_sign_predictions,
+    KEY_TEMPLATE, TEST_FEATURES, TRAIN_FEATURES, TRAIN_LABELS, PanelFiles, file_positions, read_table, write_predictions, write_sign_predictions,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,6 +397,29 @@ def q_csv_predictions(spark, root):
     return back[0].join(back[1].withColumnRenamed(S.PREDICTION, "sign"), S.ROW_ID)
 
 
+def _written_submission(spark, root):
+    """(paths of the key template and of predictions written in its order)."""
+    files = exported(spark, root)
+    template, out = f"{files.root}/{KEY_TEMPLATE}.csv", f"{shared_folder(spark, 'ordered')}/predictions.csv"
+    predicted = quality.build_submission(with_rule(files.test_features(), "reversal"))
+    return template, write_predictions(predicted, out, like=template)
+
+
+def q_submission_order(spark, root):
+    template, out = _written_submission(spark, root)
+    return quality.order_report(file_positions(spark, out), file_positions(spark, template))
+
+
+def q_submission_order_faulty(spark, root):
+    """The first two rows of the written file change places."""
+    template, out = _written_submission(spark, root)
+    place = F.when(F.col("position") < 2, 1 - F.col("position")).otherwise(F.col("position"))
+    swapped = file_positions(spark, out).withColumn("position", place)
+    path = f"{shared_folder(spark, 'swapped')}/predictions"
+    swapped.repartitionByRange("position").sortWithinPartitions("position").select(S.ROW_ID).write.parquet(path)
+    return quality.order_report(file_positions(spark, path), file_positions(spark, template))
+
+
 def q_run_submission(spark, root):
     files = exported(spark, root)
     out = f"{shared_folder(spark, 'submission')}/predictions.csv"
@@ -539,6 +562,8 @@ def sql_queries() -> dict[str, Query]:
         "fold_checks_faulty": q_fold_checks_faulty,
         "submission_checks_faulty": q_submission_checks_faulty,
         "infinity_counts_faulty": q_infinity_counts_faulty,
+        "submission_order": q_submission_order,
+        "submission_order_faulty": q_submission_order_faulty,
         "fold_moments": q_fold_moments,
         "ridge_folds": q_ridge_folds,
         "logit_folds": q_logit_folds,

@@ -387,6 +387,8 @@ def oracle_sql() -> dict[str, str]:
     binary = f"SELECT ROW_ID, {RULES['reversal']} AS prediction FROM test"
     sql = {
         "panel": f"{BASE} SELECT {', '.join(panel)}, {', '.join(doubles)} FROM panel",
+        "submission_order": f"{BASE} SELECT count(*) AS n_found, count(*) AS n_expected, CAST(0 AS BIGINT) AS n_out_of_place, TRUE AS same_order FROM test",
+        "submission_order_faulty": f"{BASE} SELECT count(*) AS n_found, count(*) AS n_expected, CAST(2 AS BIGINT) AS n_out_of_place, FALSE AS same_order FROM test",
         "fold_moments": _fold_moments(),
         "ridge_folds": _ridge_folds(),
         "logit_folds": _logit_folds(),

@@ -5,7 +5,7 @@ NaN becomes NULL here and nowhere else: later operators rely on NULL only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,15 +69,45 @@ class PanelFiles:
         return self._read(KEY_TEMPLATE, S.KEY_SCHEMA)
 
 
-def write_predictions(df: DataFrame, path: str, single_file: bool = False) -> str:
+def file_positions(spark: SparkSession, path: str) -> DataFrame:
+    """position (from 0), ROW_ID of every row of a written table, in the order of its files.
+
+    A row's place in its split of a file needs no shuffle; the counts of the splits, one row each, are
+    summed in the order of file name and offset.
+    """
+    if path.rstrip("/").lower().endswith(".csv"):
+        names = spark.read.option("header", True).csv(path).columns
+        raw = spark.read.schema(", ".join(f"`{n}` string" for n in names)).option("header", True).option("mode", "FAILFAST").csv(path)
+    else:
+        raw = spark.read.parquet(path)
+    S.require_columns(raw, [S.ROW_ID], path)
+    rows = raw.select(
+        F.col(S.ROW_ID).cast("long").alias(S.ROW_ID),
+        F.col("_metadata.file_path").alias("part"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    earlier = Window.orderBy("part", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("part", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    splits = splits.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return rows.join(splits, ["part", "start"]).select((F.col("ahead") + F.col("at") - F.col("first")).alias("position"), S.ROW_ID)
+
+
+def write_predictions(df: DataFrame, path: str, single_file: bool = False, like: str | None = None) -> str:
     """Write (ROW_ID, prediction) as CSV with a header.
 
     Executors write part files in parallel; ``single_file`` funnels all rows
-    through one task and is meant for small results only.
+    through one task and is meant for small results only.  ``like`` names a written table whose order of ids is kept;
+    ids that it lacks are refused.
     """
     if not path.lower().endswith(".csv"):
         raise ValueError("the name of a prediction file must end with .csv")
     out = df.select(S.ROW_ID, S.PREDICTION)
+    if like:
+        placed = out.join(file_positions(out.sparkSession, like), S.ROW_ID, "left")
+        position = F.coalesce("position", F.raise_error(F.lit(f"ids that are not in {like}")).cast("long"))
+        placed = placed.withColumn("position", position)
+        out = placed.repartitionByRange("position").sortWithinPartitions("position").select(S.ROW_ID, S.PREDICTION)
     out = out.coalesce(1) if single_file else out
     out.write.mode("overwrite").option("header", True).csv(path)
     return path
