@@ -25,7 +25,7 @@ over the parts, whose number is that of the shuffle partitions.
 
 Defined results: NULL or empty text: the end id alone.  NULL ``doc_id`` comes first; equal
 ids stand next to each other, ordered by text.  A very long document makes one long segment.
-An empty table gives an empty file and result.
+An empty table gives an empty file and result.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,11 +42,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import slices, vocabulary_path
-from tidepanel.llm.common import partitions_for, shared_path
+from tidepanel.llm.common import of_stage, partitions_for, shared_path
 from tidepanel.llm.words import CODES, span_names
 
 END_ID = 0
-LIBRARY_UNITS = 400_000
+LIBRARY_UNITS = 200_000
+JOINED = 64  # units that the library gets as one text
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 19
 LEVEL = 3
@@ -89,28 +90,62 @@ class LibraryEncoder:
         # A mark that an added token holds is no place to cut.
         self.closing = _CLOSING.copy()
         self.closing[list("".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values()).encode())] = False
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()} | added
+        self.token_bytes = np.zeros(max(vocabulary) + 1, np.int64)  # in a byte-level vocabulary every character is a byte
+        self.token_bytes[list(vocabulary)] = list(vocabulary.values())
         # Two generations: when the younger is full it becomes the older, and what is asked for again moves back.
         self.known: dict[int, bytes] = {}
         self.older: dict[int, bytes] = {}
 
-    def _ids(self, names: list[int], unit) -> list[bytes]:
-        """Ids of distinct units as little-endian 32-bit bytes; ``unit(k)`` gives the k-th unit's text."""
+    def _fresh(self, units: list[str], sizes: np.ndarray, joinable: np.ndarray) -> list[bytes]:
+        """Ids of units; those that begin with a space and a visible byte are joined, as words end before such a space in any text.
+
+        The tokens' byte lengths tell where the units of a joined text end.
+        """
+        found: list = [None] * len(units)
+        alone, together = np.flatnonzero(~joinable).tolist(), np.flatnonzero(joinable)
+        shares = [together[at : at + JOINED] for at in range(0, len(together), JOINED)]
+        texts = ["".join([units[k] for k in share.tolist()]) for share in shares]
+        for share, e in zip(shares, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids, ends = np.array(e.ids, "<u4"), np.cumsum(sizes[share])
+            upto = np.cumsum(self.token_bytes[ids])
+            last = np.searchsorted(upto, ends)
+            if not len(upto) or last[-1] != len(upto) - 1 or (upto[last] != ends).any():  # not byte-level: one by one
+                alone += share.tolist()
+                continue
+            raw, cuts = ids.tobytes(), ((last + 1) * 4).tolist()
+            for k, a, b in zip(share.tolist(), [0, *cuts], cuts):
+                found[k] = raw[a:b]
+        for at in range(0, len(alone), 20_000):
+            some = alone[at : at + 20_000]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([units[k] for k in some], add_special_tokens=False)):
+                found[k] = array("I", e.ids).tobytes()
+        return found
+
+    def _ids(self, names: list[int], raw: bytes, begins: np.ndarray, sizes: np.ndarray, joinable: np.ndarray) -> list[bytes]:
+        """Ids of distinct units as little-endian 32-bit bytes; unit k stands in ``raw`` from ``begins[k]``."""
         if len(self.known) > LIBRARY_UNITS:
             self.known, self.older = {}, self.known
-        get = self.older.get
-        found = [self.known.get(n) or get(n) for n in names]
-        fresh = [k for k, f in enumerate(found) if f is None]
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for k, e in zip(some, self.tokenizer.encode_batch_fast([unit(k) for k in some], add_special_tokens=False)):
-                found[k] = array("I", e.ids).tobytes()
-        self.known.update(zip(names, found))
+        found = list(map(self.known.get, names))
+        missing = [k for k, f in enumerate(found) if f is None]
+        fresh = []
+        for k in missing:
+            found[k] = self.older.get(names[k])
+            if found[k] is None:
+                fresh.append(k)
+        at, n = begins[fresh], sizes[fresh]
+        units = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at.tolist(), (at + n).tolist())]
+        for k, ids in zip(fresh, self._fresh(units, n, joinable[fresh])):
+            found[k] = ids
+        self.known.update([(names[k], found[k]) for k in missing])
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each text)."""
         encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
-        raw = np.frombuffer(b"".join(encoded), np.uint8)
+        blob = b"".join(encoded)
+        raw = np.frombuffer(blob, np.uint8)
         sizes = np.array([len(e) for e in encoded], np.int64)
         bounds = np.cumsum(sizes)
         if not len(raw):
@@ -124,9 +159,13 @@ class LibraryEncoder:
         cut[(bounds - sizes)[sizes > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(raw))
-        names, first, where = np.unique(span_names(raw, starts, ends, CODES), return_index=True, return_inverse=True)
-        a, b = starts[first].tolist(), ends[first].tolist()
-        found = self._ids(names.tolist(), lambda k: raw[a[k] : b[k]].tobytes().decode("utf-8", "surrogatepass"))
+        distinct = pa.array(span_names(raw, starts, ends, CODES)).dictionary_encode()
+        where = distinct.indices.to_numpy()
+        first = np.empty(len(distinct.dictionary), np.int64)
+        first[where[::-1]] = np.arange(len(where))[::-1]
+        begins, sizes_of = starts[first], ends[first] - starts[first]
+        spaced = (raw[begins] == 0x20) & (sizes_of > 1) & _VISIBLE[raw[np.minimum(begins + 1, len(raw) - 1)]]
+        found = self._ids(distinct.dictionary.to_pylist(), blob, begins, sizes_of, spaced)
         flat = np.frombuffer(b"".join(found), "<u4")
         lengths = np.array([len(f) for f in found], np.int64) // 4
         begin = np.cumsum(lengths) - lengths
@@ -137,9 +176,6 @@ class LibraryEncoder:
         return ids, np.diff(totals, prepend=0)
 
 
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def planes_of(ids: np.ndarray, kind: str = "bit") -> list[bytes]:
     """Planes of one block, lowest first; planes above the highest bit in use are left out."""
     raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -194,9 +230,7 @@ def unpack(block_ids: list[int], plane_bytes: list[int], planes: bytes, kind: st
 
 def _encode_batches(path: str, kind: str):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = LibraryEncoder(path)
-        encoder = _ENCODERS[path]
+        encoder = of_stage(("library", path), lambda: LibraryEncoder(path))
         part, segment = TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u4").tobytes()
         doc_ids, lengths, raw, size = [], [], [], 0
