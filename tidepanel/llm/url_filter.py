@@ -41,7 +41,10 @@ PATTERN_RULES = (
     ("free-download", ("free",), r"/free-download(s)?(/|$)"),
     ("adult", ("xxx",), r"(^|[./-])xxx([./-]|$)"),
 )
-TOKEN = "[0-9a-z]+"
+# A token is a run of ASCII letters, digits and anything beyond ASCII; rules without one share the token "", which every URL has.
+_WITHIN = "0-9a-z\u0080-\U0010ffff"
+TOKEN = f"[{_WITHIN}]+"
+ANY_URL = ""
 RULE_SCHEMA = "rule string, kind string, verdict string, tokens array<string>, pattern string"
 
 
@@ -59,12 +62,66 @@ def site_rule(rule: str, verdict: str) -> tuple:
     """The row of a site rule: host labels and path words are its literal tokens."""
     host, slash, path = rule.partition("/")
     # The last path word may be the start of a longer one, so it is no token unless the rule ends it.
-    literal = re.findall(TOKEN, host) + re.findall(TOKEN + "(?=[^0-9a-zA-Z])", path.lower() if path.islower() else "")
+    literal = re.findall(TOKEN, host) + re.findall(f"{TOKEN}(?=[^A-Z{_WITHIN}])", path if path.islower() else "")
     return rule, "site", verdict, literal, r"^([^/]*\.)?" + re.escape(host) + re.escape(slash + path)
 
 
+def _edges(items: list) -> tuple[bool, bool, list[str]]:
+    """(a match begins at, ends at a token's edge; tokens that every match holds whole) of a parsed expression.
+
+    Cautious: what is not understood has no edge and no tokens.
+    """
+    found, run, open_left, first, edge = [], "", False, None, False
+    for kind, value in [*items, (None, None)]:
+        kind = str(kind)
+        if kind == "LITERAL" and re.fullmatch(TOKEN, chr(value)):
+            if not run:
+                open_left = not edge
+            run, edge = run + chr(value), False
+            first = False if first is None else first
+            continue
+        if kind == "LITERAL":
+            begins = ends = not chr(value).isalnum()
+            inner = []
+        elif kind == "AT":
+            begins = ends = True
+            inner = []
+        elif kind == "IN":
+            begins = ends = all(str(k) == "LITERAL" and ord(" ") < v < 128 and not chr(v).isalnum() for k, v in value)
+            inner = []
+        elif kind == "SUBPATTERN":
+            begins, ends, inner = _edges(list(value[3]))
+        elif kind == "BRANCH":
+            parts = [_edges(list(branch)) for branch in value[1]]
+            begins, ends = all(p[0] for p in parts), all(p[1] for p in parts)
+            inner = [t for t in parts[0][2] if all(t in p[2] for p in parts)]
+        elif kind == "MAX_REPEAT" and value[0] == 0:
+            # Left out, it hands on the edge before it.
+            begins, ends, inner = False, _edges(list(value[2]))[1] and edge and not run, []
+        else:
+            begins = ends = False
+            inner = []
+        if run:
+            if begins and not open_left:
+                found.append(run)
+            run = ""
+        if kind != "None":
+            found += inner
+            first = begins if first is None else first
+            edge = ends
+    return bool(first), edge, found
+
+
+def literal_tokens(pattern: str) -> list[str]:
+    """Tokens that every match of the expression holds as whole tokens, read off its parsed form; none if case is ignored."""
+    parsed = re._parser.parse(pattern)
+    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return []
+    return list(dict.fromkeys(_edges(list(parsed))[2]))
+
+
 def rule_table(spark: SparkSession, sites: Sequence[tuple] = SITE_RULES, patterns: Sequence[tuple] = PATTERN_RULES) -> DataFrame:
-    rows = [site_rule(*r) for r in sites] + [(n, "pattern", "block", list(t), p) for n, t, p in patterns]
+    rows = [site_rule(*r) for r in sites] + [(n, "pattern", "block", literal_tokens(p) if t is None else list(t), p) for n, t, p in patterns]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
@@ -78,9 +135,10 @@ def filter_urls(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", u
     """
     pages = urls.select(F.col(id_column), host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"))
     keys = pages.select("host", "path").distinct()
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit(TOKEN), 0))
-    tokens = keys.select("host", "path", F.explode(words).alias("token"))
-    wanted = rules.select("rule", F.explode("tokens").alias("token")).distinct()
+    words = F.array_distinct(F.regexp_extract_all(ascii_lower(F.concat("host", "path")), F.lit(TOKEN), 0))
+    tokens = keys.select("host", "path", F.explode(F.array_append(words, F.lit(ANY_URL))).alias("token"))
+    literal = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(ANY_URL)))
+    wanted = rules.select("rule", F.explode(literal).alias("token")).distinct()
     counts = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").count()
     # Rarest literal token of each rule; tokens that no URL holds count zero.
     rarest = (
