@@ -48,8 +48,11 @@ def escaped_role(role: Column) -> Column:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans for rows (conv_id, turn, role, text)."""
-    item = F.struct("turn", escaped_role(F.col("role")).alias("role"), escaped(F.col("text")).alias("body"))
-    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("turns"))
+    # Sorted as they are, escaped afterwards: control strings must not change the order of ties.
+    item = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("sorted"))
+    marked = F.transform("sorted", lambda t: F.struct(escaped_role(t["role"]).alias("role"), escaped(t["text"]).alias("body")))
+    chats = chats.select("conv_id", marked.alias("turns"))
     # Merge: a turn with the role of the one before joins its bodies.  Positions are kept
     # so that the arrays are only read, never copied per turn.
     firsts = F.expr("filter(sequence(1, size(turns)), i -> i = 1 or turns[i - 1].role != turns[i - 2].role)")
