@@ -86,9 +86,9 @@ def range_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoch
     return stored(plan, "mix-plan")
 
 
-def _partly(joined: DataFrame, keep: list[str]) -> DataFrame:
+def _partly(joined: DataFrame, keep: list[str], *ties) -> DataFrame:
     """Shares in the ranges that are cut: a running sum over the rows of one range."""
-    running = Window.partitionBy("source", "key_range").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("source", "key_range").orderBy("mix_key", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(running), F.lit(0))
     share_of = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - ahead))
     return joined.select(*keep, (F.col("size") * F.col("epochs") + share_of).cast("bigint").alias("taken"))
@@ -136,7 +136,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     same_source = rows["source"].eqNullSafe(F.col("plan_source"))
     whole = rows.join(per_source, same_source).where("key_range != cut_range")
     whole = whole.select("mix_body", "size", (F.col("size") * (F.col("epochs") + (F.col("key_range") <= F.col("last_in")).cast("int"))).alias("taken"))
-    partly = _partly(rows.join(cut, same_source & (F.col("key_range") == F.col("plan_range"))), ["mix_body", "size"])
+    partly = _partly(rows.join(cut, same_source & (F.col("key_range") == F.col("plan_range"))), ["mix_body", "size"], "mix_body.text", F.xxhash64("mix_body"))
     taken = whole.unionByName(partly).where("taken > 0")
     copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
     each = taken.withColumn("copy", copies).withColumn("left", F.col("taken") - (F.col("copy") - 1) * F.col("size"))
