@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ def of_stage(key, make):
     stage = task.stageId() if task else None
     if _HELD.get("stage") != stage:
         _HELD.clear()
+        pa.default_memory_pool().release_unused()
         _HELD["stage"] = stage
     if key not in _HELD:
         _HELD[key] = make()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import slices
-from tidepanel.llm.common import partitions_for, stored
+from tidepanel.llm.common import of_stage, partitions_for, stored
 from tidepanel.llm.components import connected
 from tidepanel.llm.words import M1, mixed, word_names
 
@@ -50,6 +50,8 @@ BLOCK = 2048
 STAR_ROUNDS = 3
 # Tiles of fewer sets are small: all their pairs are few beside their rows.
 SMALL = 8
+# Characters whose shingles are made at a time.
+RUN = 1_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,7 +138,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for first, run in slices(batch.column(1)):
+    of_stage("shingles", dict)  # what the worker kept for other stages goes
+    for first, run in slices(batch.column(1), RUN):
         yield first, shingle_sets(run)
 
 
@@ -468,9 +471,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     labels = stored(ngram_components(docs).select("doc_id", "component_id"), "components")
     gone = stored(labels.where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     often = stored(labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("often_id")).count().where("count > 1").select("often_id"), "often")
-    kept = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
-    single = kept.join(often, kept["doc_id"] == F.col("often_id"), "left_anti")
-    several = kept.join(often, kept["doc_id"] == F.col("often_id"), "left_semi").select(F.struct(*docs.columns).alias("body"))
+    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    single = kept.join(often, kept["doc_id"] == often["often_id"], "left_anti")
+    several = kept.join(often, kept["doc_id"] == often["often_id"], "left_semi").select(F.struct(*docs.columns).alias("body"))
     first = Window.partitionBy("body.doc_id").orderBy("body.text")
     several = several.withColumn("place", F.row_number().over(first)).where("place = 1").select(*[F.col(f"body.`{c}`").alias(c) for c in docs.columns])
     return single.unionByName(several)
