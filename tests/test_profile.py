@@ -55,6 +55,19 @@ def test_box_outliers(spark):
     assert row["n_outliers"] == 1 and row["whisker_high"] == 9.0 and row["whisker_low"] == 1.0
 
 
+def test_box_fences_equal_sql_to_the_last_bit(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g in range(300) for v in rng.integers(-10**6, 10**8, 4 + g % 8) / 100]
+    df = spark.createDataFrame(rows, "g long, x double")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (g BIGINT, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    sql = "SELECT g, quantile_cont(x, 0.25), quantile_cont(x, 0.5), quantile_cont(x, 0.75) FROM t GROUP BY g ORDER BY g"
+    got = profile.box_stats(df, ["x"], ["g"]).orderBy("g").select("g", "q25", "median", "q75").collect()
+    assert [tuple(r) for r in got] == con.execute(sql).fetchall()
+
+
 def test_audit_counts(spark):
     df = spark.createDataFrame([(1, "a", None), (1, None, 2.0), (None, "b", 3.0)], "ROW_ID long, k string, v double")
     counts = {r["column"]: r["nb_missing"] for r in audit.null_counts(df).collect()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel import schema as S
@@ -22,6 +22,25 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return typed.unpivot([F.col(b) for b in by], list(columns), "column", "value").where(F.col("value").isNotNull())
 
 
+def interpolated(low: Column, high: Column, share: Column) -> Column:
+    """``low * (1 - share) + high * share``, the first product not rounded before the sum: a fused multiply-add, as DuckDB's
+    ``quantile_cont`` computes it.  Fences that follow from quartiles meet values exactly, so the last bit counts.
+    """
+    def halves(x: Column) -> tuple[Column, Column]:
+        scaled = x * F.lit(134217729.0)
+        top = scaled - (scaled - x)
+        return top, x - top
+
+    rest, other = F.lit(1.0) - share, high * share
+    product = low * rest
+    (a, b), (c, d) = halves(low), halves(rest)
+    total = product + other
+    back = total - product
+    lost = (product - (total - back)) + (other - back) + ((((a * c - product) + a * d) + b * c) + b * d)
+    small = F.greatest(F.abs(low), F.abs(high)) < 1e290  # beyond that the halves overflow
+    return F.when(share == 0, low).when(small, total + lost).otherwise(total)
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -115,7 +134,7 @@ def exact_quantiles(
         *key,
         "n",
         *[
-            (F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}")) * share[i]).alias(f"q_{i}")
+            interpolated(F.col(f"lo_{i}"), F.col(f"hi_{i}"), share[i]).alias(f"q_{i}")
             for i in range(len(probabilities))
         ],
     )
