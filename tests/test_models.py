@@ -265,3 +265,23 @@ def test_date_cv_and_importances(train):
     assert all(r["accuracy"] > 0.5 for r in rows)
     top = evaluate.top_features(gains, 2).collect()
     assert len(top) == 2 and top[0]["feature"] == "RET_1" and top[0]["mean_gain"] >= top[1]["mean_gain"]
+
+
+def test_tasks_of_a_pass_follow_the_rows_not_the_shuffle_partitions(spark, train):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "96")
+    try:
+        _, rows = B.fit_folds(one_fold(train), FEATURES, S.LABEL, 1, plain(rounds=1))
+        assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sums_added_by_reducers_give_the_same_trees(train, monkeypatch):
+    plan = plain(rounds=2, growth="symmetric", max_depth=3)
+    a, _ = B.fit_folds(one_fold(train), FEATURES, S.LABEL, 1, plan)
+    for name, value in (("DIRECT_BYTES", 0), ("SHORT_SEGMENT", 100), ("FAN_IN", 1), ("BLOCK", 100)):
+        monkeypatch.setattr(B, name, value)
+    b, _ = B.fit_folds(one_fold(train), FEATURES, S.LABEL, 1, plan)
+    assert [(t.feature, t.cut) for t in a[0].trees] == [(t.feature, t.cut) for t in b[0].trees]
+    assert [t.value for t in a[0].trees] == [pytest.approx(t.value) for t in b[0].trees]

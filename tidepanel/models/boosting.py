@@ -1,6 +1,7 @@
 """Distributed boosting on histograms, for several temporal folds at once.
 
-Rows are binned once (one byte per feature) and kept.  A boosting step is one
+Rows are binned once (one byte per feature) and kept, in blocks of up to ``BLOCK``
+rows, column by column, in as many partitions as their size asks for.  A boosting step is one
 Spark job: every task sums gradients per (fold, node, feature, bin) over its own
 rows, Spark adds the partial sums up, and the driver picks splits from that
 table, whose size depends on folds, nodes, features and bins but not on rows.
@@ -26,11 +27,12 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, cloudpickle
+from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel import schema as S
+from tidepanel.functions.sizing import pass_tasks
 from tidepanel.models import trees_numpy
 from tidepanel.models.trees_numpy import (
     Tree, bin_values, gradients, leaf_of, margin_of, sampled, sigmoid,
@@ -43,9 +45,13 @@ for _module in (trees_numpy, sys.modules[__name__]):
 
 REFRESH = 10
 CHECKPOINT = 50
+BLOCK = 8192  # rows in one block of the kept table
 SEGMENT = 1 << 19  # sums in one packed row
+SHORT_SEGMENT = 1 << 16  # sums in one array of a boosting pass
+FAN_IN = 64  # arrays that one reducer adds up
 DIRECT_BYTES = 1 << 25  # packed rows of all tasks that the driver adds up itself
 BINNED_SCHEMA = "ROW_ID long, y double, train int, valid int, bins binary, base binary"
+BLOCK_SCHEMA = "ids binary, y binary, train binary, valid binary, bins binary, base binary"
 SUMS_SCHEMA = "segment int, lane int, sums binary"
 SCORED_SCHEMA = "ROW_ID long, fold int, y double, margin double, p1 double, prediction int"
 MAX_FOLDS = 30
@@ -117,7 +123,7 @@ def feature_edges(df: DataFrame, features: Sequence[str], bins: int, folds: int)
     return [[np.unique(np.asarray(found[n][f"cuts_{f}"], dtype=float)) for n in names] for f in range(folds)]
 
 
-def binned_rows(df: DataFrame, features: Sequence[str], label: str, edges: list[list[np.ndarray]]) -> DataFrame:
+def binned_rows(df: DataFrame, features: Sequence[str], label: str, edges: list[list[np.ndarray]], parts: int | None = None) -> DataFrame:
     """(ROW_ID, y, train, valid, bins): features as bytes, fold after fold; ``df`` has the fold bits train and valid."""
     width = len(features)
 
@@ -139,10 +145,28 @@ def binned_rows(df: DataFrame, features: Sequence[str], label: str, edges: list[
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{i}") for i, c in enumerate(features)],
     )
     # one shuffle of short rows, so that all tasks of the many passes get equal shares
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.mapInArrow(task, BINNED_SCHEMA).repartition(parts, S.ROW_ID)
 
 
+def blocks_of(rows: DataFrame, width: int, folds: int) -> DataFrame:
+    """Binned rows of a partition, ``BLOCK`` at a time, as one row of arrays; ``base`` is empty until margins are stored."""
+    def task(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+                bins = np.ascontiguousarray(_as_matrix(part.column(4), np.uint8, folds * width).T)
+                yield _block_row([*columns, bins, b""])
+
+    return rows.mapInArrow(task, BLOCK_SCHEMA)
+
+
+def _block_row(arrays: list) -> pa.RecordBatch:
+    names = ["ids", "y", "train", "valid", "bins", "base"]
+    return pa.RecordBatch.from_arrays([pa.array([memoryview(a).tobytes()], pa.binary()) for a in arrays], names=names)
+
+
 def _as_binary(matrix: np.ndarray) -> pa.Array:
     """One binary value per row of a contiguous matrix, without a copy per row."""
     matrix = np.ascontiguousarray(matrix)
@@ -161,19 +185,22 @@ def _as_matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
     return data.view(dtype).reshape(n, width) if data.size else np.empty((n, 0), dtype=dtype)
 
 
-class _Batch:
-    """Array view of a batch of binned rows."""
+class _Block:
+    """Array view of a block of binned rows; ``bins[f]`` has the rows of fold f as columns."""
+
+    def __init__(self, arrays, width: int, folds: int):
+        kinds = (np.int64, np.float64, np.int32, np.int32, np.uint8, np.float64)
+        self.ids, self.y, self.train, self.valid, bins, base = (np.frombuffer(a, k) if len(a) else np.empty(0, k) for a, k in zip(arrays, kinds))
+        self.bins = bins.reshape(folds, width, len(self.y))
+        self.base = base.reshape(folds, len(self.y)) if len(base) else None
+
+    def base_of(self, fold: int) -> np.ndarray | float:
+        return 0.0 if self.base is None else self.base[fold]
 
-    def __init__(self, batch: pa.RecordBatch, width: int, folds: int):
-        self.ids = batch.column(0).to_numpy(zero_copy_only=False)
-        self.y = batch.column(1).to_numpy(zero_copy_only=False)
-        self.train = batch.column(2).to_numpy(zero_copy_only=False)
-        self.valid = batch.column(3).to_numpy(zero_copy_only=False)
-        self.bins = _as_matrix(batch.column(4), np.uint8, width * folds).reshape(-1, folds, width)
-        self.base = _as_matrix(batch.column(5), np.float64, folds)
 
-    def base_of(self, fold: int, rows: np.ndarray) -> np.ndarray | float:
-        return self.base[rows, fold] if self.base.shape[1] else 0.0
+def _blocks(batch: pa.RecordBatch, width: int, folds: int):
+    for i in range(batch.num_rows):
+        yield _Block([memoryview(column[i].as_buffer()) for column in batch.columns], width, folds)
 
 
 # ---- training --------------------------------------------------------------
@@ -272,10 +299,13 @@ def fit_folds(df: DataFrame, features: Sequence[str], label: str, folds: int, pl
         raise ValueError("no training rows")
     if any(len(cuts) >= plan.bins for own in edges for cuts in own):
         raise ValueError(f"more cut points than {plan.bins} bins allow")
-    rows = binned_rows(df, features, label, edges).persist(StorageLevel.MEMORY_AND_DISK)
-    members = [_Member(f, p) for f, p in enumerate(_priors(rows, folds, plan))]
+    means, total = _means(df, label, folds)
+    # per row: ids, labels, fold bits, bins and margins
+    tasks = pass_tasks(df.sparkSession, total, 24 + folds * (len(features) + 8))
+    rows = blocks_of(binned_rows(df, features, label, edges, tasks), len(features), folds).persist(StorageLevel.MEMORY_AND_DISK)
+    members = [_Member(f, p) for f, p in enumerate(_priors(means, plan))]
     rng = np.random.default_rng(plan.seed)
-    before = None
+    before, blocks = None, rows.rdd
     for turn in range(plan.rounds):
         active = [m for m in members if not m.done]
         if not active:
@@ -284,23 +314,29 @@ def fit_folds(df: DataFrame, features: Sequence[str], label: str, folds: int, pl
             fresh = _store_margins(rows, members, len(features), turn % CHECKPOINT == 0)
             if before is not None:
                 before.unpersist()
-            before, rows = rows, fresh
+            before, rows, blocks = rows, fresh, fresh.rdd
         chosen = np.sort(rng.choice(len(features), subset_size(plan.tree_features, len(features)), replace=False))
-        _grow(rows, active, chosen, turn, plan, rng, len(features), folds)
+        _grow(blocks, tasks, active, chosen, turn, plan, rng, len(features), folds)
         for m in active:
             _close_tree(m, plan)
     models = [BoostedModel(features, edges[m.index], m.trees, m.prior, plan.loss) for m in members]
     return models, rows
 
 
-def _priors(rows: DataFrame, folds: int, plan: Boosting) -> list[float]:
-    """Starting margin per fold: mean, or log-odds of class 1."""
-    member = [F.avg(F.when(F.col("train").bitwiseAND(1 << f) != 0, F.col("y"))).alias(f"m_{f}") for f in range(folds)]
-    means = list(rows.agg(*member).first())
+def _means(df: DataFrame, label: str, folds: int) -> tuple[list[float], int]:
+    """(mean label of every fold's training rows, number of rows on any side)."""
+    y = F.coalesce(F.col(label).cast("double"), F.lit(0.0))
+    used = df.where((F.col("train") != 0) | (F.col("valid") != 0))
+    *means, total = used.agg(*[F.avg(F.when(F.col("train").bitwiseAND(1 << f) != 0, y)) for f in range(folds)], F.count("*")).first()
     if any(m is None for m in means):
         raise ValueError("a fold has no training rows")
+    return means, total
+
+
+def _priors(means: list[float], plan: Boosting) -> list[float]:
+    """Starting margin per fold: mean, or log-odds of class 1."""
     if not plan.prior or plan.loss == "exponential":
-        return [0.0] * folds
+        return [0.0] * len(means)
     if plan.loss == "squared":
         return means
     return [math.log(min(max(m, 1e-12), 1 - 1e-12) / (1 - min(max(m, 1e-12), 1 - 1e-12))) for m in means]
@@ -313,12 +349,11 @@ def _store_margins(rows: DataFrame, members: list[_Member], width: int, reliable
 
     def task(batches):
         for batch in batches:
-            b = _Batch(batch, width, folds)
-            old = b.base if b.base.shape[1] else np.zeros((len(b.y), folds))
-            new = np.column_stack([old[:, f] + margin_of(fresh[f], b.bins[:, f]) for f in range(folds)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], _as_binary(new)], names=batch.schema.names)
+            for b in _blocks(batch, width, folds):
+                new = np.stack([b.base_of(f) + margin_of(fresh[f], b.bins[f].T) for f in range(folds)])
+                yield _block_row([b.ids, b.y, b.train, b.valid, b.bins, new])
 
-    stored = rows.mapInArrow(task, BINNED_SCHEMA)
+    stored = rows.mapInArrow(task, BLOCK_SCHEMA)
     if reliable:
         ensure_checkpoint_dir(rows.sparkSession)
         stored = stored.checkpoint(eager=True)
@@ -369,7 +404,33 @@ def _summed(rows: DataFrame, task, length: int) -> np.ndarray:
     return total
 
 
-def _histograms(rows, members, requests, turn, plan, width, folds):
+def _total(blocks: RDD, task, length: int, tasks: int) -> np.ndarray:
+    """The sum over ``tasks`` partitions of the vector of ``length`` doubles that ``task`` makes of a partition's blocks.
+
+    Passes are many and short, so they run as RDD jobs, which are planned in no time.  Short vectors of few tasks are added by the driver; others
+    by reducers, segment by segment; with more than ``FAN_IN`` tasks in two rounds, so that none adds more than the root of the number of tasks.
+    """
+    lanes = math.isqrt(tasks) if tasks > FAN_IN else 1
+    step = SHORT_SEGMENT if tasks * length * 8 > DIRECT_BYTES else length
+
+    def pieces(index, rows):
+        flat = task(rows)
+        for segment, begin in enumerate(range(0, length, step)):
+            yield (segment, index % lanes), flat[begin : begin + step]
+
+    parts = blocks.mapPartitionsWithIndex(pieces)
+    if step < length:
+        segments = -(-length // step)
+        parts = parts.reduceByKey(np.add, min(tasks, lanes * segments))
+        if lanes > 1:
+            parts = parts.map(lambda part: ((part[0][0], 0), part[1])).reduceByKey(np.add, min(tasks, segments))
+    total = np.zeros(length)
+    for (segment, _), values in parts.collect():
+        total[segment * step : segment * step + len(values)] += values
+    return total
+
+
+def _histograms(blocks, tasks, members, requests, turn, plan, width, folds):
     """Sum of (g, h, n) per request, feature and bin.  A request is (member, node, features), those of a member stand together."""
     by_member: dict[int, list] = {}
     for member, node, tried in requests:
@@ -379,48 +440,44 @@ def _histograms(rows, members, requests, turn, plan, width, folds):
     size = len(requests[0][2])
     channels = 2 if loss == "squared" else 3  # the second derivative of the squared loss is 1
     cells = size * bins
-    length = len(requests) * channels * cells
+    n_requests = len(requests)  # the task must not take the requests along: they hold the histograms of the tree
     sample_turn = turn // plan.row_every if plan.row_every else None
     wanted_of, first = {}, 0
     for index, wanted in by_member.items():
         wanted_of[index] = first, [node for node, _ in wanted], np.array([tried for _, tried in wanted])
         first += len(wanted)
 
-    def task(batches):
-        sums = np.zeros((len(requests), channels, cells))
-        for batch in batches:
-            b = _Batch(batch, width, folds)
+    def task(rows):
+        sums = np.zeros((n_requests, channels, cells))
+        for b in (_Block(row, width, folds) for row in rows):
             keep = np.ones(len(b.y), dtype=bool)
             if share < 1.0 and sample_turn is not None:
                 keep = sampled(b.ids, share, seed, sample_turn)
             for index, (start, nodes, tried) in wanted_of.items():
                 prior, trees, tree = state[index]
-                at = np.flatnonzero(keep & ((b.train >> index) & 1 == 1))
-                codes = b.bins[at, index]
-                slot = np.full(len(tree.left), -1)
-                slot[nodes] = np.arange(len(nodes))
-                slot = slot[leaf_of(tree, codes)]
-                inside = np.flatnonzero(slot >= 0)
-                if not len(inside):
+                own = b.bins[index]
+                slots = np.full(len(tree.left), -1)
+                slots[nodes] = np.arange(len(nodes))
+                slot = slots[leaf_of(tree, own.T)]
+                at = np.flatnonzero(keep & ((b.train >> index) & 1 == 1) & (slot >= 0))
+                if not len(at):
                     continue
-                at, codes, slot = at[inside], codes[inside], slot[inside]
-                margin = prior + b.base_of(index, at) + margin_of(trees, codes)
-                g, h = gradients(loss, b.y[at], margin)
+                margin = prior + b.base_of(index) + margin_of(trees, own.T)
+                g, h = gradients(loss, b.y[at], margin[at])
+                slot, first = slot[at], slot[at] * bins
                 same = (tried == tried[0]).all()
-                picked = codes[:, tried[0]] if same else np.take_along_axis(codes, tried[slot], axis=1)
-                place = (picked + (slot[:, None] * size + np.arange(size)) * bins).ravel()
-                for channel, weight in enumerate((g, h, None) if channels == 3 else (g, None)):
-                    repeated = None if weight is None else np.repeat(weight, size)
-                    sums[start : start + len(nodes), channel] += np.bincount(place, repeated, minlength=len(nodes) * cells).reshape(len(nodes), cells)
-        flat = sums.ravel()
-        for segment, begin in enumerate(range(0, len(flat), SEGMENT)):
-            yield _sums_row(segment, 0, flat[begin : begin + SEGMENT])
-
-    sums = _summed(rows, task, length).reshape(len(requests), channels, size, bins)
+                for j in range(size):
+                    place = first + (own[tried[0, j]][at] if same else own[tried[slot, j], at])
+                    for channel, weight in enumerate((g, h, None) if channels == 3 else (g, None)):
+                        counted = np.bincount(place, weight, minlength=len(nodes) * bins)
+                        sums[start : start + len(nodes), channel, j * bins : (j + 1) * bins] += counted.reshape(len(nodes), bins)
+        return sums.ravel()
+
+    sums = _total(blocks, task, n_requests * channels * cells, tasks).reshape(n_requests, channels, size, bins)
     return [np.stack([s[0], s[-1], s[-1]]) if channels == 2 else s for s in sums]
 
 
-def _grow(rows, members, chosen, turn, plan, rng, width, folds) -> None:
+def _grow(blocks, tasks, members, chosen, turn, plan, rng, width, folds) -> None:
     """Grow one tree per member, a level (or a leaf) per job."""
     for m in members:
         m.tree, m.open = Tree(), [0]
@@ -444,7 +501,7 @@ def _grow(rows, members, chosen, turn, plan, rng, width, folds) -> None:
                 if not larger:
                     requests.append((m, node, tried))
         if requests:
-            tables = _histograms(rows, growing, requests, turn, plan, width, folds)
+            tables = _histograms(blocks, tasks, growing, requests, turn, plan, width, folds)
             for (m, node, _), table in zip(requests, tables):
                 m.tables[node] = table
                 if node == 0:
@@ -554,13 +611,12 @@ def score_folds(rows: DataFrame, models: list[BoostedModel]) -> DataFrame:
     parts = [(m.prior, m.trees, m.loss, _vote_weight(m.trees)) for m in models]
 
     def task(batches):
-        for batch in batches:
-            b = _Batch(batch, width, folds)
+        for b in (b for batch in batches for b in _blocks(batch, width, folds)):
             for f, (prior, trees, loss, votes) in enumerate(parts):
                 at = np.flatnonzero((b.valid >> f) & 1 == 1)
                 if not len(at):
                     continue
-                margin = prior + margin_of(trees, b.bins[at, f])
+                margin = prior + margin_of(trees, np.ascontiguousarray(b.bins[f][:, at]).T)
                 p = _probability(loss, margin, votes)
                 hit = margin > 0 if loss == "squared" else p > 0.5
                 yield pa.RecordBatch.from_arrays(
