@@ -285,3 +285,19 @@ def test_sums_added_by_reducers_give_the_same_trees(train, monkeypatch):
     b, _ = B.fit_folds(one_fold(train), FEATURES, S.LABEL, 1, plan)
     assert [(t.feature, t.cut) for t in a[0].trees] == [(t.feature, t.cut) for t in b[0].trees]
     assert [t.value for t in a[0].trees] == [pytest.approx(t.value) for t in b[0].trees]
+
+
+def test_spark_models_are_fitted_on_partitions_by_rows(spark, train, folds, monkeypatch):
+    from tidepanel.models import evaluate
+
+    seen = []
+
+    class Counting:
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+            raise RuntimeError("counted")
+
+    monkeypatch.setattr(evaluate, "bind", lambda *_: Counting())
+    with pytest.raises(RuntimeError, match="counted"):
+        evaluate.scored_folds(train.repartition(96), folds, builders.spark_gradient_boosting(), FEATURES, parallelism=1)
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism

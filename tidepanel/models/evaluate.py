@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel import schema as S
-from tidepanel.functions.sizing import kept
+from tidepanel.functions.sizing import kept, pass_tasks
 from tidepanel.models.boosting import BoostedModel, Boosting, fit_folds, score_folds
 from tidepanel.models.builders import FeatureModel, LogisticModel
 from tidepanel.models.forest import VALID, Forest, score_forests
@@ -78,7 +78,10 @@ def scored_folds(
     if isinstance(model, LogisticModel):
         return logistic_sets(df, folds, model, [features], label).drop("set")
     columns = list(dict.fromkeys([S.ROW_ID, S.TS, label, *features]))
-    rows = df.select(*columns) if df.is_cached else kept(df.select(*columns))
+    # short rows in equal shares, as many as their number asks for: a fit runs many short jobs
+    narrow = df.select(*columns)
+    tasks = pass_tasks(df.sparkSession, narrow.count(), 8 * len(columns))
+    rows = kept(narrow.repartition(tasks, S.ROW_ID))
 
     @inheritable_thread_target(df.sparkSession)
     def one(item):
